@@ -101,6 +101,12 @@ def normalize_date(c: Column | str, formats: Sequence[str] = DAY_FIRST, pivot: i
     return F.coalesce(parse_date(c, formats, pivot).cast("string"), strip(c))
 
 
+def iso_date(c: Column | str) -> Column:
+    """Date of a text in exactly the form ``normalize_date`` gives, else null."""
+    c = col(c)
+    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), c.try_cast("date"))
+
+
 def ambiguous_date(c: Column | str) -> Column:
     """True for ``aa-bb-yyyy`` where both readings are real and differ."""
     s = strip(c)

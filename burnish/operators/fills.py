@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burnish.functions.dates import DAY_FIRST, month_start, parse_date
+from burnish.functions.dates import iso_date, month_start
 from burnish.functions.missing import fill_number, is_blank
-from burnish.operators.ordering import carry_forward, names
+from burnish.operators.ordering import Patch, apply_patches, carry_forward, names
+from burnish.session import settle
 
 # Up to this many values one task may sort.
 ONE_TASK_VALUES = 1_000_000
@@ -72,29 +73,21 @@ def fill_median(df: DataFrame, column: str, **limits: int) -> DataFrame:
     return df.select(*[fill_number(c, value).alias(c) if c == column else F.col(c) for c in df.columns])
 
 
+def carried_months(df: DataFrame, column: str, order: Sequence[str], group: Sequence[str] = ()) -> Patch:
+    """Only group, order and date take part in the shuffles that carry dates forward."""
+    slim = df.select(*dict.fromkeys([*group, *order]), iso_date(column).alias("_date"))
+    carried = carry_forward(slim, "_date", order, "_seen", group).where("_date is null and _seen is not null")
+    months = carried.select(*order, month_start("_seen").cast("string").alias("_new"))
+    return Patch(column, iso_date(column).isNull(), months)
+
+
 def fill_undated(
-    df: DataFrame,
-    column: str,
-    order: str | Sequence[str],
-    group: str | Sequence[str] | None = None,
-    formats: Sequence[str] = DAY_FIRST,
+    df: DataFrame, column: str, order: str | Sequence[str], group: str | Sequence[str] | None = None
 ) -> DataFrame:
-    """Unreadable dates become the first of the month of the last readable one before.
+    """What is no ISO date becomes the first of the month of the last date before it.
 
-    Readable dates come out as ISO text. Only order, group and date take part in
-    the shuffles that carry dates forward; of the full rows only the undated
-    ones are joined. A row with no readable date before it keeps its text.
+    Run ``normalize_date`` on the column first. A row with no date before it
+    keeps its text.
     """
-    order, group = names(order), names(group)
-    parsed: Column = parse_date(column, formats)
-    slim = df.select(*dict.fromkeys([*group, *order]), parsed.alias("_date"))
-    carried = carry_forward(slim, "_date", order, "_month", group)
-    months = carried.where("_date is null").select(*order, month_start("_month").cast("string").alias("_month"))
-    undated = df.where(parsed.isNull()).join(months, order, "left")
-    return _replace(df.where(parsed.isNotNull()), column, parsed.cast("string")).unionByName(
-        _replace(undated, column, F.coalesce(F.col("_month"), F.col(column))).select(*df.columns)
-    )
-
-
-def _replace(df: DataFrame, column: str, value: Column) -> DataFrame:
-    return df.select(*[value.alias(c) if c == column else F.col(c) for c in df.columns])
+    rows = settle(df, "undated")
+    return apply_patches(rows, order, [carried_months(rows, column, names(order), names(group))])

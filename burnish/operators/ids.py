@@ -8,7 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burnish.functions.missing import is_blank, padded_id
-from burnish.operators.ordering import names, with_position
+from burnish.operators.ordering import Patch, apply_patches, names, with_position
+from burnish.session import settle
+
+
+def continued_ids(df: DataFrame, column: str, order: Sequence[str], prefix: str, width: int) -> Patch:
+    """Only the rows without an id are put in order."""
+    digits = F.regexp_extract(column, r"(\d+)", 1).try_cast("bigint")
+    highest = df.agg(F.coalesce(F.max(digits), F.lit(0)).alias("n")).scalar()
+    missing = with_position(df.where(is_blank(column)).select(*order), order, "_place")
+    number = padded_id(highest + F.col("_place"), prefix, width)
+    return Patch(column, is_blank(column), missing.select(*order, number.alias("_new")))
+
+
+def place_ids(df: DataFrame, column: str, order: Sequence[str], prefix: str, width: int) -> Patch:
+    """Places are counted on the order columns alone."""
+    slim = df.select(*order, is_blank(column).alias("_missing"))
+    missing = with_position(slim, order, "_place").where("_missing")
+    number = padded_id(F.col("_place"), prefix, width)
+    return Patch(column, is_blank(column), missing.select(*order, number.alias("_new")))
 
 
 def continue_ids(
@@ -16,31 +34,15 @@ def continue_ids(
 ) -> DataFrame:
     """Blank ids count on from the highest number in any id, in row order.
 
-    The number of an id is its first run of digits. Only the rows without an id
-    are put in order.
+    The number of an id is its first run of digits.
     """
-    digits = F.regexp_extract(column, r"(\d+)", 1).try_cast("bigint")
-    highest = df.select(digits.alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).scalar()
-    missing = with_position(df.where(is_blank(column)), order, "_place")
-    numbered = padded_id(highest + F.col("_place"), prefix, width).alias(column)
-    return df.where(~is_blank(column)).unionByName(
-        missing.select(*[numbered if c == column else F.col(c) for c in df.columns])
-    )
+    rows = settle(df, "ids")
+    return apply_patches(rows, order, [continued_ids(rows, column, names(order), prefix, width)])
 
 
 def positional_ids(
     df: DataFrame, column: str, order: str | Sequence[str], prefix: str = "P", width: int = 3
 ) -> DataFrame:
-    """A blank id becomes the 1-based place of its row in the table.
-
-    Places are counted on the order columns alone; full rows are joined to them
-    only where the id is missing.
-    """
-    order = names(order)
-    slim = df.select(*order, is_blank(column).alias("_missing"))
-    places = with_position(slim, order, "_place").where("_missing").select(*order, "_place")
-    missing = df.where(is_blank(column)).join(places, order)
-    numbered = padded_id(F.col("_place"), prefix, width).alias(column)
-    return df.where(~is_blank(column)).unionByName(
-        missing.select(*[numbered if c == column else F.col(c) for c in df.columns])
-    )
+    """A blank id becomes the 1-based place of its row in the table."""
+    rows = settle(df, "ids")
+    return apply_patches(rows, order, [place_ids(rows, column, names(order), prefix, width)])

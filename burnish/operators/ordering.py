@@ -4,18 +4,22 @@
 table. Rows are cut into ranges of that order, sorted inside each range and
 numbered there; what crosses a range border is settled on a table with one row
 per range. That table is the only thing broadcast, and it grows with the number
-of partitions, not with the data. The sorted form is checkpointed, so that the
+of partitions, not with the data. The sorted form is written out, so that the
 second pass sees the same ranges even if executors are lost in between.
+
+Callers hand in few columns, and bring the result back to the wide rows as a
+patch: only rows that need the new value take part in a join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from burnish.session import cut_lineage
+from burnish.session import settle
 
 _SLOT, _RANGE = "_slot", "_range"
 # monotonically_increasing_id: partition in the upper bits, row in the lower 33.
@@ -35,7 +39,7 @@ def in_ranges(df: DataFrame, order: Sequence[str]) -> DataFrame:
         .sortWithinPartitions(*order)
         .withColumn(_SLOT, F.monotonically_increasing_id())
     )
-    return cut_lineage(placed).withColumn(_RANGE, F.shiftright(_SLOT, _ROW_BITS))
+    return settle(placed, "ranges").withColumn(_RANGE, F.shiftright(_SLOT, _ROW_BITS))
 
 
 def with_position(df: DataFrame, order: str | Sequence[str], position: str = "position") -> DataFrame:
@@ -104,6 +108,36 @@ def carry_forward(
     ).drop(_SLOT, _RANGE, "_group", "_inherited")
 
 
+@dataclass(frozen=True)
+class Patch:
+    """New values for the rows of ``column`` where ``needed`` holds.
+
+    ``values`` has the order columns, which must be unique, and ``_new``. A row
+    without one keeps what it has.
+    """
+
+    column: str
+    needed: Column
+    values: DataFrame
+
+
+def apply_patches(df: DataFrame, order: str | Sequence[str], patches: Sequence[Patch]) -> DataFrame:
+    """Rows that need nothing go straight through; the others are joined to the patches.
+
+    ``df`` is read twice, so it should be a settled table.
+    """
+    order = names(order)
+    any_needed = F.lit(False)
+    for p in patches:
+        any_needed = any_needed | p.needed
+    rows = df.where(any_needed)
+    for i, p in enumerate(patches):
+        rows = rows.join(p.values.withColumnRenamed("_new", f"_new{i}"), order, "left")
+    new = {p.column: F.coalesce(F.col(f"_new{i}"), F.col(p.column)) for i, p in enumerate(patches)}
+    patched = rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
+    return df.where(~any_needed).unionByName(patched)
+
+
 def first_of(columns: Sequence[str], order: Sequence[str]) -> Column:
     """Aggregate: the struct of ``columns`` from the row that comes first."""
     return F.min_by(F.struct(*columns), order_key(order))

@@ -33,8 +33,9 @@ def canonicalize(
 
 def most_common_domain(df: DataFrame, column: str) -> DataFrame:
     """One row: the domain most valid addresses have; ties go to the first in text order."""
-    counts = df.select(email_domain(column).alias("domain")).where("domain is not null").groupBy("domain").count()
-    return counts.agg(F.min_by("domain", F.struct(-F.col("count"), F.col("domain"))).alias("domain"))
+    counts = df.groupBy(email_domain(column).alias("domain")).agg(F.count(F.lit(1)).alias("n"))
+    rank = F.when(F.col("domain").isNotNull(), F.struct(-F.col("n"), F.col("domain")))
+    return counts.agg(F.min_by("domain", rank).alias("domain"))
 
 
 def repair_domains(df: DataFrame, column: str) -> DataFrame:

@@ -13,11 +13,11 @@ from burnish.functions.dates import DAY_FIRST, normalize_date
 from burnish.functions.numbers import clean_amount, clamp_negative, coerce_number, fixed_scale
 from burnish.functions.text import in_vocabulary
 from burnish.operators.dedup import drop_exact_duplicates, drop_key_duplicates
-from burnish.operators.fills import drop_missing, fill_median, fill_undated
-from burnish.operators.ids import continue_ids, positional_ids
-from burnish.operators.ordering import names
+from burnish.operators.fills import carried_months, drop_missing, fill_median
+from burnish.operators.ids import continued_ids, place_ids
+from burnish.operators.ordering import apply_patches, names
 from burnish.operators.vocabulary import canonicalize, repair_domains
-from burnish.session import cut_lineage
+from burnish.session import settle
 
 Rule = Callable[[Column], Column]
 
@@ -51,11 +51,13 @@ class Ids:
 
 @dataclass(frozen=True)
 class Undated:
-    """Give unreadable dates the month start of the last readable one."""
+    """Give unreadable dates the month start of the last readable one.
+
+    The column needs a ``dates`` rule, so that readable means ISO.
+    """
 
     column: str
     group: Sequence[str] = ()
-    formats: Sequence[str] = DAY_FIRST
 
 
 @dataclass(frozen=True)
@@ -100,14 +102,14 @@ def clean_table(df: DataFrame, spec: CleaningSpec, order: str | Sequence[str] |
         df = repair_domains(df, column)
     for column in spec.medians:
         df = fill_median(df, column)
-    if spec.undated or spec.ids:
-        # These steps read their input several times.
-        df = cut_lineage(df)
+    if not (spec.undated or spec.ids):
+        return df
+    # Both kinds of patch read the rows several times, from one written copy.
+    df = settle(df, "cleaned")
+    patches = []
     if spec.undated:
-        u = spec.undated
-        df = fill_undated(df, u.column, order, u.group, u.formats)
+        patches.append(carried_months(df, spec.undated.column, order, names(spec.undated.group)))
     if spec.ids:
         i = spec.ids
-        fill = positional_ids if i.by_place else continue_ids
-        df = fill(df, i.column, order, i.prefix, i.width)
-    return df
+        patches.append((place_ids if i.by_place else continued_ids)(df, i.column, order, i.prefix, i.width))
+    return apply_patches(df, order, patches)

@@ -240,12 +240,19 @@ def domain_seed(place: int) -> int:
     return 42 + 100 * place
 
 
-def write_pairs(spark: SparkSession, folder: str, n_rows: int = 30, n_domains: int = len(DOMAINS)) -> list[str]:
-    """Write ``<domain>_clean.csv`` and ``<domain>_messy.csv`` for the first domains."""
+def write_pairs(rows: DataFrame, folder: str, n_domains: int = len(DOMAINS)) -> list[str]:
+    """Write ``<domain>_clean.csv`` and ``<domain>_messy.csv`` for the first domains.
+
+    ``rows`` has the row numbers, from 0, in ``_row``; see ``numbered``.
+    """
     done = list(DOMAINS)[:n_domains]
     for place, domain in enumerate(done):
         seed = domain_seed(place)
-        clean = clean_rows(spark.range(n_rows).withColumnRenamed("id", ROW), domain, seed)
+        clean = clean_rows(rows, domain, seed)
         write_table(clean, f"{folder}/{domain}_clean.csv", order=ROW)
         write_table(messy_rows(clean, domain, seed), f"{folder}/{domain}_messy.csv", order=[ROW, COPY])
     return done
+
+
+def numbered(spark: SparkSession, n_rows: int = 30) -> DataFrame:
+    return spark.range(n_rows).withColumnRenamed("id", ROW)

@@ -41,7 +41,7 @@ def task_specs(formats: Sequence[str] = DAY_FIRST) -> dict[str, CleaningSpec]:
                 "last_updated": day,
                 "supplier": [strip],
             },
-            undated=Undated("last_updated", formats=formats),
+            undated=Undated("last_updated"),
             ids=Ids("product_id", by_place=True, prefix="P", width=3),
         ),
         "hr": CleaningSpec(

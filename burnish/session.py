@@ -31,9 +31,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/burnish/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors, fixes partitions for good."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` under the shared folder and go on from the files.
+
+    For jobs that read their input several times and need the same rows each
+    time, whatever executor is lost in between. Unlike a checkpoint the files
+    are columnar: a later pass reads only the columns and row groups it needs.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
