@@ -14,25 +14,24 @@ from pyspark.sql import functions as F
 
 from burnish.functions.text import col
 
-MODULUS = 2**31 - 1
-MULTIPLIERS = (48271, 69621, 39373)
+# Two primes below 2^31: the change of modulus breaks the straight line that one
+# multiplication would draw, without naming any part of the expression twice.
+MODULUS, SECOND = 2**31 - 1, 2**31 - 19
+_HIGH = 69621
 
 
-def stream(seed: int, name: str) -> int:
-    """Constant that tells one stream of draws from another."""
-    return zlib.crc32(f"{seed}:{name}".encode()) % MODULUS
+def stream(seed: int, name: str) -> tuple[int, int, int]:
+    """Two multipliers and a summand that tell one stream of draws from another."""
+    a, b, c = (zlib.crc32(f"{seed}:{name}:{part}".encode()) for part in "abc")
+    return a % (MODULUS - 1) + 1, b % (SECOND - 1) + 1, c % SECOND
 
 
 def draw(key: Column | str, seed: int, name: str) -> Column:
-    """Whole number in [0, MODULUS) for a non-negative integer ``key``."""
+    """Whole number in [0, SECOND) for a non-negative integer ``key``."""
     k = col(key).cast("bigint")
-    m, c = F.lit(MODULUS).cast("bigint"), F.lit(stream(seed, name)).cast("bigint")
-    a, b, d = (F.lit(x).cast("bigint") for x in MULTIPLIERS)
-    x = ((k % m) * a + F.floor(k / m).cast("bigint") * b + c) % m
-    x = x.bitwiseXOR(F.shiftright(x, 15))
-    x = (x * b + c) % m
-    x = x.bitwiseXOR(F.shiftright(x, 13))
-    return (x * d + c) % m
+    a, b, c = (F.lit(x).cast("bigint") for x in stream(seed, name))
+    x = ((k % F.lit(MODULUS)) * a + F.shiftright(k, 31) * F.lit(_HIGH) + c) % F.lit(MODULUS)
+    return (x * b + c) % F.lit(SECOND)
 
 
 def pick(n: int, key: Column | str, seed: int, name: str) -> Column:
@@ -40,8 +39,13 @@ def pick(n: int, key: Column | str, seed: int, name: str) -> Column:
     return draw(key, seed, name) % F.lit(n)
 
 
-def happens(probability: float, key: Column | str, seed: int, name: str) -> Column:
-    return draw(key, seed, name) < F.lit(int(probability * MODULUS))
+def under(rate: float, chance: Column) -> Column:
+    """True for a ``rate`` of all draws."""
+    return chance < F.lit(int(rate * SECOND))
+
+
+def happens(rate: float, key: Column | str, seed: int, name: str) -> Column:
+    return under(rate, draw(key, seed, name))
 
 
 def choose(words: Sequence[str], key: Column | str, seed: int, name: str) -> Column:

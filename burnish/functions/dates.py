@@ -29,9 +29,6 @@ MONTH_FIRST = ("yyyy-M-d", "M/d/yyyy", "M/d/yy", "M-d-yyyy", "d-M-yyyy", "d/M/yy
 # Two-digit years from this one on belong to the 1900s.
 PIVOT = 69
 
-_DIGITS = {"yyyy": r"\d{4}", "yy": r"\d{2}", "M": r"\d{1,2}", "MM": r"\d{1,2}", "d": r"\d{1,2}", "dd": r"\d{1,2}"}
-_NAMED = {"MMM": r"\p{L}{3}", "MMMM": r"\p{L}{3,9}"}
-
 SHAPES = {
     "iso": r"^\d{4}-\d{1,2}-\d{1,2}$",
     "y/m/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
@@ -50,50 +47,68 @@ def date_shape(c: Column | str) -> Column:
     return shape.otherwise("other")
 
 
-def _shape_of(fmt: str) -> str:
-    """Regex every text in this format matches; formats with one regex compete."""
-    if fmt == "yyyyMMdd":
-        return r"^\d{8}$"
-    tokens = re.findall(r"[A-Za-z]+|[^A-Za-z]", fmt)
-    return "^" + "".join(_DIGITS.get(t) or _NAMED.get(t) or re.escape(t) for t in tokens) + "$"
+_MONTH, _DAY = "0?[1-9]|1[0-2]", "0?[1-9]|[12][0-9]|3[01]"
+_YEAR = "(?!0000)[0-9]{4}"
+_CLOCK = "[ T][0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:[.][0-9]+)?)?"
+# Put before the text, so that a two-digit year can take its century from it.
+_CENTURIES = "1920|"
+_WORDED = r"^(\p{L}{3,9} \d{1,2}, \d{4}|\d{1,2} \p{L}{3,9} \d{4})$"
 
 
-def _read(s: Column, fmt: str, pivot: int) -> Column:
-    """Date in one format, from a text already known to have its shape.
+def _rearrange(formats: Sequence[str], pivot: int) -> tuple[str, str]:
+    """Regex and replacement that turn a text in any numeric format into ISO.
 
-    Numeric formats are rearranged into ISO order and cast: a cast returns null
-    for a wrong date, where a formatter would raise and catch for every miss.
+    One alternative per format, in their order. Months and days are held to
+    their ranges, so a later reading gets its turn just when an earlier one is
+    no date; days a month does not have are no date in any other reading.
+    Groups of alternatives that did not match put nothing into the result.
     """
-    if fmt == "yyyyMMdd":
-        iso = F.concat(F.substring(s, 1, 4), F.lit("-"), F.substring(s, 5, 2), F.lit("-"), F.substring(s, 7, 2))
-        return iso.try_cast("date")
-    fields = re.findall(r"[A-Za-z]+", fmt)
-    if not all(f in _DIGITS for f in fields):
-        return F.try_to_date(F.initcap(s), fmt)
-    sep = re.search(r"[^A-Za-z]", fmt).group()
-    part = {f[0]: F.split_part(s, F.lit(sep), F.lit(i + 1)) for i, f in enumerate(fields)}
-    year = part["y"]
-    if "yyyy" not in fields:
-        year = F.concat(F.when(year >= f"{pivot:02d}", "19").otherwise("20"), year)
-    return F.concat(year, F.lit("-"), part["M"], F.lit("-"), part["d"]).try_cast("date")
+    early = "|".join(f"{y:02d}" for y in range(pivot))
+    late = "|".join(f"{y:02d}" for y in range(pivot, 100))
+    alternatives, parts, n = [], {"year": [], "month": [], "day": []}, 0
+
+    def group(part: str, regex: str) -> str:
+        nonlocal n
+        n += 1
+        parts[part].append(f"${n}")
+        return f"({regex})"
+
+    for fmt in formats:
+        for head, year in (("19(20)", early), ("(19)20", late)) if not re.search("yyyy", fmt) else (("1920", _YEAR),):
+            if "(" in head:
+                n += 1
+                parts["year"].append(f"${n}")
+            body = re.sub(
+                "y+|M|d",
+                lambda m: {"M": lambda: group("month", _MONTH), "d": lambda: group("day", _DAY)}.get(
+                    m.group(), lambda: group("year", year)
+                )(),
+                {"yyyyMMdd": "yyyyMd"}.get(fmt, fmt),
+            )
+            if fmt == "yyyyMMdd":
+                body = f"(?=[^|]{{8}}$){body}"
+            clock = f"(?:{_CLOCK})?" if fmt == "yyyy-M-d" and "yyyyMMdd" in formats else ""
+            alternatives.append(rf"{head}\|{body}{clock}")
+    return f"^(?:{'|'.join(alternatives)})$", "-".join("".join(g) for g in parts.values())
 
 
 def parse_date(c: Column | str, formats: Sequence[str] = DAY_FIRST, pivot: int = PIVOT) -> Column:
-    """First format that yields a real date; null if none does.
+    """First of ``formats`` that yields a real date; null if none does.
 
-    Each text is sent by its shape to the few formats that could fit it.
+    All numeric formats together are one regular expression and a cast, which
+    is null for what is no date; a formatter would throw and catch at each miss.
     """
     s = strip(c)
-    by_shape: dict[str, list[str]] = {}
-    for fmt in formats:
-        by_shape.setdefault(_shape_of(fmt), []).append(fmt)
-    parsed = F.when(F.lit(False), F.lit(None).cast("date"))
-    for regex, fits in by_shape.items():
-        parsed = parsed.when(s.rlike(regex), F.coalesce(*[_read(s, f, pivot) for f in fits]))
-    if set(INFERRED) <= set(formats):
-        stamp = s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?$")
-        parsed = parsed.when(stamp, F.regexp_extract(s, r"^[\d-]+", 0).try_cast("date"))
-    return parsed
+    numeric = [f for f in formats if re.fullmatch(r"(yyyy|yy|M|d)([-/])(M|d)\2(yyyy|yy|M|d)|yyyyMMdd", f)]
+    worded = [f for f in formats if "MMM" in f]
+    if len(numeric) + len(worded) < len(formats):
+        raise ValueError(f"unknown date format among {formats}")
+    regex, iso = _rearrange(numeric, pivot)
+    parsed = F.regexp_replace(F.concat(F.lit(_CENTURIES), s), regex, iso).try_cast("date")
+    if not worded:
+        return parsed
+    named = F.when(s.rlike(_WORDED), F.coalesce(*[F.try_to_date(F.initcap(s), f) for f in worded]))
+    return F.coalesce(parsed, named)
 
 
 def normalize_date(c: Column | str, formats: Sequence[str] = DAY_FIRST, pivot: int = PIVOT) -> Column:

@@ -1,11 +1,16 @@
-"""The dirt a cleaning job has to undo, put on clean values by seeded choice."""
+"""The dirt a cleaning job has to undo, put on clean values.
+
+Each rule takes the value and a chance: a whole-number column from
+``chance.draw`` that decides which dirt it gets.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from burnish.functions.chance import choose, happens, pick
+from burnish.functions.chance import pick, under
+from burnish.functions.dates import iso_date
 from burnish.functions.text import col
 
 # Span of the random dates and the two probabilities.
@@ -14,9 +19,9 @@ BLANK_RATE, COPY_RATE = 0.08, 0.05
 PAD = "  "
 
 
-def _unless_empty(c: Column, dirty: Column) -> Column:
+def _nothing(c: Column) -> Column:
     """Empty and missing values have nothing to spoil."""
-    return F.when(F.coalesce(c, F.lit("")) == "", "").otherwise(dirty)
+    return F.when(c.isNull() | (c == ""), "")
 
 
 def _padded(c: Column) -> Column:
@@ -27,61 +32,56 @@ def random_date(key: Column | str, seed: int, name: str) -> Column:
     return F.date_add(F.lit(FIRST_DAY).cast("date"), pick(DAYS, key, seed, name).cast("int"))
 
 
-def dirty_date(c: Column | str, key: Column | str, seed: int, name: str) -> Column:
+def dirty_date(c: Column | str, chance: Column | str) -> Column:
     """One of five formats, of which two are alike; a text that is no ISO date stays."""
-    c = col(c)
-    n, day = pick(5, key, seed, name), c.try_cast("date")
-    written = (
-        F.when(n == 0, F.date_format(day, "MM/dd/yyyy"))
-        .when(n == 1, F.date_format(day, "MM-dd-yyyy"))
-        .when(n == 4, F.date_format(day, "dd-MM-yyyy"))
-        .otherwise(F.date_format(day, "M/d/yy"))
+    c, n = col(c), col(chance) % 5
+    year, month, day = F.substring(c, 1, 4), F.substring(c, 6, 2), F.substring(c, 9, 2)
+
+    def joined(sep: str, *parts: Column) -> Column:
+        return F.concat_ws(sep, *parts)
+
+    short = joined("/", F.ltrim(month, F.lit("0")), F.ltrim(day, F.lit("0")), F.substring(c, 3, 2))
+    return (
+        _nothing(c)
+        .when(iso_date(c).isNull(), c)
+        .when(n == 0, joined("/", month, day, year))
+        .when(n == 1, joined("-", month, day, year))
+        .when(n == 4, joined("-", day, month, year))
+        .otherwise(short)
     )
-    return _unless_empty(c, F.coalesce(written, c))
 
 
-def dirty_case(c: Column | str, key: Column | str, seed: int, name: str) -> Column:
+def dirty_case(c: Column | str, chance: Column | str) -> Column:
     """Upper, lower, padded or untouched: names and categories alike."""
-    c = col(c)
-    n = pick(4, key, seed, name)
-    return _unless_empty(
-        c, F.when(n == 0, F.upper(c)).when(n == 1, F.lower(c)).when(n == 2, _padded(c)).otherwise(c)
-    )
+    c, n = col(c), col(chance) % 4
+    return _nothing(c).when(n == 0, F.upper(c)).when(n == 1, F.lower(c)).when(n == 2, _padded(c)).otherwise(c)
 
 
-def dirty_email(c: Column | str, key: Column | str, seed: int, name: str) -> Column:
+def dirty_email(c: Column | str, chance: Column | str) -> Column:
     """Upper, ``@`` lost, domain cut to ``@example``, padded or untouched."""
-    c = col(c)
-    n = pick(5, key, seed, name)
-    dirty = (
-        F.when(n == 0, F.upper(c))
+    c, n = col(c), col(chance) % 5
+    return (
+        _nothing(c)
+        .when(n == 0, F.upper(c))
         .when(n == 1, F.replace(c, F.lit("@"), F.lit("")))
         .when(n == 2, F.concat(F.substring_index(c, "@", 1), F.lit("@example")))
         .when(n == 3, _padded(c))
         .otherwise(c)
     )
-    return _unless_empty(c, dirty)
 
 
-def dirty_price(c: Column | str, key: Column | str, seed: int, name: str) -> Column:
+def dirty_price(c: Column | str, chance: Column | str) -> Column:
     """``$x``, ``x USD``, padded ``$x`` or untouched."""
-    c = col(c)
-    n = pick(4, key, seed, name)
+    c, n = col(c), col(chance) % 4
     dollar = F.concat(F.lit("$"), c)
-    dirty = F.when(n == 0, dollar).when(n == 1, F.concat(c, F.lit(" USD"))).when(n == 2, _padded(dollar)).otherwise(c)
-    return _unless_empty(c, dirty)
-
-
-def maybe_blank(c: Column | str, key: Column | str, seed: int, name: str, rate: float = BLANK_RATE) -> Column:
-    return F.when(happens(rate, key, seed, f"blank {name}"), "").otherwise(col(c))
+    return (
+        _nothing(c)
+        .when(n == 0, dollar)
+        .when(n == 1, F.concat(c, F.lit(" USD")))
+        .when(n == 2, _padded(dollar))
+        .otherwise(c)
+    )
 
 
-__all__ = [
-    "choose",
-    "dirty_case",
-    "dirty_date",
-    "dirty_email",
-    "dirty_price",
-    "maybe_blank",
-    "random_date",
-]
+def maybe_blank(c: Column | str, chance: Column | str, rate: float = BLANK_RATE) -> Column:
+    return F.when(under(rate, col(chance)), "").otherwise(col(c))

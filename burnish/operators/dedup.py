@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burnish.functions.missing import is_blank
-from burnish.operators.ordering import first_of, names, order_key
+from burnish.operators.ordering import first_per, names, order_key
 
 
 def drop_exact_duplicates(
@@ -26,7 +26,7 @@ def drop_exact_duplicates(
         return df.dropDuplicates(on)
     rest = [c for c in df.columns if c not in on and c not in order]
     if rest:
-        return _first_per(df, on, rest, order)
+        return first_per(df, on, order)
     first = F.min(order_key(order)).alias("_first")
     kept = df.groupBy(*on).agg(first)
     back = [F.col("_first").alias(order[0])] if len(order) == 1 else [F.col(f"_first.{c}").alias(c) for c in order]
@@ -40,15 +40,8 @@ def drop_key_duplicates(df: DataFrame, key: str | Sequence[str], order: str | Se
     shuffle, so missing keys cannot pile up in one task.
     """
     key, order = names(key), names(order)
-    rest = [c for c in df.columns if c not in key]
     texts = [f.name for f in df.schema.fields if f.name in key and f.dataType.simpleString() == "string"]
     keyless = F.lit(False)
     for c in key:
         keyless = keyless | (is_blank(c) if c in texts else F.col(c).isNull())
-    kept = _first_per(df.where(~keyless), key, rest, order)
-    return kept.unionByName(df.where(keyless))
-
-
-def _first_per(df: DataFrame, key: Sequence[str], rest: Sequence[str], order: Sequence[str]) -> DataFrame:
-    row = df.groupBy(*key).agg(first_of(rest, order).alias("_row"))
-    return row.select(*key, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
+    return first_per(df.where(~keyless), key, order).unionByName(df.where(keyless))

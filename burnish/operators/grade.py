@@ -26,8 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burnish.functions.text import normalized
-from burnish.operators.joins import HOT_ROWS, SALTS, salted_lookup
-from burnish.operators.ordering import names
+from burnish.operators.joins import HOT_ROWS, skewed_lookup
+from burnish.operators.ordering import first_per, names
 from burnish.operators.profile import row_digest
 
 # Bounds of every score and the default weights.
@@ -89,24 +89,21 @@ def row_counts(submitted: Graded, expected: Graded) -> DataFrame:
     )
 
 
-def cell_counts(
-    submitted: Graded, expected: Graded, hot_rows: int = HOT_ROWS, salts: int = SALTS
-) -> DataFrame:
+def cell_counts(submitted: Graded, expected: Graded, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row: n_correct and n_cells over submitted rows with an expected key."""
     compared = list(expected.at)
-    row = F.struct(*[expected.cell(h).alias(f"e{i}") for i, h in enumerate(compared)])
-    # Without a row order the greatest row stands for the last, so that the answer is fixed.
-    latest = F.struct(*expected.order) if expected.order else F.col("_row")
-    last = (
-        expected.cells.withColumn("_row", row)
-        .groupBy(expected.key.alias("_key"))
-        .agg(F.max_by("_row", latest).alias("_row"))
-        .select("_key", "_row.*")
+    truth = expected.cells.select(
+        expected.key.alias("_key"),
+        *[expected.cell(h).alias(f"e{i}") for i, h in enumerate(compared)],
+        *expected.order,
     )
+    # Without a row order the greatest row stands for the last, so that the answer is fixed.
+    latest = expected.order or [f"e{i}" for i in range(len(compared))]
+    last = first_per(truth, ["_key"], [F.col(c).desc() for c in latest]).drop(*expected.order)
     given = submitted.cells.select(
         submitted.key.alias("_key"), *[submitted.cell(h).alias(f"s{i}") for i, h in enumerate(compared)]
     )
-    pairs = salted_lookup(given, last, "_key", "inner", hot_rows, salts)
+    pairs = skewed_lookup(given, last, "_key", "inner", hot_rows)
     right = reduce(
         lambda a, b: a + b, [(F.col(f"e{i}") == F.col(f"s{i}")).cast("bigint") for i in range(len(compared))]
     )

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 # A key is hot from this many rows on; below it, one task takes a key easily.
 HOT_ROWS = 1_000_000
 # Bound on the hot keys singled out, and on what the sketch keeps to find them.
-# A key beyond the bound holds under a thousandth of the rows and is joined whole.
+# A key beyond the bound holds under a hundredth of the rows and is joined like the rest.
 HOT_KEYS, SKETCH = 256, 8192
-SALTS = 64
 
 
 def hot_keys(df: DataFrame, key: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -19,38 +18,22 @@ def hot_keys(df: DataFrame, key: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
         F.expr(f"approx_top_k(_hot, {HOT_KEYS}, {SKETCH})").alias("_top")
     )
     top = sketched.select(F.explode("_top").alias("_top"))
-    return top.where(F.col("_top.count") >= hot_rows).select(F.col("_top.item").alias("_hot")).dropDuplicates()
+    return top.where(F.col("_top.count") >= hot_rows).select(F.col("_top.item").alias("_hot"))
 
 
-def salted_lookup(
-    facts: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    how: str = "inner",
-    hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
+def skewed_lookup(
+    facts: DataFrame, lookup: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Join ``facts`` to ``lookup``, which is unique on ``key``, on that key.
 
-    Rows of a hot key are spread over ``salts`` sub-keys and its single lookup
-    row is repeated for each; every other key has one sub-key. No size is
-    assumed for ``lookup``: Spark broadcasts it only if it measures it small.
+    Rows of hot keys meet a broadcast of the hot lookup rows, HOT_KEYS at most,
+    and are never shuffled. All others are joined by key in whatever way Spark
+    finds best for the sizes it measures. Without hot keys, adaptive execution
+    drops the hot branch as soon as the list turns out empty.
     """
     hot = F.broadcast(hot_keys(facts, F.col(key), hot_rows))
-    others = [c for c in facts.columns if c != key]
-    # Partition id in the hash: equal rows of one hot key still spread, and a
-    # retried task computes the same salt again.
-    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *others), F.lit(salts)).cast("int")
-    salted = (
-        facts.withColumn("_spread", spread)
-        .join(hot, F.col(key) == F.col("_hot"), "left")
-        .withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.col("_spread")).otherwise(0))
-        .drop("_hot", "_spread")
-    )
-    copies = F.sequence(F.lit(0), F.when(F.col("_hot").isNotNull(), F.lit(salts - 1)).otherwise(0))
-    repeated = (
-        lookup.join(hot, F.col(key) == F.col("_hot"), "left")
-        .withColumn("_salt", F.explode(copies))
-        .drop("_hot")
-    )
-    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+    is_hot = F.col(key) == F.col("_hot")
+    cold = facts.join(hot, is_hot, "left_anti").join(lookup, key, how)
+    hot_lookup = F.broadcast(lookup.join(hot, is_hot, "left_semi"))
+    hot_rows_joined = facts.join(hot, is_hot, "left_semi").join(hot_lookup, key, how)
+    return cold.unionByName(hot_rows_joined)

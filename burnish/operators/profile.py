@@ -87,9 +87,9 @@ def _with_ratio(rows: DataFrame) -> DataFrame:
 
 
 def row_digest(cells: Sequence[Column]) -> Column:
-    """128-bit digest of a row. Lengths go in, so no two rows share a spelling."""
-    spelled = [F.coalesce(F.concat(F.length(c), F.lit(":"), c), F.lit("~")) for c in cells]
-    return F.md5(F.concat(*spelled))
+    """128-bit digest of a row. The lengths go in first, so no two rows share a spelling."""
+    lengths = [F.coalesce(F.octet_length(c), F.lit(-1)).cast("string") for c in cells]
+    return F.md5(F.concat_ws(",", F.lit(str(len(cells))), *lengths, *cells))
 
 
 def duplicate_checks(df: DataFrame, key: str | Sequence[str] | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from burnish.functions.emails import email_domain, restore_domain
 from burnish.functions.text import lower_strip, strip
-from burnish.operators.joins import HOT_ROWS, salted_lookup
+from burnish.operators.joins import HOT_ROWS, skewed_lookup
 
 
 def canonicalize(
@@ -26,7 +26,7 @@ def canonicalize(
     )
     # A null never matches; '' stands for it so that the join key is total.
     keyed = df.withColumn("_word", F.coalesce(lower_strip(column), F.lit("")))
-    found = salted_lookup(keyed, known, "_word", "left", hot_rows)
+    found = skewed_lookup(keyed, known, "_word", "left", hot_rows)
     value = F.coalesce(F.col("_spelling"), strip(column)).alias(column)
     return found.select(*[value if c == column else F.col(c) for c in df.columns])
 

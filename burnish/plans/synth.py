@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burnish.functions.chance import choose, happens, pick
+from burnish.functions.chance import choose, draw, happens, pick
 from burnish.functions.dirt import (
     BLANK_RATE,
     COPY_RATE,
@@ -31,8 +31,8 @@ ROW, COPY = "_row", "_copy"
 
 # (key, seed, column name) -> clean value
 Maker = Callable[[Column, int, str], Column]
-# (clean value, key, seed, column name) -> dirty value
-Spoiler = Callable[[Column, Column, int, str], Column]
+# (clean value, chance) -> dirty value
+Spoiler = Callable[[Column, Column], Column]
 
 
 def ident(prefix: str, width: int) -> Maker:
@@ -206,16 +206,22 @@ def spoil(
     key: str = ROW,
     blank_rate: float = BLANK_RATE,
 ) -> DataFrame:
-    """Dirty columns, then blanks, in one projection."""
+    """Dirty columns, then blanks.
+
+    The draws get a projection of their own: in one piece the generated method
+    would be too long for the JVM to compile, and run several times slower.
+    """
     k = F.col(key)
+    chances = {f"_dirt_{n}": draw(k, seed, f"dirt {n}") for n in dirt}
+    chances |= {f"_blank_{n}": draw(k, seed, f"blank {n}") for n in blanks}
 
     def cell(name: str) -> Column:
         c = F.col(name)
         if name in dirt:
-            c = dirt[name](c, k, seed, f"dirt {name}")
-        return maybe_blank(c, k, seed, name, blank_rate) if name in blanks else c
+            c = dirt[name](c, F.col(f"_dirt_{name}"))
+        return maybe_blank(c, F.col(f"_blank_{name}"), blank_rate) if name in blanks else c
 
-    return df.select(*[cell(n).alias(n) for n in df.columns])
+    return df.withColumns(chances).select(*[cell(n).alias(n) for n in df.columns])
 
 
 def with_copies(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burnish.functions import dirt as D
+from burnish.functions.chance import draw
 from burnish.plans import words as W
 from burnish.plans.synth import COPY, ROW, clean_rows, domain_seed, messy_rows, write_pairs
 from burnish.queries import messy as M
@@ -24,27 +25,27 @@ def random_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select k, {M.dirty_date_sql('order_date', 'k', S, 'd')} as order_date from ({M.ORDERS_CLEAN})")
 def corrupt_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = M.orders_clean(spark, sf_dir)
-    return rows.select("k", D.dirty_date("order_date", "k", S, "d").alias("order_date"))
+    return rows.select("k", D.dirty_date("order_date", draw("k", S, "d")).alias("order_date"))
 
 
 @query(f"select k, {M.dirty_case_sql('name', 'k', S, 'n')} as name from ({M.CUSTOMERS_CLEAN})")
 def corrupt_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.customers_clean(spark, sf_dir).select("k", D.dirty_case("name", "k", S, "n").alias("name"))
+    return M.customers_clean(spark, sf_dir).select("k", D.dirty_case("name", draw("k", S, "n")).alias("name"))
 
 
 @query(f"select k, {M.dirty_email_sql('email', 'k', S, 'e')} as email from ({M.CUSTOMERS_CLEAN})")
 def corrupt_email(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.customers_clean(spark, sf_dir).select("k", D.dirty_email("email", "k", S, "e").alias("email"))
+    return M.customers_clean(spark, sf_dir).select("k", D.dirty_email("email", draw("k", S, "e")).alias("email"))
 
 
 @query(f"select k, {M.dirty_price_sql('amount', 'k', S, 'p')} as amount from ({M.ORDERS_CLEAN})")
 def corrupt_price(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.orders_clean(spark, sf_dir).select("k", D.dirty_price("amount", "k", S, "p").alias("amount"))
+    return M.orders_clean(spark, sf_dir).select("k", D.dirty_price("amount", draw("k", S, "p")).alias("amount"))
 
 
 @query(f"select k, {M.dirty_case_sql('segment', 'k', S, 'c')} as segment from ({M.CUSTOMERS_CLEAN})")
 def corrupt_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.customers_clean(spark, sf_dir).select("k", D.dirty_case("segment", "k", S, "c").alias("segment"))
+    return M.customers_clean(spark, sf_dir).select("k", D.dirty_case("segment", draw("k", S, "c")).alias("segment"))
 
 
 @query(
@@ -55,8 +56,8 @@ def blank_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = M.orders_clean(spark, sf_dir)
     return rows.select(
         "k",
-        D.maybe_blank("amount", "k", S, "a").alias("amount"),
-        D.maybe_blank("priority", "k", S, "b").alias("priority"),
+        D.maybe_blank("amount", draw("k", S, "blank a")).alias("amount"),
+        D.maybe_blank("priority", draw("k", S, "blank b")).alias("priority"),
     )
 
 

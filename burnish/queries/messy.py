@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burnish.functions import dirt as D
-from burnish.functions.chance import MODULUS, MULTIPLIERS, pick, stream
+from burnish.functions.chance import SECOND, pick, stream
 from burnish.plans.synth import spoil, with_copies
 from burnish.queries.registry import table
 
@@ -38,14 +38,14 @@ def orders_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _date_or_invalid(c: Column, k: Column, seed: int, name: str) -> Column:
-    return F.when(pick(20, k, seed, f"{name} lost") == 0, "invalid").otherwise(D.dirty_date(c, k, seed, name))
+def _date_or_invalid(c: Column, chance: Column) -> Column:
+    return F.when(chance % 23 == 0, "invalid").otherwise(D.dirty_date(c, chance))
 
 
-def _price_or_invalid(c: Column, k: Column, seed: int, name: str) -> Column:
-    n = pick(25, k, seed, f"{name} lost")
+def _price_or_invalid(c: Column, chance: Column) -> Column:
+    n = chance % 25
     signed = F.when(n == 1, F.concat(F.lit("-"), c)).otherwise(c)
-    return F.when(n == 0, "  invalid  ").otherwise(D.dirty_price(signed, k, seed, name))
+    return F.when(n == 0, "  invalid  ").otherwise(D.dirty_price(signed, chance))
 
 
 def orders_messy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +76,9 @@ def customers_messy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spoil(customers_clean(spark, sf_dir), dirt, ["email", "balance", "segment"], SEED, key="k")
 
 
-def _pad_or_glue(c: Column, k: Column, seed: int, name: str) -> Column:
+def _pad_or_glue(c: Column, chance: Column) -> Column:
     """Padding ``trim`` would miss, and words whose casing ``initcap`` would miss."""
-    n = pick(6, k, seed, name)
+    n = chance % 6
     return (
         F.when(n == 0, F.concat(F.lit("\t"), c, F.lit("\xa0")))
         .when(n == 1, F.concat(F.lit("  "), F.upper(c), F.lit(" 10FT\t ")))
@@ -107,13 +107,9 @@ def parts_messy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def draw_sql(key: str, seed: int, name: str) -> str:
-    a, b, d = MULTIPLIERS
-    c, m = stream(seed, name), MODULUS
-    x = f"(({key} % {m} * {a} + {key} // {m} * {b} + {c}) % {m})"
-    x = f"xor({x}, {x} >> 15)"
-    x = f"(({x} * {b} + {c}) % {m})"
-    x = f"xor({x}, {x} >> 13)"
-    return f"(({x} * {d} + {c}) % {m})"
+    a, b, c = stream(seed, name)
+    x = f"(({key} % 2147483647) * {a}::bigint + ({key} >> 31) * 69621::bigint + {c}) % 2147483647"
+    return f"((({x}) * {b}::bigint + {c}) % 2147483629)"
 
 
 def pick_sql(n: int, key: str, seed: int, name: str) -> str:
@@ -121,7 +117,7 @@ def pick_sql(n: int, key: str, seed: int, name: str) -> str:
 
 
 def happens_sql(rate: float, key: str, seed: int, name: str) -> str:
-    return f"({draw_sql(key, seed, name)} < {int(rate * MODULUS)})"
+    return f"({draw_sql(key, seed, name)} < {int(rate * SECOND)})"
 
 
 def blank_sql(c: str, key: str, seed: int, name: str, rate: float = D.BLANK_RATE) -> str:
@@ -156,13 +152,13 @@ def dirty_price_sql(c: str, key: str, seed: int, name: str) -> str:
 
 
 def price_or_invalid_sql(c: str, key: str, seed: int, name: str) -> str:
-    n = pick_sql(25, key, seed, f"{name} lost")
+    n = pick_sql(25, key, seed, name)
     plain, negative = dirty_price_sql(c, key, seed, name), dirty_price_sql(f"('-' || {c})", key, seed, name)
     return f"case {n} when 0 then '  invalid  ' when 1 then {negative} else {plain} end"
 
 
 def date_or_invalid_sql(c: str, key: str, seed: int, name: str) -> str:
-    lost = pick_sql(20, key, seed, f"{name} lost")
+    lost = pick_sql(23, key, seed, name)
     return f"case when {lost} = 0 then 'invalid' else {dirty_date_sql(c, key, seed, name)} end"
 
 

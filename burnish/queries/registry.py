@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from burnish.session import tuned
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -16,7 +18,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     """Register a function under its name, with the SQL that must give the same rows."""
 
     def register(run: Query) -> Query:
-        QUERIES[name or run.__name__] = run
+        QUERIES[name or run.__name__] = lambda spark, sf_dir: run(tuned(spark), sf_dir)
         if sql:
             ORACLES[name or run.__name__] = sql
         return run

@@ -11,14 +11,14 @@ from burnish.operators.report import succeeded, summary_by_level, summary
 from burnish.queries.registry import query, table
 
 RUNS = """select event_id as episode, event_type as level,
-    least(0.99, greatest(0.01, round(value / 60, 2))) as reward, (1 + user_id % 30)::int as steps from events"""
+    (round(value * 100)::bigint % 99 + 1) / 100 as reward, (1 + user_id % 30)::int as steps from events"""
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("episode"),
         F.col("event_type").alias("level"),
-        bounded(F.round(F.col("value") / 60, 2)).alias("reward"),
+        bounded((F.round(F.col("value") * 100).cast("bigint") % 99 + 1) / 100).alias("reward"),
         (F.col("user_id") % 30 + 1).cast("int").alias("steps"),
     )
 

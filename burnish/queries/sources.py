@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from burnish.functions import dirt as D
 from burnish.operators.grade import bounded
+from burnish.operators.ordering import with_position
 from burnish.operators.report import succeeded, summary_by_level
 from burnish.plans.synth import COPY, ROW, clean_rows, domain_seed, messy_rows
-from burnish.functions import dirt as D
 from burnish.queries import messy as M
 from burnish.queries.dirt import KEYS
 from burnish.queries.registry import query, table
@@ -28,8 +29,6 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["part_id", "name", "kind", "size", "price"]
     rows = M.parts_messy(spark, sf_dir).select(F.col("k").alias("_k"), *columns)
     write_table(rows, path, order="_k")
-    from burnish.operators.ordering import with_position
-
     return with_position(read_table(spark, path, ordered=True), "_order", "place").drop("_order")
 
 
@@ -72,13 +71,13 @@ def catalog_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # One run per user, one step per event of the user.
 _STEPS = """select user_id as episode, event_id as step, event_type as action,
-    least(0.99, greatest(0.01, round(value / 60, 2))) as reward, event_type = 'purchase' as done,
+    (round(value * 100)::bigint % 99 + 1) / 100 as reward, event_type = 'purchase' as done,
     case when event_type = 'error' then 'timed out' end as error from events"""
 _RUNS = f"""select episode, count(*)::int as steps, max(reward) as score from ({_STEPS}) group by 1"""
 
 
 def _logged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    reward = bounded(F.round(F.col("value") / 60, 2))
+    reward = bounded((F.round(F.col("value") * 100).cast("bigint") % 99 + 1) / 100)
     steps = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("episode"),
         F.col("event_id").cast("int").alias("step"),

@@ -1,4 +1,4 @@
-"""The shared folder for checkpoints and written tables, taken from the session."""
+"""Session settings, and the shared folder for tables written on the way."""
 
 from __future__ import annotations
 
@@ -10,6 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+# The JVM leaves methods above 8000 bytes uncompiled. Past this limit Spark cuts a
+# long projection into small methods instead of running one long one interpreted;
+# its own default is far higher.
+_METHOD_LIMIT = ("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """Session settings that suit wide projections with many rules."""
+    spark.conf.set(*_METHOD_LIMIT)
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it.
 
