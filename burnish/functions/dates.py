@@ -29,6 +29,13 @@ MONTH_FIRST = ("yyyy-M-d", "M/d/yyyy", "M/d/yy", "M-d-yyyy", "d-M-yyyy", "d/M/yy
 # Two-digit years from this one on belong to the 1900s.
 PIVOT = 69
 
+_MONTH, _DAY = "0?[1-9]|1[0-2]", "0?[1-9]|[12][0-9]|3[01]"
+_YEAR = "(?!0000)[0-9]{4}"
+_CLOCK = "[ T][0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:[.][0-9]+)?)?"
+# Put before the text, so that a two-digit year can take its century from it.
+_CENTURIES = "1920|"
+_WORDED = r"^(\p{L}{3,9} \d{1,2}, \d{4}|\d{1,2} \p{L}{3,9} \d{4})$"
+
 SHAPES = {
     "iso": r"^\d{4}-\d{1,2}-\d{1,2}$",
     "y/m/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
@@ -47,14 +54,6 @@ def date_shape(c: Column | str) -> Column:
     return shape.otherwise("other")
 
 
-_MONTH, _DAY = "0?[1-9]|1[0-2]", "0?[1-9]|[12][0-9]|3[01]"
-_YEAR = "(?!0000)[0-9]{4}"
-_CLOCK = "[ T][0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:[.][0-9]+)?)?"
-# Put before the text, so that a two-digit year can take its century from it.
-_CENTURIES = "1920|"
-_WORDED = r"^(\p{L}{3,9} \d{1,2}, \d{4}|\d{1,2} \p{L}{3,9} \d{4})$"
-
-
 def _rearrange(formats: Sequence[str], pivot: int) -> tuple[str, str]:
     """Regex and replacement that turn a text in any numeric format into ISO.
 
@@ -119,7 +118,7 @@ def normalize_date(c: Column | str, formats: Sequence[str] = DAY_FIRST, pivot: i
 def iso_date(c: Column | str) -> Column:
     """Date of a text in exactly the form ``normalize_date`` gives, else null."""
     c = col(c)
-    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), c.try_cast("date"))
+    return F.when(c.rlike(rf"^{_YEAR}-\d{{2}}-\d{{2}}$"), c.try_cast("date"))
 
 
 def ambiguous_date(c: Column | str) -> Column:

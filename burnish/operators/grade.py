@@ -163,7 +163,8 @@ def grade(
     tables. A missing submission, or either side without columns or rows, gets
     the lowest reward.
     """
-    aside = names(order)
+    # A table that could not be read has no columns at all.
+    aside = names(order) if expected.columns else []
     hand = None if submitted is None else Graded(submitted, [c for c in aside if c in submitted.columns])
     truth = Graded(expected, aside)
     if hand is None or not hand.headers or not truth.headers:
