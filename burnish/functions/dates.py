@@ -36,21 +36,24 @@ _CLOCK = "[ T][0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:[.][0-9]+)?)?"
 _CENTURIES = "1920|"
 _WORDED = r"^(\p{L}{3,9} \d{1,2}, \d{4}|\d{1,2} \p{L}{3,9} \d{4})$"
 
+# Written shapes told apart by separator and by the lengths of first and last number.
 SHAPES = {
-    "iso": r"^\d{4}-\d{1,2}-\d{1,2}$",
-    "y/m/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
-    "m/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
-    "m/d/yy": r"^\d{1,2}/\d{1,2}/\d{2}$",
-    "dashed": r"^\d{1,2}-\d{1,2}-\d{4}$",
+    "iso": ("-", (4, 4), (1, 2)),
+    "y/m/d": ("/", (4, 4), (1, 2)),
+    "m/d/yyyy": ("/", (1, 2), (4, 4)),
+    "m/d/yy": ("/", (1, 2), (2, 2)),
+    "dashed": ("-", (1, 2), (4, 4)),
 }
 
 
 def date_shape(c: Column | str) -> Column:
     """Name of the written shape: a key of SHAPES, ``blank`` or ``other``."""
     s = strip(c)
-    shape = F.when(s.isNull() | (s == ""), "blank")
-    for name, regex in SHAPES.items():
-        shape = shape.when(s.rlike(regex), name)
+    numbers = s.rlike(r"^\d{1,4}([-/])\d{1,2}\1\d{1,4}$")
+    shape = F.when(s.isNull() | (s == ""), "blank").when(~numbers, "other")
+    for name, (sep, head, tail) in SHAPES.items():
+        first, last = (F.octet_length(F.substring_index(s, sep, n)) for n in (1, -1))
+        shape = shape.when(s.contains(sep) & first.between(*head) & last.between(*tail), name)
     return shape.otherwise("other")
 
 
@@ -124,9 +127,9 @@ def iso_date(c: Column | str) -> Column:
 def ambiguous_date(c: Column | str) -> Column:
     """True for ``aa-bb-yyyy`` where both readings are real and differ."""
     s = strip(c)
-    day, month = (F.split_part(s, F.lit("-"), F.lit(i)).try_cast("int") for i in (1, 2))
-    both = s.rlike(SHAPES["dashed"]) & day.between(1, 12) & month.between(1, 12)
-    return F.coalesce(both & (day != month), F.lit(False))
+    number = "(0?[1-9]|1[0-2])"
+    # The same number twice, with or without a leading zero, reads one way only.
+    return F.coalesce(s.rlike(rf"^(?!0?(\d+)-0?\1-){number}-{number}-\d{{4}}$"), F.lit(False))
 
 
 def month_start(c: Column | str) -> Column:

@@ -15,6 +15,9 @@ Scores keep these rules, on which the published numbers rest:
 * every part, and the total, lies within [0.01, 0.99].
 
 Header texts can differ in case only, so columns are addressed by position.
+
+Each side is read more than once, so tables that are costly to work out should
+be stored before they are graded.
 """
 
 from __future__ import annotations

@@ -7,17 +7,25 @@ from pyspark.sql import functions as F
 
 # A key is hot from this many rows on; below it, one task takes a key easily.
 HOT_ROWS = 1_000_000
-# Bound on the hot keys singled out, and on what the sketch keeps to find them.
-# A key beyond the bound holds under a hundredth of the rows and is joined like the rest.
-HOT_KEYS, SKETCH = 256, 8192
+# Bound on the hot keys singled out, and on what a sketch keeps to find them. A
+# key beyond the bound holds under a thousandth of the rows and is joined like the rest.
+HOT_KEYS, SKETCH = 1024, 16384
+# Sketches of all tasks are merged in this many groups first, then into one.
+SKETCH_GROUPS = 256
 
 
 def hot_keys(df: DataFrame, key: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """At most HOT_KEYS keys with ``hot_rows`` rows or more, from one sketch pass."""
-    sketched = df.select(key.alias("_hot")).agg(
-        F.expr(f"approx_top_k(_hot, {HOT_KEYS}, {SKETCH})").alias("_top")
+    """At most HOT_KEYS keys with ``hot_rows`` rows or more, from one pass over the key.
+
+    Nothing but sketches of bounded size is shuffled.
+    """
+    per_group = (
+        df.select(key.alias("_hot"), (F.spark_partition_id() % SKETCH_GROUPS).alias("_group"))
+        .groupBy("_group")
+        .agg(F.expr(f"approx_top_k_accumulate(_hot, {SKETCH})").alias("_sketch"))
     )
-    top = sketched.select(F.explode("_top").alias("_top"))
+    whole = per_group.agg(F.expr(f"approx_top_k_combine(_sketch, {SKETCH})").alias("_sketch"))
+    top = whole.select(F.explode(F.expr(f"approx_top_k_estimate(_sketch, {HOT_KEYS})")).alias("_top"))
     return top.where(F.col("_top.count") >= hot_rows).select(F.col("_top.item").alias("_hot"))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,21 +25,32 @@ ALL_AMOUNT_SHAPES = (*AMOUNT_SHAPES, *(f"padded {s}" for s in AMOUNT_SHAPES), "b
 # Fixed casings a column may be meant to have.
 CASINGS = {"upper": lambda c: F.upper(strip(c)), "lower": lower_strip, "title": title_case}
 
-Check = tuple[str, str, Column]
+
+class Check(NamedTuple):
+    """Rows where ``value``, one per row and ``kind``, is ``found`` count as bad."""
+
+    column: str
+    check: str
+    kind: str
+    value: Column
+    found: str | bool = True
 
 
 def missing_checks(columns: Iterable[str]) -> list[Check]:
-    return [(c, "missing", is_blank(c)) for c in columns]
+    return [Check(c, "missing", "missing", is_blank(c)) for c in columns]
 
 
 def padding_checks(columns: Iterable[str]) -> list[Check]:
-    return [(c, "padded", F.col(c) != strip(c)) for c in columns]
+    return [Check(c, "padded", "padded", F.col(c) != strip(c)) for c in columns]
 
 
 def date_checks(columns: Iterable[str]) -> list[Check]:
     """One count per written shape, and one for dates that read two ways."""
-    found = [(c, f"date {s}", date_shape(c) == s) for c in columns for s in ALL_DATE_SHAPES]
-    return found + [(c, "date ambiguous", ambiguous_date(c)) for c in columns]
+    found = []
+    for c in columns:
+        found += [Check(c, f"date {s}", "date", date_shape(c), s) for s in ALL_DATE_SHAPES]
+        found.append(Check(c, "date ambiguous", "ambiguous", ambiguous_date(c)))
+    return found
 
 
 def casing_checks(columns: Mapping[str, str | Sequence[str]]) -> list[Check]:
@@ -49,32 +61,38 @@ def casing_checks(columns: Mapping[str, str | Sequence[str]]) -> list[Check]:
     checks: list[Check] = []
     for c, meant in columns.items():
         right = CASINGS[meant](c) if isinstance(meant, str) else in_vocabulary(c, meant)
-        checks.append((c, "wrong case", strip(c) != right))
-        checks += [(c, f"case {k}", case_class(c) == k) for k in CASES]
+        checks.append(Check(c, "wrong case", "wrong case", strip(c) != right))
+        checks += [Check(c, f"case {k}", "case", case_class(c), k) for k in CASES]
     return checks
 
 
 def email_checks(columns: Iterable[str]) -> list[Check]:
-    return [(c, "invalid email", ~is_blank(c) & ~valid_email(c)) for c in columns]
+    return [Check(c, "invalid email", "email", ~is_blank(c) & ~valid_email(c)) for c in columns]
 
 
 def number_checks(columns: Iterable[str]) -> list[Check]:
-    return [(c, "invalid number", ~is_blank(c) & ~is_number(c)) for c in columns]
+    return [Check(c, "invalid number", "number", ~is_blank(c) & ~is_number(c)) for c in columns]
 
 
 def amount_checks(columns: Iterable[str]) -> list[Check]:
-    return [(c, f"amount {s}", amount_shape(c) == s) for c in columns for s in ALL_AMOUNT_SHAPES]
+    return [Check(c, f"amount {s}", "amount", amount_shape(c), s) for c in columns for s in ALL_AMOUNT_SHAPES]
 
 
 def count_checks(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
-    """All checks in one aggregation; the one wide row is then turned into rows."""
-    counted = df.agg(
-        F.count(F.lit(1)).alias("n_rows"), *[F.count_if(test).alias(f"n{i}") for i, (_, _, test) in enumerate(checks)]
+    """All checks in one aggregation; the one wide row is then turned into rows.
+
+    What a check looks at is worked out once per row, in a projection, however
+    many checks share it.
+    """
+    looked_at = {f"{c.kind} of {c.column}": c.value for c in checks}
+    counted = df.select(*[value.alias(name) for name, value in looked_at.items()]).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        *[F.count_if(F.col(f"`{c.kind} of {c.column}`") == c.found).alias(f"n{i}") for i, c in enumerate(checks)],
     )
     listed = F.array(
         *[
-            F.struct(F.lit(c).alias("column"), F.lit(k).alias("check"), F.col(f"n{i}").alias("n_bad"))
-            for i, (c, k, _) in enumerate(checks)
+            F.struct(F.lit(c.column).alias("column"), F.lit(c.check).alias("check"), F.col(f"n{i}").alias("n_bad"))
+            for i, c in enumerate(checks)
         ]
     )
     rows = counted.select("n_rows", F.explode(listed).alias("x"))

@@ -16,7 +16,7 @@ from burnish.queries import messy as M
 from burnish.queries.clean import orders_spec
 from burnish.queries.dirt import KEYS, _domain_columns, _keys, clean_sql, messy_sql
 from burnish.queries.registry import query
-from burnish.session import scratch_path
+from burnish.session import scratch_path, settle
 from burnish.sources.catalog import TASKS
 from burnish.sources.tables import write_table
 
@@ -191,10 +191,10 @@ _FIRST = f"""select order_id, coalesce(nullif(customer_id, ''), 'Unknown') as cu
 
 @query(_grade_sql(_FIRST, _CLEAN, ORDER_COLUMNS, ORDER_COLUMNS))
 def grade_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spoil, clean, grade."""
+    """Spoil, clean, save, grade: the grader reads a table that is stored, not worked out again."""
     _, truth = _orders(spark, sf_dir)
     cleaned = clean_table(M.orders_with_copies(spark, sf_dir), orders_spec(), ["k", "_copy"])
-    return _rounded(grade(cleaned.select(*ORDER_COLUMNS), truth))
+    return _rounded(grade(settle(cleaned.select(*ORDER_COLUMNS), "cleaned"), truth))
 
 
 def _domains_sql(domains: Sequence[str]) -> str:
