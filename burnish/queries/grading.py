@@ -174,12 +174,12 @@ def grade_renamed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FEWER = ["order_id", "order_date", "AMOUNT", "priority"]
 
 
-@query(f"select {2 / 3} as column_score_raw, count(*) as n_rows from orders")
+@query("select round(4 / 6, 6) as column_score, count(*) as n_rows from orders")
 def grade_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     given, truth = _orders(spark, sf_dir)
     fewer = given.select(*[F.col(c.lower()).alias(c) for c in _FEWER])
-    score = grade_columns(fewer, truth)
-    return truth.agg(F.lit(score).alias("column_score_raw"), F.count(F.lit(1)).alias("n_rows"))
+    score = F.lit(grade_columns(fewer, truth))
+    return truth.agg(F.round(score, 6).alias("column_score"), F.count(F.lit(1)).alias("n_rows"))
 
 
 _FIRST = f"""select order_id, coalesce(nullif(customer_id, ''), 'Unknown') as customer_id,

@@ -22,6 +22,12 @@ def tables(sf_dir):
     con.close()
 
 
+KINDS = {
+    "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
 def plain(value):
     if isinstance(value, (int, float, decimal.Decimal)) and not isinstance(value, bool):
         return float(value)
@@ -46,6 +52,8 @@ def test_query(spark, sf_dir, tables, name):
     names = [d[0] for d in rel.description]
     assert sorted(found.columns) == sorted(names)
     want = sorted(names)
+    kinds = {d[0]: str(d[1]) for d in rel.description}
+    assert {c: KINDS[k] for c, k in found.dtypes} == kinds
     assert sorted_rows(found.collect(), found.columns, want) == sorted_rows(rel.fetchall(), names, want)
 
 
