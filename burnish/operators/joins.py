@@ -24,7 +24,10 @@ def hot_keys(df: DataFrame, key: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
         .groupBy("_group")
         .agg(F.expr(f"approx_top_k_accumulate(_hot, {SKETCH})").alias("_sketch"))
     )
-    whole = per_group.agg(F.expr(f"approx_top_k_combine(_sketch, {SKETCH})").alias("_sketch"))
+    # Grouped by a constant: without any row there is no group, where a global
+    # combine of no sketches would fail.
+    combined = F.expr(f"approx_top_k_combine(_sketch, {SKETCH})").alias("_sketch")
+    whole = per_group.groupBy((F.col("_group") * 0).alias("_all")).agg(combined)
     top = whole.select(F.explode(F.expr(f"approx_top_k_estimate(_sketch, {HOT_KEYS})")).alias("_top"))
     return top.where(F.col("_top.count") >= hot_rows).select(F.col("_top.item").alias("_hot"))
 
@@ -34,6 +37,8 @@ def skewed_lookup(
 ) -> DataFrame:
     """Join ``facts`` to ``lookup``, which is unique on ``key``, on that key.
 
+    Keys should not be null: a null is never found to be hot.
+
     Rows of hot keys meet a broadcast of the hot lookup rows, HOT_KEYS at most,
     and are never shuffled. All others are joined by key in whatever way Spark
     finds best for the sizes it measures. Without hot keys, adaptive execution

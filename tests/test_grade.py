@@ -69,6 +69,15 @@ def test_nothing_given_scores_lowest(spark):
     assert column_score([], []) == 0.99 and column_score(["a"], []) == 0.01
 
 
+def test_files_without_rows(spark, tmp_path):
+    for name, text in (("empty", ""), ("header", "id,x\n"), ("full", "id,x\n1,a\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    for given, truth in (("empty", "full"), ("header", "full"), ("full", "empty"), ("full", "header"), ("empty",) * 2):
+        got = grade_file(spark, str(tmp_path / f"{given}.csv"), str(tmp_path / f"{truth}.csv"))
+        assert scores(got)[-1] == 0.01, (given, truth)
+    assert scores(grade_file(spark, *[str(tmp_path / "full.csv")] * 2))[-1] == 0.99
+
+
 def test_weights(spark):
     truth = table(spark, HEADERS, ROWS)
     assert scores(grade(truth.limit(1), truth, weights=(1.0, 0.0, 0.0)))[-1] == 0.25

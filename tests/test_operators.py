@@ -128,6 +128,16 @@ def test_skewed_lookup_equals_join(spark, how):
         assert sorted(map(repr, skewed_lookup(facts, lookup, "k", how, hot_rows).collect())) == want
 
 
+def test_skewed_lookup_of_nothing(spark, tmp_path):
+    frame(spark, [], "k string, n int", 1).write.parquet(str(tmp_path / "none"))
+    none = spark.read.schema("k string, n int").parquet(str(tmp_path / "none"))
+    nulls = frame(spark, [(None, 1), (None, 2)], "k string, n int")
+    lookup = frame(spark, [("a", 1)], "k string, x int")
+    for facts, rows in ((none, 0), (nulls, 2)):
+        assert skewed_lookup(facts, lookup, "k", "left", 1).count() == rows
+        assert skewed_lookup(facts, lookup, "k", "inner", 1).count() == 0
+
+
 def test_canonicalize_never_multiplies_rows(spark):
     df = frame(spark, [(" fedex ",), ("DHL",), ("odd ",), (None,), ("",)], "c string")
     words = frame(spark, [("FedEx",), ("FEDEX",), ("dhl",), (None,), ("",)], "w string")
