@@ -140,7 +140,11 @@ def profile(
     emails: Iterable[str] = (),
     casing: Mapping[str, str | Sequence[str]] | None = None,
 ) -> DataFrame:
-    """Every check for a table of text columns."""
+    """Every check for a table of text columns.
+
+    Reads the table three times at most: once for all cells, once each for equal
+    rows and equal keys. Store it first if it is costly to work out.
+    """
     cells = (
         missing_checks(df.columns)
         + padding_checks(df.columns)

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from burnish.functions.chance import pick
 from burnish.functions.dates import DAY_FIRST, MONTH_FIRST, normalize_date
 from burnish.functions.emails import email_domain, fix_email, valid_email
 from burnish.functions.missing import blank_to_null, fill_number, fill_text
@@ -83,7 +84,7 @@ _GAPS = f"""select k, case when {M.pick_sql(10, "k", M.SEED, "gap")} = 0 then nu
 
 def _balances_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_acctbal")
-    gap = M.pick(10, F.col("k"), M.SEED, "gap") == 0
+    gap = pick(10, "k", M.SEED, "gap") == 0
     return rows.select("k", F.when(~gap, F.col("c_acctbal")).alias("balance"))
 
 
@@ -304,7 +305,7 @@ _UNNAMED = f"""select k, case when {M.pick_sql(9, "k", M.SEED, "no id")} = 0 the
 def _unnamed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order line, some without their id."""
     lines = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"))
-    gap = M.pick(9, F.col("k"), M.SEED, "no id") == 0
+    gap = pick(9, "k", M.SEED, "no id") == 0
     number = F.format_string("P%03d", F.col("k") + 1)
     return lines.distinct().select("k", F.when(gap, "").otherwise(number).alias("id"))
 

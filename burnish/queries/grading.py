@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from burnish.functions.chance import pick
 from burnish.functions.text import normalized
 from burnish.operators.grade import grade, grade_all, grade_cells, grade_columns, grade_rows
 from burnish.plans.spec import clean_table
@@ -128,7 +129,7 @@ def _lines_sql(shift: str) -> str:
 
 
 def _lines(spark: SparkSession, sf_dir: str, spoilt: bool) -> DataFrame:
-    hit = M.pick(3, F.col("l_partkey"), M.SEED, "flag") == 0
+    hit = pick(3, "l_partkey", M.SEED, "flag") == 0
     flag = F.when(hit, F.lower("l_returnflag") if spoilt else F.lit("X")).otherwise(F.col("l_returnflag"))
     lines = M.table(spark, sf_dir, "lineitem").withColumn("_flag", flag)
     texts = [F.col(c).cast("string").alias(c) for c in _LINES[:4]]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burnish.functions import dirt as D
-from burnish.functions.chance import SECOND, pick, stream
+from burnish.functions.chance import SECOND, stream
 from burnish.plans.synth import spoil, with_copies
 from burnish.queries.registry import table
 

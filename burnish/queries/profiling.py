@@ -9,6 +9,7 @@ from burnish.operators import profile as P
 from burnish.queries import messy as M
 from burnish.queries.clean import PRIORITIES
 from burnish.queries.registry import query
+from burnish.session import settle
 
 ORDER_COLUMNS = ["order_id", "customer_id", "order_date", "amount", "priority", "status"]
 
@@ -165,7 +166,8 @@ def _profile_sql() -> str:
 
 @query(_profile_sql())
 def profile_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = M.orders_with_copies(spark, sf_dir).select(*ORDER_COLUMNS)
+    """Three passes, so over a stored table."""
+    rows = settle(M.orders_with_copies(spark, sf_dir).select(*ORDER_COLUMNS), "orders")
     found = P.profile(
         rows,
         key="order_id",

@@ -63,7 +63,8 @@ def test_draws_are_even_and_unrelated(spark):
         pairs = keys.select(a, b).groupBy("a", "b").count().collect()
         assert len(pairs) == 20 and all(4600 < r["count"] < 5400 for r in pairs)
     assert keys.select(draw("id", 0, "x").alias("d")).distinct().count() == 100_000
-    assert keys.select(draw("id", 0, "x") == draw("id", 1, "x")).distinct().count() == 1 or True
+    same = keys.where(draw("id", 0, "x") == draw("id", 1, "x")).count()
+    assert same < 10
     assert keys.select(choose("abc", "id", 1, "w").alias("w")).distinct().count() == 3
 
 
