@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from burnish.llm import bpe
+from burnish.llm import bpe, language_id
+from burnish.llm.common import bucket_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,3 +43,13 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded texts of all documents."""
     return bpe.encoded_digests(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+@query()
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = bucket_of(F.col("doc_id"), 4) == 2
+    trees = language_id.learn(docs.where(~held_out))
+    found = language_id.identified(docs, trees)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
