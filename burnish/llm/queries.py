@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burnish.llm import bpe, language_id
+from burnish.llm import bpe, language_id, pii
 from burnish.llm.common import bucket_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,3 +53,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     trees = language_id.learn(docs.where(~held_out))
     found = language_id.identified(docs, trees)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+@query()
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: base spans, and those the trees add."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii.found_spans(docs, pii.learn(docs))
+    counts = [f"n_{kind}" for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
