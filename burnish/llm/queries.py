@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burnish.llm import bpe, language_id, pii
+from burnish.llm import bpe, html_text, language_id, pii
 from burnish.llm.common import bucket_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,3 +62,9 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.found_spans(docs, pii.learn(docs))
     counts = [f"n_{kind}" for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
+
+
+@query()
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_text.extracted(table(spark, sf_dir, "pages"))
