@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burnish.llm import bpe, html_text, language_id, pii
+from burnish.llm import bpe, chat, html_text, language_id, pii, topk
 from burnish.llm.common import bucket_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +68,30 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+@query(
+    """
+    WITH v AS (
+      SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+        AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+    ), scored AS (
+      SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+    ), ranked AS (
+      SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+      FROM scored
+    )
+    SELECT * FROM ranked WHERE rank <= 20
+    """
+)
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty best candidates of every twentieth vector."""
+    return topk.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query(chat.ORACLE)
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, rendered for each of their participants."""
+    return chat.rotated(table(spark, sf_dir, "conversations"))
