@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from burnish.llm.common import bounded_batches, only, texts
+from burnish.llm.common import bounded_batches, only, result, texts
 
 # Fixed values of the vocabulary file's format: word end, word pattern, white space.
 WORD_END = "</w>"
@@ -243,5 +243,4 @@ def _run(docs: DataFrame, path: str, doc_id: str, text: str, columns: str, shape
                 names=["doc_id", "n_tokens", *names],
             )
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, {columns}")
+    return rows.mapInArrow(run, result(rows, ["doc_id"], f"n_tokens long, {columns}"))

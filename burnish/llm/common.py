@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Rows and bytes of one Arrow batch: keeps a Python worker small when texts are long.
 BATCH_ROWS = 512
@@ -50,6 +51,14 @@ def only(df: DataFrame, **names: str) -> DataFrame:
     return renamed.select(*(F.col(f"_{place[name]}").alias(own) for own, name in names.items()))
 
 
+def result(rows: DataFrame, kept: list[str], more: str) -> T.StructType:
+    """Schema of a result: columns of ``rows`` as they are, then new ones as DDL.
+
+    A column that is only handed through, such as ``doc_id``, may be a struct of a whole row.
+    """
+    return T.StructType([rows.schema[name] for name in kept] + T.StructType.fromDDL(more).fields)
+
+
 def bucket_of(id_column: Column, parts: int) -> Column:
     """CRC-32 of the id written as text, modulo ``parts``; a null id counts as no text."""
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit(""))) % parts
@@ -96,3 +105,110 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xD1B54A32D192ED03)
     x ^= x >> np.uint64(32)
     return x
+
+
+# Bytes of words: letters and digits of ASCII, and all of UTF-8's longer characters.
+_WORD_BYTE = np.zeros(256, bool)
+_WORD_BYTE[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
+_SPACE_BYTE = np.ones(256, bool)
+_SPACE_BYTE[[*range(0x09, 0x0E), 0x20]] = False
+_ASCII_LOWER = np.arange(256, dtype=np.uint8)
+_ASCII_LOWER[ord("A") : ord("Z") + 1] += 32
+# A random number per byte value, and a random odd factor per place: a word's hash is their sum of products.
+_BYTE_HASH = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+_BASE = 0x9E3779B97F4A7C15 | 1
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    factors = np.full(n, base, np.uint64)
+    factors[0] = 1
+    return np.cumprod(factors)
+
+
+_POWERS = _powers(1 << 16, _BASE)
+_INVERSES = _powers(1 << 16, pow(_BASE, -1, 1 << 64))
+
+
+class Words:
+    """Words of many texts as 64-bit hashes: ``hashes``, and ``text``, the number of each word's text.
+
+    ``starts`` and ``ends`` are the words' places in ``data``. Words are stretches of letters and digits
+    (``spaced`` false) or of anything but ASCII white space (``spaced`` true); A-Z counts as a-z.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, spaced: bool) -> None:
+        self.data = _ASCII_LOWER[data]
+        inside = (_SPACE_BYTE if spaced else _WORD_BYTE)[self.data]
+        if not spaced:
+            # Latin-1 signs (C2 xx) and general punctuation (E2 80 xx, E2 81 xx) divide words too.
+            lead = np.flatnonzero(data == 0xC2)
+            inside[lead] = inside[np.minimum(lead + 1, len(data) - 1)] = False
+            lead = np.flatnonzero(data == 0xE2)
+            lead = lead[(data[np.minimum(lead + 1, len(data) - 1)] & 0xFE) == 0x80]
+            for k in range(3):
+                inside[np.minimum(lead + k, len(data) - 1)] = False
+        fresh = inside.copy()
+        fresh[1:] &= ~inside[:-1]
+        first = offsets[:-1][np.diff(offsets) > 0]
+        fresh[first] = inside[first]
+        last = inside.copy()
+        last[:-1] &= ~inside[1:] | fresh[1:]
+        self.starts, self.ends = np.flatnonzero(fresh), np.flatnonzero(last) + 1
+        self.text = np.searchsorted(offsets, self.starts, "right") - 1
+        self.hashes = self._hashed()
+
+    def _hashed(self) -> np.ndarray:
+        out = np.zeros(len(self.starts), np.uint64)
+        step = len(_POWERS)
+        with np.errstate(over="ignore"):
+            # Stretches of whole words that fit the table of powers; a longer word is hashed by itself.
+            word = 0
+            while word < len(self.starts):
+                base = self.starts[word]
+                stop = int(np.searchsorted(self.ends, base + step, "right"))
+                if stop == word:
+                    out[word] = self._long(int(base), int(self.ends[word]))
+                    word += 1
+                    continue
+                stretch = self.data[base : self.ends[stop - 1]]
+                sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE_HASH[stretch] * _POWERS[: len(stretch)])])
+                a, b = self.starts[word:stop] - base, self.ends[word:stop] - base
+                out[word:stop] = (sums[b] - sums[a]) * _INVERSES[a]
+                word = stop
+            return mixed(out + np.uint64(0x632BE59BD9B4E019) * (self.ends - self.starts).astype(np.uint64))
+
+    def _long(self, start: int, end: int) -> np.uint64:
+        total, factor = np.uint64(0), np.uint64(1)
+        for at in range(start, end, len(_POWERS)):
+            part = self.data[at : min(at + len(_POWERS), end)]
+            total += factor * np.sum(_BYTE_HASH[part] * _POWERS[: len(part)])
+            factor *= _POWERS[-1] * np.uint64(_BASE)
+        return total
+
+    def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and text of every ``k`` words in a row; a shorter text has its whole sequence as one."""
+        counts = np.bincount(self.text, minlength=int(self.text[-1]) + 1) if len(self.text) else np.zeros(0, np.int64)
+        with np.errstate(over="ignore"):
+            n = len(self.hashes)
+            if n >= k:
+                whole = self.hashes[: n - k + 1].copy()
+                for j in range(1, k):
+                    whole = mixed(whole) + self.hashes[j : n - k + 1 + j]
+                whole = mixed(whole)
+                same = self.text[: n - k + 1] == self.text[k - 1 :]
+                hashes, texts_ = whole[same], self.text[: n - k + 1][same]
+            else:
+                hashes, texts_ = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            short = np.flatnonzero((counts > 0) & (counts < k))
+            if len(short):
+                first = np.searchsorted(self.text, short)
+                extra = np.zeros(len(short), np.uint64)
+                for i, (text, at) in enumerate(zip(short, first, strict=True)):
+                    h = np.uint64(counts[text])
+                    for j in range(counts[text]):
+                        h = mixed(h) + self.hashes[at + j]
+                    extra[i] = mixed(h)
+                hashes, texts_ = np.concatenate([hashes, extra]), np.concatenate([texts_, short])
+                order = np.argsort(texts_, kind="stable")
+                hashes, texts_ = hashes[order], texts_[order]
+        return hashes, texts_

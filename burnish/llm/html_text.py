@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from burnish.llm.common import bounded_batches, only
+from burnish.llm.common import bounded_batches, only, result
 
 # Fixed values of HTML: elements without end, raw text, in-line, and what an element's start closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -262,6 +262,4 @@ def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", sour
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    kind = rows.schema["page_id"].dataType.simpleString()
-    link = rows.schema["url"].dataType.simpleString()
-    return rows.mapInArrow(run, f"page_id {kind}, url {link}, text string, n_chars long")
+    return rows.mapInArrow(run, result(rows, ["page_id", "url"], "text string, n_chars long"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burnish.llm.common import bounded_batches, only, slices, utf8
+from burnish.llm.common import bounded_batches, only, result, slices, utf8
 
 UNDETERMINED = "und"
 ORDER = 3
@@ -226,5 +226,4 @@ def identified(docs: DataFrame, trees: Trees, doc_id: str = "doc_id", text: str
                 names=["doc_id", "lang_pred", "score", "bits_per_byte"],
             )
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
+    return rows.mapInArrow(run, result(rows, ["doc_id"], "lang_pred string, score double, bits_per_byte double"))

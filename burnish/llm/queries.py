@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burnish.llm import bpe, chat, html_text, language_id, pii, topk
+from burnish.llm import bpe, chat, decontaminate, html_text, language_id, pii, topk
 from burnish.llm.common import bucket_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,3 +95,9 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, rendered for each of their participants."""
     return chat.rotated(table(spark, sf_dir, "conversations"))
+
+
+@query()
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item, and which."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
