@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burnish.llm import bpe, chat, decontaminate, html_text, language_id, pii, topk
+from burnish.llm import bpe, chat, decontaminate, html_text, language_id, near_duplicates, pii, topk
 from burnish.llm.common import bucket_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,3 +101,33 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a test item, and which."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    r"""
+    WITH RECURSIVE words AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+      FROM documents
+    ), shingles AS (
+      SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE [array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)] END) AS s
+      FROM words
+    ), sets AS MATERIALIZED (SELECT DISTINCT doc_id, s FROM shingles
+    ), sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+    ), common AS (
+      SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id
+      GROUP BY ALL
+    ), links AS MATERIALIZED (
+      SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+      WHERE 100 * common.n >= 85 * (x.n + y.n - common.n)
+    ), reach AS (
+      SELECT a AS doc_id, a AS other FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+    ), least AS (SELECT doc_id, min(other) AS c FROM reach GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(l.c, d.doc_id) AS component_id, coalesce(l.c, d.doc_id) = d.doc_id AS kept
+    FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN least l USING (doc_id)
+    """
+)
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents with nearly the same three-word shingles."""
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
