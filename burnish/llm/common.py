@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 # Rows and bytes of one Arrow batch: keeps a Python worker small when texts are long.
 BATCH_ROWS = 512
 BATCH_BYTES = 8 << 20
+_SLOTS = 21  # bits of the first-try table of a gram lookup
 
 
 _SHIPPED: set[str] = set()
@@ -107,6 +108,52 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def padded(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with ``order`` zero bytes before each, so that contexts end at a text's border."""
+    lengths = np.diff(offsets)
+    starts = offsets[:-1] + order * np.arange(1, len(lengths) + 1)
+    out = np.zeros(len(data) + order * len(lengths), np.uint8)
+    out[np.arange(len(data)) + np.repeat(order * np.arange(1, len(lengths) + 1), lengths)] = data
+    return out, starts
+
+
+def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
+    """For each byte of each text, the byte with the ``order`` bytes before it, as one number."""
+    out, _ = padded(data, offsets, order)
+    wide = out.astype(np.uint32)
+    packed = wide.copy()
+    for back in range(1, order + 1):
+        packed[back:] |= wide[:-back] << np.uint32(8 * back)
+    keep = np.ones(len(out), bool)
+    starts = offsets[:-1] + order * np.arange(len(offsets) - 1)
+    for back in range(order):
+        keep[starts + back] = False
+    return packed[keep]
+
+
+class Lookup:
+    """Rows of known grams (sorted): a direct table for most, a sorted search for the rest."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        self.slots = np.zeros(1 << _SLOTS, np.int32)
+        self.slots[self._slot(self.keys)] = np.arange(len(self.keys))
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - _SLOTS)
+
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        """Row of each gram, -1 if unknown."""
+        if not len(self.keys):
+            return np.full(len(grams), -1, np.int32)
+        rows = self.slots[self._slot(grams)]
+        late = np.flatnonzero(self.keys[rows] != grams)
+        found = np.minimum(np.searchsorted(self.keys, grams[late]), len(self.keys) - 1).astype(np.int32)
+        rows[late] = np.where(self.keys[found] == grams[late], found, -1)
+        return rows
+
+
 # Bytes of words: letters and digits of ASCII, and all of UTF-8's longer characters.
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burnish.llm import bpe, chat, decontaminate, html_text, language_id, near_duplicates, pii, topk
+from burnish.llm import bpe, chat, context_tree, decontaminate, html_text, language_id, near_duplicates, pii, topk
 from burnish.llm.common import bucket_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,3 +131,9 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents with nearly the same three-word shingles."""
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+@query()
+def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of all documents under a context tree learned from nine tenths of them."""
+    return context_tree.scored(table(spark, sf_dir, "documents"), bucket_of(F.col("doc_id"), 10) == 0)
