@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burnish.llm import bpe, chat, context_tree, decontaminate, html_text, language_id, near_duplicates, pii, topk
+from burnish.llm import bpe, chat, context_tree, decontaminate, html_text, language_id, near_duplicates, pii, repeats, topk
 from burnish.llm.common import bucket_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,3 +137,9 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability of all documents under a context tree learned from nine tenths of them."""
     return context_tree.scored(table(spark, sf_dir, "documents"), bucket_of(F.col("doc_id"), 10) == 0)
+
+
+@query()
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of hundred-byte strings that occur earlier."""
+    return repeats.deduplicated(table(spark, sf_dir, "documents"))
