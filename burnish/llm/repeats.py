@@ -268,8 +268,9 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id",
     rows = only(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     # Blocks are ranges of ids: a lower block's documents come first.
     cuts = rows.select(F.col("doc_id").cast("double").alias("at")).approxQuantile("at", [i / parts for i in range(1, parts)], 0.5 / parts)
-    ranges = Bucketizer(inputCol="at", outputCol="range", splits=[-math.inf, *sorted(set(cuts)), math.inf], handleInvalid="keep")
-    dealt = ranges.transform(rows.withColumn("at", F.col("doc_id").cast("double")))
+    splits = [-math.inf, *sorted(set(cuts) or {0.0}), math.inf]
+    ranges = Bucketizer(inputCol="at", outputCol="range", splits=splits, handleInvalid="keep")
+    dealt = ranges.transform(rows.withColumn("at", F.coalesce(F.col("doc_id").cast("double"), F.lit(math.nan))))
     dealt = dealt.select(F.col("range").cast("int").alias("block"), "doc_id", "text").repartition(parts, "block")
 
     def block_of(part: pa.Table) -> int:
