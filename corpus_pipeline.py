@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burnish.llm import bpe, decontaminate, language_id, near_duplicates, pii
-from burnish.llm.common import bucket_of
+from burnish.llm.common import bucket_of, only
 from burnish.llm.queries import vocabulary_path
 from burnish.session import settle
 
@@ -22,9 +22,22 @@ from burnish.session import settle
 FOREIGN_BITS = 7.0
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    """Documents with columns named by place, as names may differ in case only or hold dots."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+
 def _whole(docs: DataFrame) -> DataFrame:
     """Each document as one column, handed through by an operator, beside its text."""
-    return docs.select(F.struct(*docs.columns).alias("row"), "text")
+    plain = _plain(docs)
+    return plain.select(F.struct(*plain.columns).alias("row"), F.col(f"c{docs.columns.index('text')}").alias("text"))
+
+
+def _columns(found: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of the documents from what an operator handed through."""
+    handed = (F.col("doc_id").getField(f"c{i}") for i in range(len(docs.columns)))
+    places = {docs.columns.index(c): column for c, column in new.items() if c in docs.columns}
+    return found.select(*(places.get(i, column).alias(docs.columns[i]) for i, column in enumerate(handed)))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,35 +45,36 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     trees = language_id.learn(docs.where(bucket_of(F.col("doc_id"), 4) != 2))
     found = language_id.identified(_whole(docs), trees, doc_id="row")
     native = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("bits_per_byte") <= FOREIGN_BITS)
-    return found.where(native).select("doc_id.*")
+    return _columns(found.where(native), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the least id, of each group of near duplicates."""
     found = near_duplicates.near_duplicates(docs)
     copies = settle(found.where(~F.col("kept")).select(F.col("doc_id").alias("copy")), "copies")
-    return docs.join(copies, docs["doc_id"].cast("long") == copies["copy"], "left_anti")
+    plain = _plain(docs)
+    ids = plain[f"c{docs.columns.index('doc_id')}"].cast("long")
+    return plain.join(copies, ids == copies["copy"], "left_anti").toDF(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a test item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.flagged(_whole(docs), items, doc_id="row").where("hits = 0").select("doc_id.*")
+    return _columns(decontaminate.flagged(_whole(docs), items, doc_id="row").where("hits = 0"), docs)
 
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind; ``n_chars`` follows the text."""
-    rest = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("row"), "text")
-    found = pii.redacted(rest, pii.learn(docs), doc_id="row")
-    columns = {c: F.col(f"doc_id.{c}") for c in docs.columns if c != "text"} | {"text": F.col("redacted")}
-    if "n_chars" in columns:
-        columns["n_chars"] = F.coalesce(F.length("redacted").cast("long"), columns["n_chars"])
-    return found.select(*(columns[c].alias(c) for c in docs.columns))
+    found = pii.redacted(_whole(docs), pii.learn(docs), doc_id="row")
+    size = F.length("redacted").cast("long")
+    given = F.col("doc_id").getField(f"c{docs.columns.index('n_chars')}") if "n_chars" in docs.columns else size
+    return _columns(found, docs, text=F.col("redacted"), n_chars=F.coalesce(size, given))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents, joined by one space."""
-    row = docs.select(F.struct("doc_id", "lang", "source").alias("row"), "text")
+    own = only(docs, doc_id="doc_id", lang="lang", source="source", text="text")
+    row = own.select(F.struct("doc_id", "lang", "source").alias("row"), "text")
     return bpe.encoded(row, vocabulary_path(), doc_id="row").select("doc_id.*", "n_tokens", "ids")
 
 
