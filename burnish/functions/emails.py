@@ -9,7 +9,7 @@ from burnish.functions.text import lower_strip
 
 # The accepted form, the stand-in for a missing address and the
 # ending put after a domain without a dot.
-EMAIL = r"(?U)^[\w.\-]+@[\w.\-]+\.\w+$"
+EMAIL = r"(?U)^[\w\.-]+@[\w\.-]+\.\w+$"
 UNKNOWN = "unknown@example.com"
 ENDING = ".com"
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burnish.functions.missing import is_blank
-from burnish.operators.ordering import first_per, names, order_key
+from burnish.operators.ordering import first_per, fresh, names, order_key, quoted
 
 
 def drop_exact_duplicates(
@@ -27,21 +28,22 @@ def drop_exact_duplicates(
     rest = [c for c in df.columns if c not in on and c not in order]
     if rest:
         return first_per(df, on, order)
-    first = F.min(order_key(order)).alias("_first")
-    kept = df.groupBy(*on).agg(first)
-    back = [F.col("_first").alias(order[0])] if len(order) == 1 else [F.col(f"_first.{c}").alias(c) for c in order]
-    return kept.select(*on, *back).select(*df.columns)
+    (first,) = fresh(df, "first")
+    kept = df.groupBy(*map(quoted, on)).agg(F.min(order_key(order)).alias(first))
+    back = {c: F.col(first) if len(order) == 1 else F.col(first).getField(c) for c in order}
+    return kept.select(*[back.get(c, quoted(c)).alias(c) for c in df.columns])
 
 
 def drop_key_duplicates(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str]) -> DataFrame:
-    """One row per key, the first in ``order``.
+    """One row per key, the first in ``order``. Reads its input once.
 
-    Rows whose key is blank identify nothing and all stay: they bypass the
-    shuffle, so missing keys cannot pile up in one task.
+    Rows whose key is blank identify nothing and all stay: each gets a key of its
+    own, so missing keys cannot pile up in one task.
     """
     key, order = names(key), names(order)
-    texts = [f.name for f in df.schema.fields if f.name in key and f.dataType.simpleString() == "string"]
-    keyless = F.lit(False)
-    for c in key:
-        keyless = keyless | (is_blank(c) if c in texts else F.col(c).isNull())
-    return first_per(df.where(~keyless), key, order).unionByName(df.where(keyless))
+    kinds = dict(df.dtypes)
+    blank = [is_blank(quoted(c)) if kinds[c] == "string" else quoted(c).isNull() for c in key]
+    keyless = reduce(lambda a, b: a | b, blank)
+    (own,) = fresh(df, "own")
+    salted = df.withColumn(own, F.when(keyless, F.monotonically_increasing_id()))
+    return first_per(salted, [*key, own], order).drop(own)

@@ -4,81 +4,81 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burnish.functions.dates import iso_date, month_start
-from burnish.functions.missing import fill_number, is_blank
-from burnish.operators.ordering import Patch, apply_patches, carry_forward, names
+from burnish.functions.missing import is_blank
+from burnish.functions.numbers import fixed_scale
+from burnish.functions.text import strip
+from burnish.operators.ordering import Patch, apply_patches, carry_forward, fresh, in_ranges, names, quoted, with_row_ids
 from burnish.session import settle
 
-# Up to this many values one task may sort.
-ONE_TASK_VALUES = 1_000_000
-# percentile_approx returns a value whose rank is off by n / ACCURACY at most.
-ACCURACY = 10_000
-
 
 def drop_missing(df: DataFrame, columns: str | Sequence[str]) -> DataFrame:
     """Drop rows where any of ``columns`` is null or blank."""
     kept = F.lit(True)
     for c in names(columns):
-        kept = kept & ~(is_blank(c) if df.schema[c].dataType.simpleString() == "string" else F.col(c).isNull())
+        kept = kept & ~(is_blank(quoted(c)) if _is_text(df, c) else quoted(c).isNull())
     return df.where(kept)
 
 
-def _value_at(values: DataFrame, rank: int, n: int, one_task: int, accuracy: int) -> float:
-    """Exact value of 0-based ``rank`` among ``n`` values in column v.
+def _is_text(df: DataFrame, column: str) -> bool:
+    return dict(df.dtypes)[column] == "string"
+
+
+def _number(df: DataFrame, column: str) -> Column:
+    return strip(quoted(column)).try_cast("double") if _is_text(df, column) else quoted(column).cast("double")
+
 
-    Each round brackets the rank between two approximate quantiles, counts what
-    lies below, on and between them, and goes on with the open interval, which
-    holds a few parts in ``accuracy`` of the rows. Nothing but counts comes back.
+def median(df: DataFrame, column: str) -> float | None:
+    """Exact interpolated median; null, NaN and text that is no number do not count; None without values.
+
+    Equal values are counted before they are shuffled, the counts put in ranges of
+    the value. Sums per range tell which range holds the middle; only there counts
+    are added up one by one. One way at every size, and no task needs more than a range.
     """
-    while n > one_task:
-        margin = 2 * n // accuracy + 1
-        ends = [max(rank - margin, 0) / n, min(rank + margin, n - 1) / n]
-        low, high = values.agg(F.percentile_approx("v", ends, accuracy)).first()[0]
-        v = F.col("v")
-        tests = {"below": v < low, "at_low": v == low, "inside": (v > low) & (v < high)}
-        seen = values.agg(*[F.count_if(t).alias(k) for k, t in tests.items()]).first()
-        if rank < seen["below"]:
-            values, n = values.where(v < low), seen["below"]
-        elif rank < seen["below"] + seen["at_low"]:
-            return low
-        elif rank < seen["below"] + seen["at_low"] + seen["inside"]:
-            values, n, rank = values.where(tests["inside"]), seen["inside"], rank - seen["below"] - seen["at_low"]
-        else:
-            n_low = seen["below"] + seen["at_low"] + seen["inside"]
-            at_high = values.agg(F.count_if(v == high)).first()[0] if high > low else 0
-            if rank < n_low + at_high:
-                return high
-            values, n, rank = values.where(v > high), n - n_low - at_high, rank - n_low - at_high
-    return values.agg(F.get(F.sort_array(F.collect_list("v")), F.lit(rank))).first()[0]
-
-
-def median(df: DataFrame, column: str, one_task: int = ONE_TASK_VALUES, accuracy: int = ACCURACY) -> float | None:
-    """Exact interpolated median; null and NaN do not count; None without values."""
-    values = df.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
-    n = values.count()
-    if n == 0:
+    values = df.select(_number(df, column).alias("v")).where("v is not null and not isnan(v)")
+    ranged = in_ranges(values.groupBy("v").agg(F.count(F.lit(1)).alias("n")), ["v"])
+    counts = ranged.table.withColumnRenamed(ranged.range, "r")
+    sums = settle(counts.groupBy("r").agg(F.sum("n").alias("rows")), "sums")
+    total = sums.agg(F.sum("rows")).first()[0]
+    if not total:
         return None
-    if n <= one_task:
-        return values.agg(F.median("v")).first()[0]
-    low = _value_at(values, (n - 1) // 2, n, one_task, accuracy)
-    return low if n % 2 else (low + _value_at(values, n // 2, n, one_task, accuracy)) / 2
-
+    before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    low, high = (total - 1) // 2, total // 2
+    starts = sums.select("r", "rows", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+    middle = starts.where((F.col("start") <= high) & (F.col("start") + F.col("rows") > low))  # two ranges at most
+    up_to = F.sum("n").over(Window.partitionBy("r").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.join(F.broadcast(middle), "r").withColumn("end", F.col("start") + up_to)
+    holds = [F.max(F.when((F.col("end") - F.col("n") <= k) & (F.col("end") > k), F.col("v"))) for k in (low, high)]
+    return placed.agg(((holds[0] + holds[1]) / 2).alias("m")).first().m
 
-def fill_median(df: DataFrame, column: str, **limits: int) -> DataFrame:
-    """Null and NaN become the median of the column."""
-    value = F.lit(median(df, column, **limits)).cast("double")
-    return df.select(*[fill_number(c, value).alias(c) if c == column else F.col(c) for c in df.columns])
 
+def fill_median(df: DataFrame, column: str) -> DataFrame:
+    """Null, NaN and blank cells become the median of the column.
 
-def carried_months(df: DataFrame, column: str, order: Sequence[str], group: Sequence[str] = ()) -> Patch:
-    """Only group, order and date take part in the shuffles that carry dates forward."""
-    slim = df.select(*dict.fromkeys([*group, *order]), iso_date(column).alias("_date"))
-    carried = carry_forward(slim, "_date", order, "_seen", group).where("_date is null and _seen is not null")
-    months = carried.select(*order, month_start("_seen").cast("string").alias("_new"))
-    return Patch(column, iso_date(column).isNull(), months)
+    A column of text is filled with the median at the scale of its finest number;
+    text that is no number stays.
+    """
+    value = F.lit(median(df, column)).cast("double")
+    cell = quoted(column)
+    if _is_text(df, column):
+        fraction = F.length(F.regexp_extract(strip(cell), r"^[+-]?\d*\.(\d+)$", 1))
+        scale = df.agg(F.coalesce(F.max(fraction), F.lit(0))).first()[0]
+        filled = F.when(is_blank(cell), F.coalesce(fixed_scale(value, scale), cell)).otherwise(cell)
+    else:
+        filled = F.when(cell.isNull() | F.isnan(cell), value).otherwise(cell)
+    return df.select(*[(filled if c == column else quoted(c)).alias(c) for c in df.columns])
+
+
+def carried_months(df: DataFrame, column: str, order: Sequence[str], row: str, group: Sequence[str] = ()) -> Patch:
+    """Only group, order, row id and date take part in the shuffles that carry dates forward."""
+    date, seen = fresh(df, "date", "seen")
+    whole = iso_date(quoted(column))
+    slim = df.select(*map(quoted, dict.fromkeys([*group, *order, row])), whole.alias(date))
+    carried = carry_forward(slim, date, [*order, row], seen, group).where(F.col(date).isNull() & F.col(seen).isNotNull())
+    return Patch(column, whole.isNull(), carried.select(row, month_start(seen).cast("string")))
 
 
 def fill_undated(
@@ -87,7 +87,7 @@ def fill_undated(
     """What is no ISO date becomes the first of the month of the last date before it.
 
     Run ``normalize_date`` on the column first. A row with no date before it
-    keeps its text.
+    keeps its text. Rows that tie in ``order`` follow each other as settled.
     """
-    rows = settle(df, "undated")
-    return apply_patches(rows, order, [carried_months(rows, column, names(order), names(group))])
+    rows, row = with_row_ids(df, "undated")
+    return apply_patches(rows, row, [carried_months(rows, column, names(order), row, names(group))])

@@ -29,9 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burnish.functions.text import normalized
-from burnish.operators.joins import HOT_ROWS, skewed_lookup
 from burnish.operators.ordering import first_per, names
 from burnish.operators.profile import row_digest
+from burnish.session import settle
 
 # Bounds of every score and the default weights.
 LOWEST, HIGHEST = 0.01, 0.99
@@ -92,8 +92,12 @@ def row_counts(submitted: Graded, expected: Graded) -> DataFrame:
     )
 
 
-def cell_counts(submitted: Graded, expected: Graded, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One row: n_correct and n_cells over submitted rows with an expected key."""
+def cell_counts(submitted: Graded, expected: Graded) -> DataFrame:
+    """One row: n_correct and n_cells over submitted rows with an expected key.
+
+    The expected rows, one per key, are settled first: both sides of the join are
+    then plain shuffles, and Spark splits a key that many submitted rows have.
+    """
     compared = list(expected.at)
     truth = expected.cells.select(
         expected.key.alias("_key"),
@@ -106,7 +110,7 @@ def cell_counts(submitted: Graded, expected: Graded, hot_rows: int = HOT_ROWS) -
     given = submitted.cells.select(
         submitted.key.alias("_key"), *[submitted.cell(h).alias(f"s{i}") for i, h in enumerate(compared)]
     )
-    pairs = skewed_lookup(given, last, "_key", "inner", hot_rows)
+    pairs = given.join(settle(last, "expected"), "_key")
     right = reduce(
         lambda a, b: a + b, [(F.col(f"e{i}") == F.col(f"s{i}")).cast("bigint") for i in range(len(compared))]
     )
@@ -146,10 +150,10 @@ def grade_columns(submitted: DataFrame, expected: DataFrame) -> float:
 
 
 def grade_cells(
-    submitted: DataFrame, expected: DataFrame, order: str | Sequence[str] | None = None, **skew: int
+    submitted: DataFrame, expected: DataFrame, order: str | Sequence[str] | None = None
 ) -> DataFrame:
     """Cell score of tables that both have rows; ``order`` are columns of ``expected``."""
-    counts = cell_counts(Graded(submitted), Graded(expected, order), **skew)
+    counts = cell_counts(Graded(submitted), Graded(expected, order))
     return counts.select("*", bounded(_ratio("n_correct", "n_cells")).alias("cell_score"))
 
 
@@ -158,7 +162,6 @@ def grade(
     expected: DataFrame,
     order: str | Sequence[str] | None = None,
     weights: Sequence[float] = WEIGHTS,
-    **skew: int,
 ) -> DataFrame:
     """One row: row_score, column_score, cell_score, reward.
 
@@ -177,7 +180,7 @@ def grade(
 
     parts = (
         row_counts(hand, truth)
-        .unionByName(cell_counts(hand, truth, **skew), allowMissingColumns=True)
+        .unionByName(cell_counts(hand, truth), allowMissingColumns=True)
         .agg(*[F.max(c).alias(c) for c in ("n_matched", "n_expected", "n_submitted", "n_correct", "n_cells")])
     )
     scored = parts.select(

@@ -8,25 +8,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burnish.functions.missing import is_blank, padded_id
-from burnish.operators.ordering import Patch, apply_patches, names, with_position
-from burnish.session import settle
+from burnish.operators.ordering import Patch, apply_patches, fresh, names, quoted, with_position, with_row_ids
 
 
-def continued_ids(df: DataFrame, column: str, order: Sequence[str], prefix: str, width: int) -> Patch:
+def continued_ids(df: DataFrame, column: str, order: Sequence[str], row: str, prefix: str, width: int) -> Patch:
     """Only the rows without an id are put in order."""
-    digits = F.regexp_extract(column, r"(\d+)", 1).try_cast("bigint")
+    digits = F.regexp_extract(quoted(column), r"(\d+)", 1).try_cast("bigint")
     highest = df.agg(F.coalesce(F.max(digits), F.lit(0)).alias("n")).scalar()
-    missing = with_position(df.where(is_blank(column)).select(*order), order, "_place")
-    number = padded_id(highest + F.col("_place"), prefix, width)
-    return Patch(column, is_blank(column), missing.select(*order, number.alias("_new")))
+    slim = df.where(is_blank(quoted(column))).select(*map(quoted, dict.fromkeys([*order, row])))
+    (place,) = fresh(slim, "place")
+    missing = with_position(slim, [*order, row], place)
+    number = padded_id(highest + F.col(place), prefix, width)
+    return Patch(column, is_blank(quoted(column)), missing.select(row, number))
 
 
-def place_ids(df: DataFrame, column: str, order: Sequence[str], prefix: str, width: int) -> Patch:
-    """Places are counted on the order columns alone."""
-    slim = df.select(*order, is_blank(column).alias("_missing"))
-    missing = with_position(slim, order, "_place").where("_missing")
-    number = padded_id(F.col("_place"), prefix, width)
-    return Patch(column, is_blank(column), missing.select(*order, number.alias("_new")))
+def place_ids(df: DataFrame, column: str, order: Sequence[str], row: str, prefix: str, width: int) -> Patch:
+    """Places are counted on the order columns and row ids alone."""
+    place, gap = fresh(df, "place", "gap")
+    slim = df.select(*map(quoted, dict.fromkeys([*order, row])), is_blank(quoted(column)).alias(gap))
+    missing = with_position(slim, [*order, row], place).where(F.col(gap))
+    return Patch(column, is_blank(quoted(column)), missing.select(row, padded_id(F.col(place), prefix, width)))
 
 
 def continue_ids(
@@ -34,15 +35,16 @@ def continue_ids(
 ) -> DataFrame:
     """Blank ids count on from the highest number in any id, in row order.
 
-    The number of an id is its first run of digits.
+    The number of an id is its first run of digits. ``order`` sorts only: rows
+    that tie in it follow each other in the order they were settled in.
     """
-    rows = settle(df, "ids")
-    return apply_patches(rows, order, [continued_ids(rows, column, names(order), prefix, width)])
+    rows, row = with_row_ids(df, "ids")
+    return apply_patches(rows, row, [continued_ids(rows, column, names(order), row, prefix, width)])
 
 
 def positional_ids(
     df: DataFrame, column: str, order: str | Sequence[str], prefix: str = "P", width: int = 3
 ) -> DataFrame:
     """A blank id becomes the 1-based place of its row in the table."""
-    rows = settle(df, "ids")
-    return apply_patches(rows, order, [place_ids(rows, column, names(order), prefix, width)])
+    rows, row = with_row_ids(df, "ids")
+    return apply_patches(rows, row, [place_ids(rows, column, names(order), row, prefix, width)])

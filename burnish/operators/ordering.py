@@ -8,20 +8,22 @@ of partitions, not with the data. The sorted form is written out, so that the
 second pass sees the same ranges even if executors are lost in between.
 
 Callers hand in few columns, and bring the result back to the wide rows as a
-patch: only rows that need the new value take part in a join.
+patch, by an id that every row gets when it is settled: the order only sorts, so
+ties and nulls in it neither lose nor multiply rows. Only rows that need the new
+value take part in a join. Names of helper columns keep clear of the user's.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burnish.session import settle
 
-_SLOT, _RANGE = "_slot", "_range"
 # monotonically_increasing_id: partition in the upper bits, row in the lower 33.
 _ROW_BITS = 33
 
@@ -32,35 +34,53 @@ def names(columns: str | Sequence[str] | None) -> list[str]:
     return [columns] if isinstance(columns, str) else list(columns)
 
 
-def in_ranges(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Range-partitioned, sorted and numbered copy with columns _slot and _range."""
-    placed = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn(_SLOT, F.monotonically_increasing_id())
-    )
-    return settle(placed, "ranges").withColumn(_RANGE, F.shiftright(_SLOT, _ROW_BITS))
+def quoted(column: str) -> Column:
+    """A column by its whole name, dots included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, in any casing."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name = f"_{stem}"
+        while name in taken:
+            name = f"_{name}"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+@dataclass(frozen=True)
+class Ranged:
+    """A settled table in ranges of an order: ``slot`` numbers its rows, ``range`` its ranges."""
+
+    table: DataFrame
+    slot: str
+    range: str
+
+
+def in_ranges(df: DataFrame, order: Sequence[str]) -> Ranged:
+    """Range-partitioned, sorted and numbered copy."""
+    slot, place = fresh(df, "slot", "range")
+    by = [quoted(c) for c in order]
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(slot, F.monotonically_increasing_id())
+    return Ranged(settle(placed, "ranges").withColumn(place, F.shiftright(slot, _ROW_BITS)), slot, place)
 
 
 def with_position(df: DataFrame, order: str | Sequence[str], position: str = "position") -> DataFrame:
-    """Add the 1-based place of each row in the total ``order``.
+    """Add the 1-based place of each row in the total ``order``; ties fall either way.
 
-    One range shuffle of the columns handed in, so hand in few. ``order`` must
-    be unique, else ties fall either way.
+    One range shuffle of the columns handed in, so hand in few.
     """
-    placed = in_ranges(df, names(order))
-    before = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        placed.groupBy(_RANGE)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(_RANGE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    )
-    row = F.col(_SLOT).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    return (
-        placed.join(F.broadcast(starts), _RANGE)
-        .withColumn(position, F.col("_start") + row + 1)
-        .drop(_SLOT, _RANGE, "_start")
-    )
+    ranged = in_ranges(df, names(order))
+    n, start, of = fresh(ranged.table, "n", "start", "of")
+    before = Window.orderBy(of).rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.table.groupBy(F.col(ranged.range).alias(of)).agg(F.count(F.lit(1)).alias(n))
+    starts = starts.select(of, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    row = F.col(ranged.slot).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    placed = ranged.table.join(F.broadcast(starts), F.col(ranged.range) == F.col(of))
+    return placed.select(*map(quoted, df.columns), (F.col(start) + row + 1).alias(position))
 
 
 def carry_forward(
@@ -77,43 +97,44 @@ def carry_forward(
     inherits comes from the one-row-per-range table.
     """
     group = names(group)
-    placed = in_ranges(df, [*group, *names(order)])
-    mark = F.struct(*group) if group else F.lit(0)
-    placed = placed.withColumn("_group", mark)
-
-    valid = F.when(F.col(value).isNotNull(), F.col(_SLOT))
-    ends = placed.groupBy(_RANGE).agg(
-        F.max_by("_group", _SLOT).alias("_group"),
-        F.max_by(F.struct(F.col("_group").alias("g"), F.col(value).alias("v")), valid).alias("_last"),
+    ranged = in_ranges(df, [*group, *names(order)])
+    slot, of, seen = F.col(ranged.slot), F.col(ranged.range), quoted(value)
+    mark, last, inherited, at, whose = fresh(ranged.table, "group", "last", "inherited", "at", "whose")
+    placed = ranged.table.withColumn(mark, F.struct(*map(quoted, group)) if group else F.lit(0))
+
+    valid = F.when(seen.isNotNull(), slot)
+    ends = placed.groupBy(of.alias(at)).agg(
+        F.max_by(mark, slot).alias(whose),
+        F.max_by(F.struct(F.col(mark).alias("g"), seen.alias("v")), valid).alias(last),
     )
     # Groups lie next to each other, so a range hands on the last value of its
     # last group only, and a range that is all one group passes on what it got.
-    handed = F.when(F.col("_last.g").eqNullSafe(F.col("_group")), F.col("_last.v"))
-    in_group = Window.partitionBy("_group").orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, 0)
-    inherited = (
-        ends.select(
-            F.lead(_RANGE).over(Window.orderBy(_RANGE)).alias(_RANGE),
-            "_group",
-            F.last(handed, ignorenulls=True).over(in_group).alias("_inherited"),
-        )
-        .where(F.col(_RANGE).isNotNull() & F.col("_inherited").isNotNull())
-    )
-    same = placed[_RANGE] == inherited[_RANGE]
-    joined = placed.join(
-        F.broadcast(inherited), same & placed["_group"].eqNullSafe(inherited["_group"]), "left"
-    ).select(placed["*"], inherited["_inherited"])
-    running = Window.partitionBy(_RANGE, "_group").orderBy(_SLOT).rowsBetween(Window.unboundedPreceding, 0)
-    return joined.withColumn(
-        carried, F.coalesce(F.last(value, ignorenulls=True).over(running), F.col("_inherited"))
-    ).drop(_SLOT, _RANGE, "_group", "_inherited")
+    handed = F.when(F.col(f"{last}.g").eqNullSafe(F.col(whose)), F.col(f"{last}.v"))
+    in_group = Window.partitionBy(whose).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    handed_on = ends.select(
+        F.lead(at).over(Window.orderBy(at)).alias(at),
+        whose,
+        F.last(handed, ignorenulls=True).over(in_group).alias(inherited),
+    ).where(F.col(at).isNotNull() & F.col(inherited).isNotNull())
+    same = (of == F.col(at)) & F.col(mark).eqNullSafe(F.col(whose))
+    joined = placed.join(F.broadcast(handed_on), same, "left")
+    running = Window.partitionBy(ranged.range, mark).orderBy(ranged.slot).rowsBetween(Window.unboundedPreceding, 0)
+    found = F.coalesce(F.last(seen, ignorenulls=True).over(running), F.col(inherited))
+    return joined.withColumn(mark + "_found", found).select(*map(quoted, df.columns), F.col(mark + "_found").alias(carried))
+
+
+def with_row_ids(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Settled copy of ``df`` with an id per row, and the id's column."""
+    (row,) = fresh(df, "row")
+    return settle(df.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
 @dataclass(frozen=True)
 class Patch:
     """New values for the rows of ``column`` where ``needed`` holds.
 
-    ``values`` has the order columns, which must be unique, and ``_new``. A row
-    without one keeps what it has.
+    ``values`` has two columns, the row id and the value. A row without one
+    keeps what it has.
     """
 
     column: str
@@ -121,32 +142,33 @@ class Patch:
     values: DataFrame
 
 
-def apply_patches(df: DataFrame, order: str | Sequence[str], patches: Sequence[Patch]) -> DataFrame:
-    """Rows that need nothing go straight through; the others are joined to the patches.
+def apply_patches(df: DataFrame, row: str, patches: Sequence[Patch]) -> DataFrame:
+    """Rows that need nothing go straight through; the others are joined to the patches by row id.
 
-    ``df`` is read twice, so it should be a settled table.
+    ``df`` comes from ``with_row_ids``; the id column is gone afterwards.
     """
-    order = names(order)
-    any_needed = F.lit(False)
-    for p in patches:
-        any_needed = any_needed | p.needed
-    rows = df.where(any_needed)
+    any_needed = reduce(lambda a, b: a | b, [p.needed for p in patches])
+    rows, new = df.where(any_needed), {}
     for i, p in enumerate(patches):
-        rows = rows.join(p.values.withColumnRenamed("_new", f"_new{i}"), order, "left")
-    new = {p.column: F.coalesce(F.col(f"_new{i}"), F.col(p.column)) for i, p in enumerate(patches)}
-    patched = rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
-    return df.where(~any_needed).unionByName(patched)
+        of, value = fresh(rows, f"of{i}", f"new{i}")
+        rows = rows.join(p.values.toDF(of, value), F.col(row) == F.col(of), "left")
+        new[p.column] = F.coalesce(F.col(value), quoted(p.column))
+    kept = [c for c in df.columns if c != row]
+    patched = rows.select(*[new.get(c, quoted(c)).alias(c) for c in kept])
+    return df.where(~any_needed).select(*map(quoted, kept)).unionByName(patched)
 
 
-def first_per(df: DataFrame, key: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+def first_per(df: DataFrame, key: Sequence[Column | str], order: Sequence[Column | str]) -> DataFrame:
     """The first row of each key.
 
     Spark keeps one row per key and map task before the shuffle, so a key with
     a third of all rows costs no task more than one row per map task.
     """
-    place = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    return df.withColumn("_place", place).where("_place = 1").drop("_place")
+    (place,) = fresh(df, "place")
+    by = [quoted(c) if isinstance(c, str) else c for c in order]
+    number = F.row_number().over(Window.partitionBy(*[quoted(k) if isinstance(k, str) else k for k in key]).orderBy(*by))
+    return df.withColumn(place, number).where(F.col(place) == 1).drop(place)
 
 
 def order_key(order: Sequence[str]) -> Column:
-    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    return quoted(order[0]) if len(order) == 1 else F.struct(*map(quoted, order))

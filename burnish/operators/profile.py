@@ -78,9 +78,11 @@ def amount_checks(columns: Iterable[str]) -> list[Check]:
     return [Check(c, f"amount {s}", "amount", amount_shape(c), s) for c in columns for s in ALL_AMOUNT_SHAPES]
 
 
-def count_checks(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
+def count_checks(df: DataFrame, checks: Sequence[Check], labels: Mapping[str, str] | None = None) -> DataFrame:
     """All checks in one aggregation; the one wide row is then turned into rows.
 
+    ``labels``: what the result calls a column, if not by its name.
+
     What a check looks at is worked out once per row, in a projection, however
     many checks share it.
     """
@@ -91,7 +93,7 @@ def count_checks(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     )
     listed = F.array(
         *[
-            F.struct(F.lit(c.column).alias("column"), F.lit(c.check).alias("check"), F.col(f"n{i}").alias("n_bad"))
+            F.struct(F.lit((labels or {}).get(c.column, c.column)).alias("column"), F.lit(c.check).alias("check"), F.col(f"n{i}").alias("n_bad"))
             for i, c in enumerate(checks)
         ]
     )
@@ -112,10 +114,12 @@ def row_digest(cells: Sequence[Column]) -> Column:
 
 def duplicate_checks(df: DataFrame, key: str | Sequence[str] | None = None) -> DataFrame:
     """Rows too many: equal rows, and rows sharing a key that is not blank."""
+    at = {c: f"c{i}" for i, c in reversed(list(enumerate(df.columns)))}
+    df = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
     texts = [F.col(c).cast("string") for c in df.columns]
     found = [("*", "duplicate row", df.select(row_digest(texts).alias("_same")))]
     if key:
-        parts = [F.col(c).cast("string") for c in names(key)]
+        parts = [F.col(at[c]).cast("string") for c in names(key)]
         whole = reduce(lambda a, b: a & b, [~is_blank(p) for p in parts])
         same = parts[0] if len(parts) == 1 else F.struct(*parts)
         found.append((",".join(names(key)), "duplicate key", df.select(F.when(whole, same).alias("_same"))))
@@ -142,16 +146,20 @@ def profile(
 ) -> DataFrame:
     """Every check for a table of text columns.
 
+    Columns are taken by place, so headers may hold dots or differ in case only.
     Reads the table three times at most: once for all cells, once each for equal
     rows and equal keys. Store it first if it is costly to work out.
     """
+    labels = {f"c{i}": c for i, c in enumerate(df.columns)}
+    at = {c: i for i, c in reversed(labels.items())}
+    plain = df.toDF(*labels)
     cells = (
-        missing_checks(df.columns)
-        + padding_checks(df.columns)
-        + date_checks(dates)
-        + casing_checks(casing or {})
-        + email_checks(emails)
-        + number_checks(numbers)
-        + amount_checks(amounts)
+        missing_checks(plain.columns)
+        + padding_checks(plain.columns)
+        + date_checks(at[c] for c in dates)
+        + casing_checks({at[c]: meant for c, meant in (casing or {}).items()})
+        + email_checks(at[c] for c in emails)
+        + number_checks(at[c] for c in numbers)
+        + amount_checks(at[c] for c in amounts)
     )
-    return duplicate_checks(df, key).unionByName(count_checks(df, cells))
+    return duplicate_checks(df, key).unionByName(count_checks(plain, cells, labels))

@@ -17,10 +17,12 @@ def apply_code(df: DataFrame, code: Callable[[DataFrame], DataFrame]) -> DataFra
 def apply_pandas(
     df: DataFrame, code: Callable[[pd.DataFrame], pd.DataFrame], schema: StructType | str | None = None
 ) -> DataFrame:
-    """Pandas code, run on Arrow batches of the rows.
+    """Pandas code that treats rows one by one, run on Arrow batches of the rows.
 
-    Each call sees one batch, so the code must treat rows one by one or alike
-    in any batch; whole-table steps (dedup, medians, ids) are jobs of their own.
+    That is the contract: the result of a row may depend on that row only. A call
+    sees one batch, whose size is Spark's choice, so code that looks across rows
+    (dedup, medians, ids) gives other answers for other sizes. Such code is written
+    against DataFrames and goes to ``apply_code``, or is one of the table jobs.
     """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -7,28 +7,28 @@ from pyspark.sql import functions as F
 
 from burnish.functions.emails import email_domain, restore_domain
 from burnish.functions.text import lower_strip, strip
-from burnish.operators.joins import HOT_ROWS, skewed_lookup
+from burnish.session import settle
 
 
-def canonicalize(
-    df: DataFrame, column: str, vocabulary: DataFrame, spelling: str, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def canonicalize(df: DataFrame, column: str, vocabulary: DataFrame, spelling: str) -> DataFrame:
     """Replace ``column`` by the spelling in ``vocabulary`` that equals it up to case and padding.
 
     Unknown values stay, stripped. Two spellings of one word would multiply
-    rows, so the first in text order is taken.
+    rows, so the first in text order is taken. The words are settled first: both
+    sides of the join are plain shuffles, and Spark splits the rows of a hot word.
     """
+    place = df.columns.index(column)
+    rows = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    value = F.col(f"c{place}")
     known = (
-        vocabulary.select(lower_strip(spelling).alias("_word"), strip(spelling).alias("_spelling"))
-        .where(F.col("_word") != "")
-        .groupBy("_word")
-        .agg(F.min("_spelling").alias("_spelling"))
+        vocabulary.select(lower_strip(spelling).alias("word"), strip(spelling).alias("spelling"))
+        .where(F.col("word") != "")
+        .groupBy("word")
+        .agg(F.min("spelling").alias("spelling"))
     )
-    # A null never matches; '' stands for it so that the join key is total.
-    keyed = df.withColumn("_word", F.coalesce(lower_strip(column), F.lit("")))
-    found = skewed_lookup(keyed, known, "_word", "left", hot_rows)
-    value = F.coalesce(F.col("_spelling"), strip(column)).alias(column)
-    return found.select(*[value if c == column else F.col(c) for c in df.columns])
+    found = rows.join(settle(known, "words"), lower_strip(value) == F.col("word"), "left")
+    fixed = F.coalesce("spelling", strip(value))
+    return found.select(*((fixed if i == place else F.col(f"c{i}")).alias(c) for i, c in enumerate(df.columns)))
 
 
 def most_common_domain(df: DataFrame, column: str) -> DataFrame:

@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burnish.functions.dates import DAY_FIRST, normalize_date
+from burnish.functions.missing import is_blank
 from burnish.functions.numbers import clean_amount, clamp_negative, coerce_number, fixed_scale
 from burnish.functions.text import in_vocabulary
 from burnish.operators.dedup import drop_exact_duplicates, drop_key_duplicates
 from burnish.operators.fills import carried_months, drop_missing, fill_median
 from burnish.operators.ids import continued_ids, place_ids
-from burnish.operators.ordering import apply_patches, names
+from burnish.operators.ordering import apply_patches, fresh, names, quoted, with_row_ids
 from burnish.operators.vocabulary import canonicalize, repair_domains
 from burnish.session import settle
 
@@ -62,8 +63,11 @@ class Undated:
 
 @dataclass(frozen=True)
 class CleaningSpec:
-    """Steps run in this order: duplicates, row drops, column rules, vocabulary
-    tables, domains, medians, dates, ids. Nothing happens that is not asked for.
+    """Steps run in this order: duplicates, row drops, column rules, medians,
+    vocabulary tables, domains, dates, ids. Nothing happens that is not asked for.
+
+    A cell that is blank before the rules counts as missing for ``medians``, even
+    if a rule writes 0 for blanks.
     """
 
     rules: Mapping[str, Sequence[Rule]] = field(default_factory=dict)
@@ -78,9 +82,13 @@ class CleaningSpec:
 
 
 def apply_rules(df: DataFrame, rules: Mapping[str, Sequence[Rule]]) -> DataFrame:
-    """All column rules in one projection; runs on streams as well."""
-    return df.select(
-        *[reduce(lambda c, rule: rule(c), rules[n], F.col(n)).alias(n) if n in rules else F.col(n) for n in df.columns]
+    """All column rules in one projection; runs on streams as well.
+
+    Columns are taken by place: names may hold dots or differ in case only.
+    """
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain.select(
+        *[reduce(lambda c, rule: rule(c), rules.get(n, ()), F.col(f"c{i}")).alias(n) for i, n in enumerate(df.columns)]
     )
 
 
@@ -95,21 +103,27 @@ def clean_table(df: DataFrame, spec: CleaningSpec, order: str | Sequence[str] |
         df = drop_key_duplicates(df, spec.key, order)
     if spec.required:
         df = drop_missing(df, spec.required)
+    blank = dict(zip(spec.medians, fresh(df, *(f"blank{i}" for i in range(len(spec.medians)))), strict=True))
+    if blank:
+        df = df.withColumns({flag: is_blank(quoted(c).cast("string")) for c, flag in blank.items()})
     df = apply_rules(df, spec.rules)
+    if blank:
+        df = settle(df, "ruled")
+    for column, flag in blank.items():
+        cells = [F.when(~F.col(flag), quoted(c)).alias(c) if c == column else quoted(c) for c in df.columns]
+        df = fill_median(df.select(*cells), column).drop(flag)
     for column, (vocabulary, spelling) in spec.vocabularies.items():
         df = canonicalize(df, column, vocabulary, spelling)
     for column in spec.domains:
         df = repair_domains(df, column)
-    for column in spec.medians:
-        df = fill_median(df, column)
     if not (spec.undated or spec.ids):
         return df
     # Both kinds of patch read the rows several times, from one written copy.
-    df = settle(df, "cleaned")
+    df, row = with_row_ids(df, "cleaned")
     patches = []
     if spec.undated:
-        patches.append(carried_months(df, spec.undated.column, order, names(spec.undated.group)))
+        patches.append(carried_months(df, spec.undated.column, order, row, names(spec.undated.group)))
     if spec.ids:
         i = spec.ids
-        patches.append((place_ids if i.by_place else continued_ids)(df, i.column, order, i.prefix, i.width))
-    return apply_patches(df, order, patches)
+        patches.append((place_ids if i.by_place else continued_ids)(df, i.column, order, row, i.prefix, i.width))
+    return apply_patches(df, row, patches)

@@ -41,19 +41,21 @@ def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_exact_duplicates(docs, order="doc_id")
 
 
-_LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+_LINE_KEY = ["l_orderkey", "l_linenumber"]
+_LINE_REST = [
+    "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+]
 
 
 @query(
-    f"""select {", ".join(_LINE)} from (
-        select *, row_number() over (partition by l_orderkey, l_linenumber
-            order by l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice) as n from lineitem)
+    f"""select {", ".join(_LINE_KEY + _LINE_REST)} from (select *, row_number() over (
+        partition by {", ".join(_LINE_KEY)} order by {", ".join(_LINE_REST)}) as n from lineitem)
     where n = 1"""
 )
 def dedup_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select(*_LINE)
-    order = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-    return drop_key_duplicates(lines, ["l_orderkey", "l_linenumber"], order)
+    """The first line per key, in the order of all other columns."""
+    lines = table(spark, sf_dir, "lineitem").select(*_LINE_KEY, *_LINE_REST)
+    return drop_key_duplicates(lines, _LINE_KEY, _LINE_REST)
 
 
 @query(
@@ -99,6 +101,16 @@ def fill_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.select("k", F.round("balance", 6).alias("balance"))
 
 
+@query(
+    """select l_orderkey, l_linenumber, coalesce(price, (select median(l_extendedprice) from lineitem where l_linenumber <> 3)) as price
+    from (select *, case when l_linenumber <> 3 then l_extendedprice end as price from lineitem)"""
+)
+def fill_median_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    gaps = lines.select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice")).alias("price"))
+    return fill_with_median(gaps, "price")
+
+
 @query(
     f"""select order_id, customer_id, priority from ({M.ORDERS_MESSY})
     where not {M.blank_test_sql("customer_id")} and not {M.blank_test_sql("priority")}"""
@@ -203,6 +215,13 @@ def undated_fill_whole_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_undated(_dated_orders(spark, sf_dir), "order_date", "k")
 
 
+@query(_undated_sql(""))
+def undated_fill_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order that ties, made total by a further column: no row is lost or doubled."""
+    rows = _dated_orders(spark, sf_dir).withColumn("tie", F.floor(F.col("k") / 10))
+    return fill_undated(rows, "order_date", ["tie", "k"]).drop("tie")
+
+
 # --- numbers ------------------------------------------------------------------
 
 
@@ -331,12 +350,43 @@ def id_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional_ids(_unnamed_lines(spark, sf_dir), "id", "k")
 
 
+@query(
+    f"""with u as ({_UNNAMED}), t as (select k // 100 as tie, id, row_number() over (order by k // 100, id, k) as place from u)
+    select tie, case when id = '' then {_pad_sql("place")} else id end as id from t"""
+)
+def id_by_place_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many rows share their place in the order; each keeps its row, and equal rows share the places among them."""
+    rows = _unnamed_lines(spark, sf_dir).select(F.floor(F.col("k") / 100).alias("tie"), "id")
+    return positional_ids(rows, "id", ["tie", "id"])
+
+
 # --- whole tables -------------------------------------------------------------
 
 _FIRST_COPY = f"""select * from (select *, row_number() over (partition by order_id order by _copy) as n
     from ({M.ORDERS_WITH_COPIES})) where n = 1"""
 
 
+_SPEC_AMOUNT = M.amount_sql("balance")
+
+
+@query(
+    f"""with m as (select k, segment, balance, case when {M.blank_test_sql("balance")} then null else {_SPEC_AMOUNT} end as v,
+            email from ({M.CUSTOMERS_MESSY}) where not {M.blank_test_sql("email")}),
+        w as (select lower({M.strip_sql("segment")}) as word, min({M.strip_sql("segment")}) as spelling
+            from ({M.CUSTOMERS_MESSY}) where not {M.blank_test_sql("segment")} group by 1)
+    select m.k, coalesce(w.spelling, {M.strip_sql("m.segment")}) as segment,
+        coalesce(v, (select median(round(v, 2)) from m))::decimal(38, 2)::varchar as balance
+    from m left join w on w.word = lower({M.strip_sql("m.segment")})"""
+)
+def clean_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row drops, medians on spoilt text, and a vocabulary table, by spec."""
+    rows = M.customers_messy(spark, sf_dir).select("k", "segment", "balance", "email")
+    spec = CleaningSpec(
+        {"balance": [amount(2)]}, required=["email"], medians=["balance"], vocabularies={"segment": (rows, "segment")}
+    )
+    return clean_table(rows, spec).drop("email")
+
+
 def orders_spec() -> CleaningSpec:
     return CleaningSpec(
         {"order_date": [dates()], "amount": [amount(2)], "priority": [words(PRIORITIES)], "customer_id": [fill_text]},

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -180,13 +182,13 @@ KEYS = {
 }
 
 
-def clean_sql(domain: str, seed: int) -> str:
-    name, key = KEYS[domain]
+def clean_sql(domain: str, seed: int, source: tuple[str, str] | None = None) -> str:
+    name, key = source or KEYS[domain]
     made = ", ".join(f'{x} as "{c}"' for c, x in _domain_columns(domain, seed).items())
     return f"select k as _row, {made} from (select {key} as k from {name})"
 
 
-def messy_sql(domain: str, seed: int) -> str:
+def messy_sql(domain: str, seed: int, source: tuple[str, str] | None = None) -> str:
     dirt, blanks = _DIRT[domain]
 
     def cell(c: str) -> str:
@@ -194,7 +196,7 @@ def messy_sql(domain: str, seed: int) -> str:
         return M.blank_sql(x, "_row", seed, c) if c in blanks else x
 
     spoilt = ", ".join(f'{cell(c)} as "{c}"' for c in _domain_columns(domain, seed))
-    clean = clean_sql(domain, seed)
+    clean = clean_sql(domain, seed, source)
     return f"""with c as ({clean}) select *, 0 as _copy from c where {M.happens_sql(D.COPY_RATE, "_row", seed, "copy")}
         union all select _row, {spoilt}, 1 from c"""
 
@@ -220,32 +222,32 @@ for _place, _domain in enumerate(KEYS):
     _register(_domain, _place)
 
 
+_CELL_END = "\x1f"
+
+
 def _pairs_sql() -> str:
-    """Every pair has a row per customer; messy adds the copies."""
-    n = "select '{0}' as domain, 'clean' as side, count(*) as n_rows, count(*) as n_ids from customer"
-    m = (
-        "select '{0}', 'messy', count(*) + coalesce(sum(({1})::int), 0)::bigint, count(*) from customer"
-    )
+    """All cells of all pairs, a row per customer; messy has the copies too."""
     parts = []
     for place, domain in enumerate(KEYS):
-        copied = M.happens_sql(D.COPY_RATE, "c_custkey", domain_seed(place), "copy")
-        parts += [n.format(domain), m.format(domain, copied)]
+        seed, source = domain_seed(place), ("customer", "c_custkey")
+        cells = ", ".join(f"coalesce(\"{c}\"::varchar, '')" for c in _domain_columns(domain, seed))
+        for side, rows in (("clean", clean_sql(domain, seed, source)), ("messy", messy_sql(domain, seed, source))):
+            parts.append(f"select '{domain}' as domain, '{side}' as side, concat_ws(chr(31), {cells}) as cells from ({rows})")
     return " union all ".join(parts)
 
 
 @query(_pairs_sql())
 def pair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write all five pairs with a row per customer, and count what is read back."""
+    """Write all five pairs with a row per customer, and read every cell back."""
     folder = scratch_path(spark, "pairs")
     keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias(ROW))
-    counted = None
+    found = []
     for domain in write_pairs(keys, folder):
         for side in ("clean", "messy"):
             rows = read_table(spark, f"{folder}/{domain}_{side}.csv")
-            found = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(rows.columns[0]).alias("n_ids"))
-            found = found.select(F.lit(domain).alias("domain"), F.lit(side).alias("side"), "n_rows", "n_ids")
-            counted = found if counted is None else counted.unionByName(found)
-    return counted
+            cells = F.concat_ws(_CELL_END, *[F.coalesce(c, F.lit("")) for c in rows.columns])
+            found.append(rows.select(F.lit(domain).alias("domain"), F.lit(side).alias("side"), cells.alias("cells")))
+    return reduce(DataFrame.unionByName, found)
 
 
 __all__ = ["COPY", "KEYS", "clean_sql", "messy_sql"]

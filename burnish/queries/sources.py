@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burnish.functions import dirt as D
+from burnish.functions.text import lower_strip, strip
 from burnish.operators.grade import bounded
 from burnish.operators.ordering import with_position
 from burnish.operators.report import succeeded, summary_by_level
+from burnish.plans.spec import apply_rules
 from burnish.plans.synth import COPY, ROW, clean_rows, domain_seed, messy_rows
 from burnish.queries import messy as M
 from burnish.queries.dirt import KEYS
@@ -32,6 +34,32 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_position(read_table(spark, path, ordered=True), "_order", "place").drop("_order")
 
 
+_DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@query(f"select {', '.join(f'nullif({c}::varchar, \'\') as {c}' for c in _DOCUMENT)} from documents")
+def csv_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with their line breaks survive a write and a read."""
+    path = scratch_path(spark, "documents")
+    write_table(table(spark, sf_dir, "documents").select(*[F.col(c).cast("string").alias(c) for c in _DOCUMENT]), path)
+    return read_table(spark, path)
+
+
+@query(
+    f"""select nullif(customer_id, '') as id, {M.strip_sql("nullif(name, '')")} as name,
+        lower({M.strip_sql("nullif(email, '')")}) as email, lower({M.strip_sql("nullif(segment, '')")}) as city
+    from ({M.CUSTOMERS_MESSY})"""
+)
+def csv_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers that differ in case only or hold a dot are written, read and cleaned as they are."""
+    path = scratch_path(spark, "headers")
+    rows = M.customers_messy(spark, sf_dir).select("customer_id", "name", "email", "segment")
+    write_table(rows.toDF("id", "Name", "name", "addr.city"), path)
+    read = read_table(spark, path)
+    cleaned = apply_rules(read, {"Name": [strip], "name": [lower_strip], "addr.city": [lower_strip]})
+    return cleaned.toDF("id", "name", "email", "city")
+
+
 def _catalog_sql() -> str:
     parts = []
     for domain in ("healthcare", "logistics"):
@@ -55,6 +83,9 @@ def catalog_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         write_table(clean, f"{folder}/{domain}_clean.csv", order=ROW)
         if domain != "hr":
             write_table(messy_rows(clean, domain, seed), f"{folder}/{domain}_messy.csv", order=[ROW, COPY])
+    # A decoy further down, under a folder of the same name.
+    decoy = clean_rows(keys.limit(1), "hr", 0)
+    write_table(decoy, f"{folder}/old/{folder.rsplit('/', 1)[-1]}/hr_messy.csv", order=ROW)
     listed = task_catalog(spark, folder, [t for t in TASKS if not t.always])
     counted = None
     for task in listed.collect():
@@ -73,14 +104,14 @@ def catalog_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STEPS = """select user_id as episode, event_id as step, event_type as action,
     (round(value * 100)::bigint % 99 + 1) / 100 as reward, event_type = 'purchase' as done,
     case when event_type = 'error' then 'timed out' end as error from events"""
-_RUNS = f"""select episode, count(*)::int as steps, max(reward) as score from ({_STEPS}) group by 1"""
+_RUNS = f"""select episode, count(*)::int as steps, max(reward) as score, min(reward) as worst from ({_STEPS}) group by 1"""
 
 
 def _logged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     reward = bounded((F.round(F.col("value") * 100).cast("bigint") % 99 + 1) / 100)
     steps = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("episode"),
-        F.col("event_id").cast("int").alias("step"),
+        F.col("event_id").cast("bigint").alias("step"),
         F.col("event_type").alias("action"),
         reward.alias("reward"),
         (F.col("event_type") == "purchase").alias("done"),
@@ -89,7 +120,7 @@ def _logged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     level = F.get(F.array(F.lit("easy"), F.lit("medium"), F.lit("hard")), (F.col("episode") % 3).cast("int"))
     runs = (
         steps.groupBy("episode")
-        .agg(F.count(F.lit(1)).cast("int").alias("steps"), F.max("reward").alias("score"))
+        .agg(F.count(F.lit(1)).cast("int").alias("steps"), F.max("reward").alias("score"), F.min("reward").alias("worst"))
         .select(
             "episode",
             F.format_string("clean_%s_%08d", level, F.col("episode")).alias("task"),
@@ -98,7 +129,7 @@ def _logged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
             succeeded("score").alias("success"),
             "steps",
             "score",
-            F.array("score").alias("rewards"),
+            F.array("worst", "score").alias("rewards"),
         )
     )
     return runs, steps
@@ -111,7 +142,7 @@ def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""select step::int as step, action, reward, done, coalesce(error, 'null') as error
+    f"""select step::bigint as step, action, reward, done, coalesce(error, 'null') as error
     from ({_STEPS})"""
 )
 def log_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,3 +166,33 @@ def log_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = summary_by_level(episodes(_written(spark, sf_dir)))
     return levels.select("level", F.round("average_reward", 6).alias("average_reward"), "episodes")
+
+
+@query(
+    f"""select printf('%08d', episode) as task_id, 'tables' as env, 'some model' as model, score >= 0.5 as success,
+        2 as n_rewards, worst as first_reward, score as last_reward from ({_RUNS})"""
+)
+def log_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field of the lines around a run, several rewards among them."""
+    rewards = F.col("rewards")
+    return episodes(_written(spark, sf_dir)).select(
+        "task_id",
+        "env",
+        "model",
+        "success",
+        F.size(rewards).alias("n_rewards"),
+        F.get(rewards, F.lit(0)).alias("first_reward"),
+        F.get(rewards, F.lit(1)).alias("last_reward"),
+    )
+
+
+@query(
+    f"""select row_number() over (order by episode) as episode, case when episode % 3 <> 1 then printf('%08d', episode) end as task_id,
+        steps from ({_RUNS})"""
+)
+def log_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the runs has lost its START line: its END takes no other run's."""
+    path = scratch_path(spark, "starts")
+    lines = episode_lines(*_logged(spark, sf_dir))
+    write_log(lines.where((F.col("line") > 0) | (F.col("episode") % 3 != 1)), path)
+    return episodes(read_log(spark, path)).select("episode", "task_id", "steps")

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-# Folder of each local application whose session names none.
-_LOCAL_FOLDERS: dict[str, str] = {}
-
+# Where the cluster names no folder, a session may be given one under this name.
+OWN_DIR = "burnish.scratch.dir"
 
 # The JVM leaves methods above 8000 bytes uncompiled. Past this limit Spark cuts a
 # long projection into small methods instead of running one long one interpreted;
 # its own default is far higher.
 _METHOD_LIMIT = ("spark.sql.codegen.hugeMethodLimit", "8000")
 
+# Paths written since each open ``scratch`` began, innermost last.
+_OPEN: list[list[str]] = []
+
 
 def tuned(spark: SparkSession) -> SparkSession:
     """Session settings that suit wide projections with many rules."""
@@ -25,25 +28,48 @@ def tuned(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, as the cluster names it.
+    """Folder every executor can reach, as the cluster names it, or as the session was given one.
 
-    Only a local session may go without: it gets a folder of this machine. A
-    cluster without the setting is refused, since its executors share no disk.
+    There is no default: a folder of one machine would be lost on a cluster.
     """
-    named = spark.conf.get(CHECKPOINT_DIR, None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="burnish-")
-    return _LOCAL_FOLDERS[app]
+    named = spark.conf.get(CHECKPOINT_DIR, None) or spark.conf.get(OWN_DIR, None)
+    if not named:
+        raise RuntimeError(f"set {CHECKPOINT_DIR} (or {OWN_DIR} in the session) to a folder all executors share")
+    return named.rstrip("/")
+
+
+def use_folder(spark: SparkSession, folder: str) -> SparkSession:
+    """Give the session a folder, unless the cluster has named one."""
+    if not spark.conf.get(CHECKPOINT_DIR, None):
+        spark.conf.set(OWN_DIR, folder)
+    return spark
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """New path under the shared folder for a table written on the way."""
-    return f"{shared_folder(spark)}/burnish/{name}-{uuid.uuid4().hex}"
+    """New path under the shared folder for a table written on the way; dropped with the open ``scratch``."""
+    path = f"{shared_folder(spark)}/burnish/{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A job: what it writes on the way is dropped when it ends.
+
+    Write or collect the result inside; a DataFrame that reads such tables is
+    of no use afterwards. Without this the tables stay until the folder's owner
+    removes them.
+    """
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield
+    finally:
+        _OPEN.remove(paths)
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

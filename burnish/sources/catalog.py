@@ -6,7 +6,6 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -40,18 +39,17 @@ TASKS = (
 
 
 def existing(spark: SparkSession, folder: str, files: Iterable[str]) -> set[str]:
-    """Which of ``files`` are in ``folder``, as a file or as a folder of parts.
+    """Which of ``files`` are right in ``folder``, as a file or as a folder of parts.
 
-    The listing is Spark's own, so any file system it reads will do. No content
-    is read, and at most the names asked for come back.
+    The file system that Spark would read from is asked for each name; nothing
+    is listed or read, and a folder that is missing holds nothing.
     """
-    listed = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
-    )
-    root = folder.rstrip("/").rsplit("/", 1)[-1]
-    name = F.regexp_extract("path", rf"/\Q{root}\E/([^/]+)(/part-[^/]*)?$", 1)
-    found = listed.select(name.alias("file")).where(F.col("file").isin(*files)).distinct()
-    return {row.file for row in found.collect()}
+    found = set()
+    for name in files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            found.add(name)
+    return found
 
 
 def available_tasks(spark: SparkSession, folder: str, tasks: Sequence[Task] = TASKS) -> list[Task]:

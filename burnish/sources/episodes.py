@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burnish.functions.numbers import fixed_scale
-from burnish.operators.ordering import carry_forward, names, with_position
+from burnish.operators.ordering import names, with_position
+from burnish.session import settle
 from burnish.sources.tables import ORDER, with_file_order
 
 # The line formats.
@@ -43,7 +44,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         _field(START, 1).alias("task"),
         _field(START, 2).alias("env"),
         _field(START, 3).alias("model"),
-        _field(STEP, 1).try_cast("int").alias("step"),
+        _field(STEP, 1).try_cast("bigint").alias("step"),
         _field(STEP, 2).alias("action"),
         _field(STEP, 3).try_cast("double").alias("reward"),
         (_field(STEP, 4) == "true").alias("done"),
@@ -56,20 +57,25 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 
 def episodes(lines: DataFrame, order: str | Sequence[str] = ORDER) -> DataFrame:
-    """One row per END line: episode, task, task_id, level, reward, steps, success, rewards.
+    """One row per END line: episode, task, task_id, level, env, model, reward, steps, success, rewards.
 
-    The task comes from the START line before it. Only those two kinds of lines
-    are put in order.
+    Task, env and model come from the START line right before it, STEP lines
+    aside. An END closes its START: a second END has none. Only those two kinds
+    of lines are put in order.
     """
     order = names(order)
     marks = lines.where(F.col("value").rlike(r"^\[(START|END)\] "))
-    parsed = parse_lines(marks).select(*order, "kind", "task", "steps", "score", "success", "rewards")
-    ends = carry_forward(parsed, "task", order, "started").where("kind = 'END'")
-    return with_position(ends, order, "episode").select(
+    fields = ["kind", "task", "env", "model", "steps", "score", "success", "rewards"]
+    placed = settle(with_position(parse_lines(marks).select(*order, *fields), order, "place"), "marks")
+    starts = placed.where("kind = 'START'").select((F.col("place") + 1).alias("of"), *[F.col(c).alias(f"its_{c}") for c in fields[1:4]])
+    ends = placed.where("kind = 'END'").join(starts, F.col("place") == F.col("of"), "left")
+    return with_position(ends, "place", "episode").select(
         F.col("episode"),
-        F.col("started").alias("task"),
-        F.regexp_extract("started", TASK_NAME, 3).alias("task_id"),
-        F.regexp_extract("started", TASK_NAME, 2).alias("level"),
+        F.col("its_task").alias("task"),
+        F.regexp_extract("its_task", TASK_NAME, 3).alias("task_id"),
+        F.regexp_extract("its_task", TASK_NAME, 2).alias("level"),
+        F.col("its_env").alias("env"),
+        F.col("its_model").alias("model"),
         F.col("score").alias("reward"),
         "steps",
         "success",
@@ -114,13 +120,13 @@ def episode_lines(runs: DataFrame, steps: DataFrame) -> DataFrame:
     steps: episode, step, action, reward, done, error
     """
     c = F.col
-    last = F.lit(2**31 - 1)
+    last = F.lit(2**63 - 1)
     return (
-        runs.select("episode", F.lit(0).alias("line"), start_line(c("task"), c("env"), c("model")).alias("value"))
+        runs.select("episode", F.lit(0).cast("bigint").alias("line"), start_line(c("task"), c("env"), c("model")).alias("value"))
         .unionByName(
             steps.select(
                 "episode",
-                c("step").cast("int").alias("line"),
+                c("step").cast("bigint").alias("line"),
                 step_line(c("step"), c("action"), c("reward"), c("done"), c("error")).alias("value"),
             )
         )

@@ -7,41 +7,66 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
-from burnish.operators.ordering import names
+from burnish.operators.ordering import names, quoted
 
 ORDER = "_order"
 _DIALECT = {"header": True, "escape": '"', "encoding": "UTF-8"}
 
 
+def header_of(spark: SparkSession, path: str) -> list[str]:
+    """Header texts as they stand in the file, or in one file of the folder."""
+    first = spark.read.options(**_DIALECT | {"header": False}, multiLine=True).csv(path).head(1)
+    return [cell or "" for cell in first[0]] if first else []
+
+
 def read_table(
     spark: SparkSession,
     path: str,
     columns: Sequence[str] | None = None,
     ordered: bool = False,
-    multiline: bool = False,
+    multiline: bool = True,
     broken: str | None = None,
 ) -> DataFrame:
     """All-text DataFrame of a delimited file or folder; blank cells are null.
 
-    ``columns`` saves the look at the header. ``ordered`` adds a column
-    ``_order`` with the place of each row in its file. ``multiline`` reads line
-    breaks inside quotes, at the price of one task per file. ``broken`` names a
-    column that gets the text of rows with too many or too few fields.
+    Header texts stay as they are, also if they differ in case only, repeat, or
+    hold dots. Files of a folder must have the same header, else reading raises.
+    Line breaks inside quotes are part of a cell: a file is then read by one task,
+    so a large table should be many files. ``multiline`` off reads a file in pieces
+    and raises on a row that was cut. ``columns``, if given, is the header, and
+    saves the look at it. ``ordered`` adds a column ``_order`` with the place of
+    each row in its file. ``broken`` names a column that gets the text of rows
+    with too many or too few fields.
     """
-    reader = spark.read.options(**_DIALECT, multiLine=multiline)
-    if columns is None and broken:
-        columns = reader.csv(path).columns
-    if columns is not None:
-        schema = StructType()
-        for c in [*columns, *([broken] if broken else [])]:
-            schema = schema.add(c, StringType())
-        reader = reader.schema(schema).option("enforceSchema", True)
-        if broken:
-            reader = reader.option("columnNameOfCorruptRecord", broken)
+    header = list(columns) if columns is not None else header_of(spark, path)
+    # Headers that Spark could not tell apart are read by place.
+    plain = len({h.lower() for h in header}) == len(header) and all(header)
+    if not plain:
+        _same_headers(spark, path)
+    cells = header if plain else [f"_c{i}" for i in range(len(header))]
+    schema = StructType([StructField(c, StringType()) for c in [*cells, *([broken] if broken else [])]])
+    reader = spark.read.options(**_DIALECT, multiLine=multiline, enforceSchema=not plain).schema(schema)
+    if broken:
+        reader = reader.option("columnNameOfCorruptRecord", broken)
+    elif not multiline:
+        reader = reader.option("mode", "FAILFAST")
     table = reader.csv(path)
-    return with_file_order(table) if ordered else table
+    if ordered:
+        table = with_file_order(table)
+    return table if plain else table.toDF(*header, *table.columns[len(header) :])
+
+
+def _same_headers(spark: SparkSession, path: str) -> None:
+    """Raise if the files of a folder have different headers."""
+    rows = spark.read.options(**_DIALECT | {"header": False}, multiLine=True).csv(path)
+    cells = F.array(*rows.columns)
+    place = F.monotonically_increasing_id()
+    first = rows.select(F.col("_metadata.file_path").alias("file"), cells.alias("cells"), place.alias("place"))
+    found = first.groupBy("file").agg(F.min_by("cells", "place").alias("cells")).select("cells").distinct().limit(2)
+    if found.count() > 1:
+        raise ValueError(f"files with different headers in {path}")
 
 
 def read_table_or_empty(spark: SparkSession, path: str | None, **options: object) -> DataFrame:
@@ -75,10 +100,18 @@ def write_table(
     columns of that name which are no text table cells are left out.
     """
     order = names(order)
+    spark = df.sparkSession
     if order:
-        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+        by = [quoted(c) for c in order]
+        df = df.repartitionByRange(*by).sortWithinPartitions(*by)
     df = df.drop(*[c for c in order if c.startswith("_")])
     writer = df.write.mode(mode).options(
         **_DIALECT, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="", nullValue=""
     )
-    writer.csv(path)
+    told_apart = spark.conf.get("spark.sql.caseSensitive")
+    try:
+        if len({c.lower() for c in df.columns}) < len(df.columns):
+            spark.conf.set("spark.sql.caseSensitive", "true")  # headers may differ in case only
+        writer.csv(path)
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", told_apart)

@@ -9,8 +9,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from burnish import queries
+from burnish.session import scratch, shared_folder
 
-QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
+QUERIES, ORACLES = queries.QUERIES, queries.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -43,11 +45,23 @@ def sorted_rows(rows, columns, want):
 
 def test_every_query_has_its_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(driver.queries()) and set(ORACLES) <= set(driver.oracle_sql())
+
+
+def left_over(spark):
+    folder = f"{shared_folder(spark)}/burnish"
+    return os.listdir(folder) if os.path.isdir(folder) else []
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf_dir, tables, name):
-    found = QUERIES[name](spark, sf_dir)
+    before = left_over(spark)
+    with scratch(spark):
+        check(QUERIES[name](spark, sf_dir), tables, name)
+    assert left_over(spark) == before  # a job leaves nothing behind
+
+
+def check(found, tables, name):
     rel = tables.execute(ORACLES[name])
     names = [d[0] for d in rel.description]
     assert sorted(found.columns) == sorted(names)
