@@ -2,10 +2,12 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from burnish.functions.chance import choose, draw, pick
 from burnish.operators.grade import grade
+from burnish.operators.profile import profile
 from burnish.plans.spec import CleaningSpec, amount, apply_rules, clean_table, dates
 from burnish.plans.synth import COPY, DOMAINS, ROW, clean_rows, messy_rows, numbered, write_pairs
 from burnish.plans.tasks import task_specs
@@ -117,3 +119,43 @@ def test_rules_run_on_a_stream(spark, tmp_path):
         assert [tuple(r) for r in spark.table("cleaned").collect()] == [("Ann Lee", "2024-01-18")]
     finally:
         query.stop()
+
+
+def test_line_breaks_survive(spark, tmp_path):
+    rows = [(str(i), f'line one\nline "two", {i}\r\nthree') for i in range(20)]
+    write_table(spark.createDataFrame(rows, "k string, v string").repartition(3), str(tmp_path / "t"))
+    assert sorted(map(tuple, read_table(spark, str(tmp_path / "t")).collect())) == sorted(rows)
+    with pytest.raises(Exception, match="MALFORMED"):
+        read_table(spark, str(tmp_path / "t"), multiline=False).collect()
+
+
+def test_headers_stay_as_written(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,Name,name,x,x,addr.city,\n1, a ,b,c,d,OSLO,e\n2,,,,,,\n")
+    read = read_table(spark, str(tmp_path / "a.csv"))
+    assert read.columns == ["id", "Name", "name", "x", "x", "addr.city", ""]
+    assert [tuple(r) for r in read.collect()] == [("1", " a ", "b", "c", "d", "OSLO", "e"), ("2", *[None] * 6)]
+    cleaned = apply_rules(read, {"Name": [title_case], "addr.city": [title_case]})
+    assert cleaned.columns == read.columns and cleaned.first()[1] == "A" and cleaned.first()[5] == "Oslo"
+    found = {(r["column"], r["check"]): r.n_bad for r in profile(read, "id").collect()}
+    assert found["Name", "padded"] == 1 and found["name", "padded"] == 0 and found["addr.city", "missing"] == 1
+    scores = grade(read, read).first()  # headers that are alike count once
+    assert (scores.row_score, scores.cell_score) == (0.99, 0.99) and scores.column_score == pytest.approx(5 / 7)
+    ordered = read_table(spark, str(tmp_path / "a.csv"), ordered=True)
+    assert ordered.columns == [*read.columns, ORDER]
+
+
+@pytest.mark.parametrize("headers", [("id,x,y", "id,y,x"), ("id,x,X", "id,X,x")])
+def test_files_with_different_headers_raise(spark, tmp_path, headers):
+    for name, header in zip("ab", headers, strict=True):
+        (tmp_path / f"{name}.csv").write_text(f"{header}\n1,2,3\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_table(spark, str(tmp_path)).collect()
+
+
+def test_an_end_without_start_takes_no_other_task(spark, tmp_path):
+    (tmp_path / "a.log").write_text("[START] task=t_easy_a1 env=e model=m\n[END] success=true steps=1 score=0.5 rewards=0.5\n")
+    (tmp_path / "b.log").write_text("[END] success=true steps=3000000000 score=0.6 rewards=0.1,0.6\n[STEP] step=3000000000 action=a reward=0.1 done=false error=null\n")
+    got = episodes(read_log(spark, str(tmp_path))).orderBy("episode").collect()
+    assert [(r.task_id, r.env, r.reward, r.rewards) for r in got] == [("a1", "e", 0.5, [0.5]), (None, None, 0.6, [0.1, 0.6])]
+    steps = parse_lines(read_log(spark, str(tmp_path))).where("kind = 'STEP'").collect()
+    assert [s.step for s in steps] == [3_000_000_000]
