@@ -62,6 +62,7 @@ _TOKEN = re.compile(
 )
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
+_FAR = re.compile(r"&#(?:[xX]0*+[0-9a-fA-F]{8,}|0*+[0-9]{8,});?")  # references beyond any character
 
 
 def is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
@@ -117,7 +118,7 @@ class Page:
     def _text(self, raw: str) -> None:
         if self.hidden:
             return
-        text = html.unescape(raw) if "&" in raw else raw
+        text = html.unescape(_FAR.sub("\ufffd", raw)) if "&" in raw else raw
         self.events.append(text)
         self.chars[self.stack[-1]] += len("".join(text.split()))
 

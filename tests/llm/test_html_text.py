@@ -42,6 +42,7 @@ P = "<p>One long paragraph with many words in it, and more.</p>"
         ("<article><h1>Title</h1>" + P, None),
         ("<div", ""),
         ("<!-- open", ""),
+        ("a&#" + "9" * 5000 + ";b &#x41;&#0000000000066;", "a\ufffdb AB"),
     ],
 )
 def test_shapes(source, text):
