@@ -18,8 +18,9 @@ from burnish.llm.common import bucket_of, only
 from burnish.llm.queries import vocabulary_path
 from burnish.session import settle
 
-# A text that takes more bits a byte in its best language than this is in none of them; 8 would be chance.
-FOREIGN_BITS = 7.0
+# A text that takes more bits a byte in its best language than this is in none of them. Chance would be 8, a letter
+# that no language has costs about 20; a short text with a key or an address in it stays below.
+FOREIGN_BITS = 10.0
 
 
 def _plain(docs: DataFrame) -> DataFrame:
