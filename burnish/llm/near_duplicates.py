@@ -250,8 +250,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     classes = sketches.where("n_shingles > 0 and doc_id is not null").groupBy(*whole)
     classes = settle(classes.agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")), "classes")
     chained = settle(groups(classes.select("node", "bands")), "chained")
-    # Texts are shuffled once, for classes that have a candidate at all.
-    members = rows.join(chained, rows["doc_id"] == chained["node"]).select("node", "root", "text")
+    # Texts are shuffled once, by id, whatever the number of candidates: the plan is the same at every size.
+    members = rows.join(chained.hint("merge"), rows["doc_id"] == chained["node"]).select("node", "root", "text")
     counts = classes.select(F.col("node").alias("of"), "n_shingles")
     members = members.join(counts, members["node"] == counts["of"]).drop("of")
     members = settle(members.dropDuplicates(["node"]), "members")
