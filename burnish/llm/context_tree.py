@@ -32,7 +32,6 @@ DEPTH = 3  # bytes of context; a subtree below one byte has at most 2**24 grams
 _CHUNK = 1 << 20
 _WORD, _GRAM, _ROOT, _TOTAL = range(4)
 _LOG2 = float(np.log(2))
-_REPLY = "block int, kind int, key binary, x double, y double, z double, bits binary"
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -141,9 +140,14 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
         )
 
     counted = dealt.groupBy("block").applyInArrow(count, "block int, kind int, key binary, n long")
-    # One shuffle by key serves the totals and the way back to the blocks.
-    counted = counted.repartition(parts, "kind", "key")
-    totals = counted.groupBy("kind", "key").agg(F.sum("n").alias("total"), F.count("*").alias("blocks"))
+    # One shuffle by key serves the totals and the way back to the blocks. ``what`` is the kind as a result of
+    # the aggregation: a condition on it stays above the shuffle, which all of its readers then share. No key is
+    # null; saying so here spares the joins from saying it in each reader.
+    counted = counted.where("kind is not null and key is not null").repartition(parts, "kind", "key")
+    totals = counted.groupBy("kind", "key").agg(
+        F.sum("n").alias("total"), F.count("block").alias("blocks"), F.max("kind").alias("what")
+    )
+    totals = totals.where("blocks > 0")  # true of all: keeps the readers' columns, and so their shuffle, the same
 
     def grow(part: pa.Table) -> pa.Table:
         keys = np.frombuffer(b"".join(part["key"].to_pylist()), ">u4").astype(np.uint32)
@@ -165,34 +169,33 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
         )
 
     nearest = F.substring("key", 3, 1) if depth == 3 else F.lit(0)
-    tree = totals.where(F.col("kind") == _GRAM).select(nearest.alias("nearest"), "key", "total")
+    tree = totals.where(F.col("what") == _GRAM).select(nearest.alias("nearest"), "key", "total")
     tree = tree.groupBy("nearest").applyInArrow(grow, "kind int, key binary, x double, y double, z double, bits binary")
-    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("block")
-    none = F.lit(None)
-
-    def reply(df: DataFrame, block: Column, kind: int, key: object, x: object, y: object, z: object, bits: object) -> DataFrame:
-        kinds = {"x": "double", "y": "double", "z": "double", "key": "binary", "bits": "binary"}
-        columns = {"key": key, "x": x, "y": y, "z": z, "bits": bits}
-        return df.select(block, F.lit(kind).alias("kind"), *(c.cast(kinds[name]).alias(name) for name, c in columns.items()))
-
-    # A word of a single block needs no answer: the block has counted it.
-    spread = totals.where((F.col("kind") == _WORD) & (F.col("blocks") > 1)).select(F.col("key").alias("of"), "total")
-    words = counted.where(F.col("kind") == _WORD).join(spread, F.col("key") == F.col("of"))
-    known = tree.where(F.col("kind") == _GRAM).select(F.col("key").alias("of"), "bits")
-    asked = counted.where(F.col("kind") == _GRAM).join(known, F.col("key") == F.col("of"))
-    roots = tree.where(F.col("kind") == _ROOT).groupBy("key").agg(*(F.sum(c).alias(c) for c in "xyz"))
-    is_word, end = F.col("kind") == _WORD, F.col("kind") == _TOTAL
-    sums = totals.where(is_word | end).agg(
-        F.sum("total").alias("n"), F.sum((F.col("total") > 0).cast("long")).alias("v"), F.sum(F.when(end, F.col("total"))).alias("e")
+    none, every = F.lit(None), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("block")
+    # What is known of a key: the total of a word, the predictions of a gram. A word of a single block needs no
+    # answer: the block has counted it.
+    words = totals.where((F.col("what") == _WORD) & (F.col("blocks") > 1))
+    known = words.select("kind", "key", F.col("total").cast("double").alias("x"), none.cast("binary").alias("bits"))
+    known = known.unionByName(tree.where(F.col("bits").isNotNull()).select("kind", "key", "x", "bits"))
+    known = known.toDF("of_kind", "of", "x", "bits")
+    asked = counted.join(known, (F.col("kind") == F.col("of_kind")) & (F.col("key") == F.col("of")))
+    roots = tree.where(F.col("bits").isNull()).groupBy("key").agg(*(F.sum(c).alias(c) for c in "xyz"))
+    end = F.col("what") == _TOTAL
+    sums = totals.where(F.col("what") != _GRAM).agg(
+        F.sum("total").alias("x"), F.sum((F.col("total") > 0).cast("long")).alias("y"), F.sum(F.when(end, F.col("total"))).alias("z")
+    )
+
+    def reply(df: DataFrame, block: Column, kind: Column, **columns: Column) -> DataFrame:
+        kinds = {"key": "binary", "x": "double", "y": "double", "z": "double", "bits": "binary"}
+        return df.select(block, kind.alias("kind"), *(columns.get(c, none).cast(t).alias(c) for c, t in kinds.items()))
+
+    x, y, z, key = (F.col(c) for c in ("x", "y", "z", "key"))
+    answered = (
+        reply(asked, F.col("block"), F.col("kind"), key=key, x=x, y=F.col("n"), bits=F.col("bits"))
+        .unionByName(reply(roots, every, F.lit(_ROOT), key=key, x=x, y=y, z=z))
+        .unionByName(reply(sums, every, F.lit(_TOTAL), x=x, y=y, z=z))
+        .repartition(parts, "block")
     )
-    block_column = F.col("block")
-    replies = [
-        reply(words, block_column, _WORD, F.col("key"), F.col("total"), none, none, none),
-        reply(asked, block_column, _GRAM, F.col("key"), none, none, none, F.col("bits")),
-        reply(roots, every, _ROOT, F.col("key"), F.col("x"), F.col("y"), F.col("z"), none),
-        reply(sums, every, _TOTAL, none, F.col("n"), F.col("v"), F.col("e"), none),
-    ]
-    answered = replies[0].unionByName(replies[1]).unionByName(replies[2]).unionByName(replies[3]).repartition(parts, "block")
     shape = result(
         dealt, ["doc_id", "held_out"], "n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     )
