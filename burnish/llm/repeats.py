@@ -282,13 +282,17 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id",
         key, whole = (pairs["k"].ravel(), pairs["w"].ravel()) if pairs is not None else (np.zeros(0, np.uint64),) * 2
         return _table(block=np.full(len(key), block_of(part)), key=key.view(np.int64), whole=whole.view(np.int64))
 
-    filed = dealt.groupBy("block").applyInArrow(file, "block int, key long, whole long").repartition(parts, "key")
+    # One shuffle by key, read by the summary and by the way back to the blocks. Nothing is null; saying so here,
+    # and asking both for all columns, keeps the two readers alike, so that they share it.
+    filed = dealt.groupBy("block").applyInArrow(file, "block int, key long, whole long")
+    filed = filed.where("key is not null and whole is not null and block is not null").repartition(parts, "key")
     shared = filed.groupBy(F.col("key").alias("of")).agg(
         F.min("block").alias("low"), F.max("block").alias("high"), F.min("whole").alias("a"), F.max("whole").alias("b"), F.count("*").alias("n")
     )
     kind = F.when(F.col("a") == F.col("b"), _ALL).when(F.col("n") <= FREQUENT, _ASK).otherwise(_SPLIT)
-    shared = shared.where("low < high").select("of", "low", kind.alias("kind"))
-    answers = filed.join(shared, F.col("key") == F.col("of")).where((F.col("kind") != _ALL) | (F.col("block") > F.col("low")))
+    shared = shared.where("low < high").select("of", "low", "a", "b", kind.alias("kind"))
+    answers = filed.join(shared, F.col("key") == F.col("of")).where(F.col("whole").between(F.col("a"), F.col("b")))
+    answers = answers.where((F.col("kind") != _ALL) | (F.col("block") > F.col("low")))
     answers = answers.select("block", F.col("kind").cast("int"), "key").repartition(parts, "block")
 
     def send(part: pa.Table, asked: pa.Table) -> pa.Table:
