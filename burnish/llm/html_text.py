@@ -1,8 +1,12 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree of elements, as lenient as browsers are about end tags. Elements that say by name,
-role, class or id that they are furniture (menus, page headers, footers, sidebars, notices, adverts,
-forms, reader comments) or not text (scripts, styles, head) stay out of the tree. For every remaining
+A page becomes a tree of elements, as lenient as browsers are about end tags. Elements that say by name or
+role that they are furniture (menus, page headers, footers, sidebars, notices, adverts, forms, reader
+comments) or not text (scripts, styles, head) stay out of the tree. A class or id that is a furniture word, or
+made of such words and words of place and kind only (``site-footer``, not ``related-work``), leaves an element
+out only if its text bears it out. Headings stay. In an article, blocks that are mostly links go, and
+adverts by class; outside, all go. An element with most of the page's plain text stays, unless the page has
+an article with text beside it. For every remaining
 element the density is its characters per tag, adjusted by the share of its text and tags that are links,
 against the same share of the whole body. The element whose children (blocks, not in-line elements) have
 the greatest sum of densities is the main text. On the path from there to the body, a parent takes its
@@ -46,7 +50,7 @@ CLOSES = {
     "tbody": ("thead tbody tfoot tr td th", ("table",)),
     "tfoot": ("thead tbody tfoot tr td th", ("table",)),
 }
-# Furniture by element, role, and word of a class or id.
+# Furniture by element, role, and word of a class or id; what may stand beside such a word; words that are never a topic.
 FURNITURE = frozenset("nav footer aside form dialog menu button object audio video canvas".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 WORDS = frozenset(
@@ -55,13 +59,22 @@ WORDS = frozenset(
     "overlay newsletter subscribe signup login comment comments disqus replies respond share sharing social related "
     "recommended toolbar pagination pager skip".split()
 )
+BESIDE = frozenset(
+    "site page main global top bottom left right upper lower header primary secondary mobile desktop sticky fixed box block "
+    "bar container wrapper wrap holder slot unit area zone region section panel list item items link links button buttons "
+    "icon icons post posts article articles story stories thread".split()
+)
+ADVERTS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo".split())
+NAMELESS = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())  # never furniture by class or id
+WORD, ADVERT = 1, 2  # what a class or id says
 
 _TOKEN = re.compile(
     r"""<!--(?:.*?(?:-->|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>|</?[a-zA-Z!?][^>]*+(?:>|\Z)""",
     re.DOTALL,
 )
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
-_WORD = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[-_:]+|(?<=[a-z])(?=[A-Z])")
+_SIZE = re.compile(r"[0-9]+(?:x[0-9]+)?")
 _FAR = re.compile(r"&#(?:[xX]0*+[0-9a-fA-F]{8,}|0*+[0-9]{8,});?")  # references beyond any character
 
 
@@ -77,11 +90,25 @@ def is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "role" and value in ROLES:
             return True
-        if name in ("class", "id") and not WORDS.isdisjoint(_WORD.findall(value)):
-            return True
     return False
 
 
+def named(tag: str, attributes: str) -> int:
+    """Whether a class or id is a furniture word or a compound of one: ``WORD``, ``ADVERT`` for an advert's class, or 0."""
+    found = 0
+    if not attributes or tag in NAMELESS:
+        return found
+    for m in _NAMED.finditer(attributes):
+        kind = m[1].lower()
+        if kind not in ("class", "id"):
+            continue
+        for name in (m[2] or "").strip("\"'").split():
+            parts = [p.lower() for p in _PARTS.split(name) if p and not _SIZE.fullmatch(p)]
+            if not WORDS.isdisjoint(parts) and all(p in WORDS or p in BESIDE for p in parts):
+                found = max(found, ADVERT if kind == "class" and not ADVERTS.isdisjoint(parts) else WORD)
+    return found
+
+
 class Page:
     """Tree of a page's elements, and its text and block borders in page order."""
 
@@ -90,6 +117,8 @@ class Page:
         self.parents, self.tags, self.chars, self.first, self.last = [-1], ["body"], [0], [0], [-1]
         self.events: list[str | None] = []  # a text, or None for a block border
         self.stack = [0]
+        self.suspects: dict[int, tuple[int, bool]] = {}  # furniture by class or id: what it says, whether in an article
+        self.dropped: list[int] = []  # those of them that are none of the text
         self.hidden = 0  # height of the stack from which on nothing counts; 0: everything does
         self.articles = 0
         at, size = 0, len(source)
@@ -131,6 +160,10 @@ class Page:
         if tag in ("article", "main") and self.hidden and not self.articles:
             while self.hidden:  # furniture left open ends where the article starts
                 self._pop()
+        if tag in ("article", "main") and not self.hidden and not self.articles and self.suspects:
+            open_ones = [depth for depth, node in enumerate(self.stack) if node in self.suspects]
+            while open_ones and len(self.stack) > open_ones[0]:
+                self._pop()
         if tag not in INLINE:
             if tag in CLOSES:
                 names, borders = CLOSES[tag]
@@ -142,6 +175,8 @@ class Page:
             return
         hides = not self.hidden and is_furniture(tag, attributes, self.articles > 0)
         self._push(tag, hides)
+        if not self.hidden and (says := named(tag, attributes)):
+            self.suspects[self.stack[-1]] = says, self.articles > 0
 
     def _push(self, tag: str, hides: bool) -> None:
         self.parents.append(self.stack[-1])
@@ -191,13 +226,10 @@ class Page:
             if tag in INLINE and open_tag not in INLINE:
                 return  # in-line ends do not reach out of a block
 
-    def main(self) -> int:
-        """The element that holds the main text."""
+    def _sums(self, alive: list[bool]) -> tuple[list[int], list[int], list[int], list[int]]:
+        """Per element, all below it counted: characters, tags, and those of links."""
         n = len(self.tags)
         chars, tags, link_chars, link_tags = self.chars[:], [1] * n, [0] * n, [0] * n
-        alive = [True] * n
-        for i in range(1, n):
-            alive[i] = alive[self.parents[i]] and self.tags[i] != ""
         for i in range(n - 1, 0, -1):
             if not alive[i]:
                 continue
@@ -208,6 +240,33 @@ class Page:
             tags[up] += tags[i]
             link_chars[up] += link_chars[i]
             link_tags[up] += link_tags[i]
+        return chars, tags, link_chars, link_tags
+
+    def _alive(self, dropped: set[int]) -> list[bool]:
+        alive = [True] * len(self.tags)
+        for i in range(1, len(self.tags)):
+            alive[i] = alive[self.parents[i]] and self.tags[i] != "" and i not in dropped
+        return alive
+
+    def _drop(self) -> None:
+        """Which elements that are furniture by class or id their text shows to be so."""
+        alive = self._alive(set())
+        chars, _, links, _ = self._sums(alive)
+        plain = [a - b for a, b in zip(chars, links, strict=True)]
+        article = any(alive[i] and plain[i] and t in ("article", "main") for i, t in enumerate(self.tags))
+        for i, (says, inside) in self.suspects.items():
+            small = 2 * plain[i] <= plain[0]
+            linked = 2 * links[i] > chars[i]
+            if (linked and self.tags[i] not in INLINE or small and says == ADVERT) if inside else (linked or small or article):
+                self.dropped.append(i)
+
+    def main(self) -> int:
+        """The element that holds the main text."""
+        n = len(self.tags)
+        if self.suspects:
+            self._drop()
+        alive = self._alive(set(self.dropped))
+        chars, tags, link_chars, link_tags = self._sums(alive)
         share = link_chars[0] / max(chars[0], 1)
         density, total = [0.0] * n, [0.0] * n
         for i in range(n):
@@ -226,8 +285,12 @@ class Page:
     def text(self) -> str:
         """The main text: blocks joined by two line breaks."""
         node = self.main()
-        blocks, parts = [], []
-        for event in [*self.events[self.first[node] : self.last[node]], None]:
+        blocks, parts, kept, at = [], [], [], self.first[node]
+        for i in self.dropped:
+            if at <= self.first[i] <= self.last[i] <= self.last[node]:
+                kept += self.events[at : self.first[i]]
+                at = self.last[i]
+        for event in [*kept, *self.events[at : self.last[node]], None]:
             if event is not None:
                 parts.append(event)
             elif parts:

@@ -49,6 +49,29 @@ def test_shapes(source, text):
     assert main_text(source) == ("Title\n\nOne long paragraph with many words in it, and more." if text is None else text)
 
 
+LINKS = "<ul><li><a href=1>One link</a><li><a href=2>Other link</a></ul>"
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<div class='content has-sidebar'><h1>Title</h1>" + P + "</div>", None),
+        ("<div class='layout-with-sidebar'><div class=sidebar>" + LINKS + "</div><div><h1>Title</h1>" + P + "</div></div>", None),
+        ("<div id=sidebar><h1>Title</h1>" + P + "</div>", None),
+        ("<h1 id=social>Title</h1>" + P, None),
+        ("<article><h1 id=comments>Title</h1><div id=related-work>" + P + "</div></article>", None),
+        ("<article><section id=sharing-data><h1>Title</h1></section><section id=social>" + P + "</section></article>", None),
+        ("<main><h1>Title</h1>" + P + "<div class=related-posts>" + LINKS + "</div><div class=ad-slot>Buy this.</div></main>", None),
+        ("<div class=siteFooter>All rights</div><div class=ad-300x250>Buy this.</div><h1>Title</h1>" + P, None),
+        ("<div class=ad>" + "Buy this. " * 50 + "</div><article><h1>Title</h1>" + P + "</article>", None),
+        ("<div class=popup>Look<article><h1>Title</h1>" + P + "</article>", None),
+        ("<article>See <a class=related href=1>this</a> <span id=notice>here</span>.</article>", "See this here."),
+    ],
+)
+def test_names_need_evidence(source, text):
+    assert main_text(source) == ("Title\n\nOne long paragraph with many words in it, and more." if text is None else text)
+
+
 def test_deep_and_long_pages():
     assert main_text("<div>" * 5000 + "x" + "</div>" * 5000) == "x"
     assert len(main_text("<article>" + "<p>" + "word " * 10 + "</p>" * 20_000)) == 49
