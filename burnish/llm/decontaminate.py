@@ -9,10 +9,13 @@ is lost.
 
 A hit is confirmed if the passage holds most of the item's question and most of its answer, each as a share
 of its distinct five-word shingles. The answer is the item's last sentence, the question all before; an item of one sentence
-is cut in the middle.
+is cut in the middle. As one changed word takes up to five shingles, a half that falls short is aligned with the
+passage word by word, too: words put in, left out or replaced count as missing. It may miss as large a share of its words
+as of its shingles, and at least one word if it has three; both halves together no larger share of the item's words.
+So an item of at least five words, none of whose halves is shorter than three, is found with any one word changed.
 
 A document is one passage, or overlapping windows of words if it is long: every stretch as long as the longest
-item lies wholly in one of them. Windows cover the whole text.
+item, and a quarter more, lies wholly in one of them. Windows cover the whole text.
 
 Words are stretches of letters and digits, case ignored. Defined results: documents that are null, empty or
 without words hit nothing; items without words are not indexed; items shorter than a shingle count as one.
@@ -39,7 +42,7 @@ SHINGLE, OVERLAP = 5, 0.8
 COVERED = 0.6  # least BM25 share of an item that a passage must cover
 K1, B = 1.2, 0.75
 ITEM_BLOCK = 8
-WINDOW = 512  # words of a passage, at least twice the longest item
+WINDOW = 512  # words of a passage, at least two and a half times the longest item
 INDEX_BYTES = 4 << 20  # text of the items in one index; more items take several passes
 SCORES = "score double, question_overlap double, answer_overlap double"
 _CHUNK = 1 << 20
@@ -65,6 +68,18 @@ def distinct_shingles(strings: list[str]) -> list[np.ndarray]:
     return [np.unique(hashes[text == i]) for i in range(len(strings))]
 
 
+def edits(part: np.ndarray, passage: np.ndarray) -> int:
+    """Least number of words put in, left out or replaced that make ``part`` of some stretch of the passage."""
+    place = np.arange(len(passage) + 1)
+    row = np.zeros(len(passage) + 1, np.int64)
+    for i, word in enumerate(part):
+        down = row + 1
+        down[1:] = np.minimum(down[1:], row[:-1] + (passage != word))
+        down[0] = i + 1
+        row = np.minimum.accumulate(down - place) + place
+    return int(row.min())
+
+
 @dataclass
 class Postings:
     """For each term, a run of places and weights."""
@@ -91,6 +106,7 @@ class Index:
         self.ids = [ids[i] for i in some]
         self.questions = distinct_shingles([split[i][0] for i in some])
         self.answers = distinct_shingles([split[i][1] for i in some])
+        self.sequences = [self._sequences(split[i]) for i in some]
         # Without words in one half the other one decides.
         for i, (q, a) in enumerate(zip(self.questions, self.answers, strict=True)):
             self.questions[i], self.answers[i] = (q if len(q) else a), (a if len(a) else q)
@@ -115,6 +131,35 @@ class Index:
         owner = cells // max(self.blocks, 1)
         self.maxima = Postings(np.searchsorted(owner, np.arange(len(self.terms) + 1)), cells % max(self.blocks, 1), most)
 
+    @staticmethod
+    def _sequences(split: tuple[str, str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of question and answer in order; of one that has none, the other's."""
+        words = word_hashes(list(split))
+        q, a = words.hashes[words.text == 0], words.hashes[words.text == 1]
+        return (q if len(q) else a), (a if len(a) else q)
+
+    def held(self, item: int, passage: np.ndarray, shingles: np.ndarray, overlap: float) -> tuple[float, float] | None:
+        """Shares of question and answer in the passage (its words in order, and their shingles); None: not confirmed."""
+        shares, sizes, allowed = [], [], []
+        for half, words in zip((self.questions[item], self.answers[item]), self.sequences[item], strict=True):
+            shares.append(float(np.isin(half, shingles).mean()))
+            sizes.append(len(words))
+            allowed.append(max((1 - overlap) * len(words), 1.0 if len(words) > 2 else 0.0) + 1e-9)
+        if min(shares) >= overlap:
+            return shares[0], shares[1]
+        # Words the passage lacks are edits at least: most pairs end here.
+        low = [j for j in (0, 1) if shares[j] < overlap]
+        if any(np.count_nonzero(~np.isin(self.sequences[item][j], passage)) > allowed[j] for j in low):
+            return None
+        for j in low:
+            missing = edits(self.sequences[item][j], passage)
+            if missing > allowed[j]:
+                return None
+            shares[j] = max(shares[j], 1 - missing / sizes[j])
+        if sum((1 - shares[j]) * sizes[j] for j in (0, 1)) > (1 - overlap) * sum(sizes) + 1e-9:
+            return None
+        return shares[0], shares[1]
+
     def term_numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Number of each word's term, -1 if it is in no item."""
         if not len(self.terms):
@@ -157,7 +202,7 @@ class Index:
             if not len(words.text) or not self.ids:
                 continue
             terms = self.term_numbers(words.hashes)
-            window = max(WINDOW, 2 * self.longest)
+            window = max(WINDOW, 5 * self.longest // 2 + 1)
             step = window // 2
             counts = np.bincount(words.text, minlength=last - first)
             begins = np.cumsum(counts) - counts
@@ -179,10 +224,9 @@ class Index:
                     part = Words.__new__(Words)
                     part.hashes, part.text = words.hashes[left[p] : right[p]], np.zeros(right[p] - left[p], np.int64)
                     shingles[p] = np.concatenate([part.shingles(min(SHINGLE, len(part.hashes)))[0], self._short(part.hashes)])
-                q, r = (float(np.isin(x[item], shingles[p]).mean()) for x in (self.questions, self.answers))
-                if min(q, r) >= overlap:
+                if shares := self.held(item, words.hashes[left[p] : right[p]], shingles[p], overlap):
                     key = first + int(text[p]), int(item)
-                    best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (float(score), q, r))
+                    best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (float(score), *shares))
         return [(*key, *values) for key, values in sorted(best.items())]
 
     @staticmethod

@@ -69,6 +69,38 @@ def test_planted_items_are_found_and_nothing_else(spark, sf_dir):
     assert hits == {d for d, _ in found}
 
 
+def test_every_item_is_found_with_any_one_word_changed(spark, sf_dir):
+    items = [r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    index, hay = Index(list(range(len(items))), items), long_text(300)
+    for i, item in enumerate(items):
+        cut = re.split(r"([^\W_]+)", item)
+        sizes = [len(words(h)) for h in halves(item)]
+        texts = []
+        for j in range(1, len(cut), 2):
+            # A half of one or two words is held whole or not at all.
+            if sizes[0 if j // 2 < sizes[0] else 1] > 2:
+                texts += [f"{hay} {''.join(cut[:j])}{new}{''.join(cut[j + 1 :])} {hay}" for new in ("zzqx", "", f"zzqx {cut[j]}")]
+        found = index.search(*utf8(pa.array([t.lower() for t in texts])), decontaminate.COVERED, decontaminate.OVERLAP)
+        assert {f[0] for f in found if f[1] == i} == set(range(len(texts)))
+        assert all(min(f[3:]) > 0.5 for f in found)
+
+
+def test_half_an_item_or_scattered_words_are_no_hit():
+    question, answer = "Which of the seven green hills did the old cat cross first.", "It crossed the one by the river."
+    index = Index([1], [f"{question} {answer}"])
+    scattered = " ".join(f"{w} and" for w in words(f"{question} {answer}"))
+    two_gone = f"{question} It crossed the other near the river."
+    texts = [f"{question} Nobody knows.", scattered, two_gone, f"{question.replace('green', 'red')} {answer}"]
+    found = index.search(*utf8(pa.array([t.lower() for t in texts])), 0.3, decontaminate.OVERLAP)
+    assert [f[0] for f in found] == [3] and found[0][3:] == (1 - 1 / 12, 1.0)
+    # The longest item with words put in, across any border of windows.
+    item = long_text(300)
+    edited = " ".join(w + " new" * (i % 10 == 0) for i, w in enumerate(item.split()))
+    texts = ["other " * n + edited + " other" * 2000 for n in range(0, 400, 50)]
+    found = Index([1], [item]).search(*utf8(pa.array(texts)), decontaminate.COVERED, decontaminate.OVERLAP)
+    assert [f[0] for f in found] == list(range(8))
+
+
 @pytest.mark.parametrize("most", [1 << 20, 60])
 def test_long_texts_edges_and_several_indexes(spark, most, monkeypatch):
     monkeypatch.setattr(decontaminate.indexes, "__defaults__", ("item_id", "text", most))
