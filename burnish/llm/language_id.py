@@ -6,9 +6,10 @@ seen after them. The probability of a byte is n / (N + q) in the longest context
 known context it was not seen in: the escapes of method C, without exclusions. Below the empty context
 all 256 bytes are alike. Statistics are frozen after training, so a text's code length is a plain sum.
 
-Training: the counts of all texts of a hash sample of labelled documents. A language with more text
-than ``sample_bytes`` takes part with the share of its documents that holds about as much. This bound
-is the only sample; every text is scored whole.
+Training: the counts of all labelled documents. A language with more text than ``sample_bytes`` takes part
+with a hash sample of passages that holds about as much; passages are cut over the whole text of every
+document, so long and short documents teach alike, by their bytes. This bound is the only sample; every text
+is scored whole.
 
 The score is the posterior of the best language among the learned ones, all equally likely before.
 
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burnish.llm.common import Lookup, bounded_batches, grams, only, result, slices, utf8
@@ -31,6 +32,7 @@ from burnish.llm.common import Lookup, bounded_batches, grams, only, result, sli
 UNDETERMINED = "und"
 ORDER = 3
 SAMPLE_BYTES = 6 << 20  # text a language is learned from, about
+PASSAGE_BYTES = 4 << 10  # of a passage; fewer for small samples, so that a sample has a thousand at least
 _CHUNK = 1 << 20
 
 
@@ -95,6 +97,25 @@ class Trees:
         return out
 
 
+def drawn_grams(data: np.ndarray, offsets: np.ndarray, drawn: list[list[int] | None], step: int, order: int) -> np.ndarray:
+    """Grams of the bytes of the drawn passages, each ``step`` bytes long, or of the whole text where that is None."""
+    spans = []  # first byte with its context, first byte, end
+    for at, end, numbers in zip(offsets[:-1].tolist(), offsets[1:].tolist(), drawn, strict=True):
+        if numbers is None:
+            spans.append((at, at, end))
+        else:
+            spans += [(at + max(0, i * step - order), at + i * step, min(end, at + (i + 1) * step)) for i in numbers]
+    if not spans:
+        return np.zeros(0, np.uint32)
+    lengths = np.array([end - start for start, _, end in spans], np.int64)
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    packed = grams(np.concatenate([data[start:end] for start, _, end in spans]), ends, order)
+    keep = np.ones(len(packed), bool)
+    for place, (start, first, _) in zip(ends.tolist(), spans, strict=False):
+        keep[place : place + first - start] = False  # counted with the passage before, if that is drawn
+    return packed[keep]
+
+
 def learn(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -112,18 +133,28 @@ def learn(
     own = only(docs, text=text, lang=lang, doc_id=doc_id).where("text is not null and lang is not null")
     sizes = {r[0]: r[1] or 0 for r in own.groupBy("lang").agg(F.sum(F.octet_length("text"))).collect()}
     large = {name: sample_bytes / size for name, size in sizes.items() if size > sample_bytes}
+    step = max(order + 1, min(PASSAGE_BYTES, sample_bytes >> 10))
+    drawn = F.lit(None).cast("array<int>")
     if large:
         share = F.create_map(*(F.lit(x) for pair in large.items() for x in pair))[F.col("lang")]
-        draw = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
-        own = own.where(F.coalesce(draw < share, F.lit(True)))
-    own = own.select("text", "lang")
+        size = F.octet_length("text")
+        # Numbers of the drawn passages. Length and beginning tell documents without an id apart.
+        own_hash = F.xxhash64("doc_id", size, F.substring("text", 1, 64))
+        last = F.floor(F.greatest(size - 1, F.lit(0)) / step).cast("int")
+
+        def is_drawn(number: Column) -> Column:
+            return F.xxhash64(own_hash, number).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30) < share
+
+        drawn = F.when(share.isNotNull(), F.filter(F.sequence(F.lit(0), last), is_drawn))
+    own = own.select("text", "lang", drawn.alias("drawn")).where("drawn is null or size(drawn) > 0")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = np.asarray(batch.column(1).to_pylist(), object)
             for name in sorted(set(names)):
-                data, offsets = utf8(batch.column(0).filter(pa.array(names == name)))
-                found, n = np.unique(grams(data, offsets, order), return_counts=True)
+                part = batch.filter(pa.array(names == name))
+                packed = drawn_grams(*utf8(part.column(0)), part.column(2).to_pylist(), step, order)
+                found, n = np.unique(packed, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))],
                     names=["lang", "gram", "n"],

@@ -5,7 +5,9 @@ import numpy as np
 import pyarrow as pa
 
 from burnish.llm.common import bucket_of, grams, utf8
-from burnish.llm.language_id import Trees, identified, learn
+from burnish.llm.language_id import Trees, drawn_grams, identified, learn
+
+from .conftest import long_text
 
 
 def brute(texts, asked, order):
@@ -57,6 +59,39 @@ def test_sample_is_bounded_and_still_good(spark, sf_dir):
     assert sum(r["lang"] == r["lang_pred"] for r in found) / len(found) > 0.9
 
 
+def test_language_of_few_long_documents_is_learned(spark):
+    long, short = long_text(40_000), "Ein kurzer Satz über den grünen Hügel."
+    for ids in ([1, 2, 3], [None, None, None], [7, 8, 9], [10**9, 5, 77]):
+        rows = [(i, f"{k} {long}", "en") for k, i in enumerate(ids)] + [(100 + i, f"{short} {i}", "de") for i in range(20)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        trees = learn(docs, sample_bytes=20_000)
+        assert trees.languages == ["de", "en"]
+        assert all(r["lang_pred"] == "en" for r in identified(docs.where("lang = 'en'"), trees).collect())
+
+
+def test_sample_holds_about_its_bytes_whatever_the_lengths(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr("burnish.llm.language_id.Trees", lambda names, order, counts: asked.append([n.sum() for _, n in counts]))
+    text = long_text(40_000)
+    many = [(i, text[1000 * i : 1000 * (i + 1)], "en") for i in range(len(text) // 1000)]
+    for rows in (many, [(1, text, "en")], [(1, text, "en"), *many]):
+        learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_bytes=60_000)
+        assert 50_000 < asked[-1][0] < 70_000
+    learn(spark.createDataFrame(many[:3], "doc_id long, text string, lang string"), sample_bytes=60_000)
+    assert asked[-1] == [3000]
+
+
+def test_drawn_passages_count_what_the_whole_text_counts():
+    texts = ["é hello hello", "", "abcabcabc" * 9, "x"]
+    data, offsets = utf8(pa.array(texts))
+    every = [list(range(max(1, -(-len(t.encode()) // 5)))) for t in texts]
+    whole = drawn_grams(data, offsets, [None] * 4, 5, 3)
+    assert (whole == grams(data, offsets, 3)).all() and (drawn_grams(data, offsets, every, 5, 3) == whole).all()
+    some = drawn_grams(data, offsets, [[1], [], [16], [0]], 5, 3)
+    assert (some == np.concatenate([whole[5:10], whole[14 + 80 : 14 + 81], whole[-1:]])).all()
+    assert len(drawn_grams(data, offsets, [[], [], [], []], 5, 3)) == 0
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = identified(odd_docs, learn(odd_docs)).collect()
     assert len(rows) == 9
