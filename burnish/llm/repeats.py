@@ -1,4 +1,4 @@
-"""Removing repeated passages: merged suffix orders of sampled positions.
+"""Removing repeated passages: radix order of the suffixes at sampled positions.
 
 A byte goes if some string of ``length`` bytes that covers it also starts earlier: in a document with a
 smaller id, or further to the front of its own. Strings are judged on the input.
@@ -10,11 +10,11 @@ position in thirty is an anchor. The strings of one anchor are one stretch of te
 
 1. Anchors that occur in one block only are settled there. If all spans of an anchor are alike, all but
    those of its first block are repeated as a whole. Only differing spans go on.
-2. Those are the suffixes to merge: a suffix starts at an anchor, what stands before it is the preceding
-   text that a Burrows-Wheeler transform keeps beside it. Every block sends its own, each once, sorted.
-   The merge starts with the blocks' orders one after the other and refines the interleaving eight bytes
-   at a time; where neighbours part, their common prefix is known; stretches that are settled are left
-   alone. No suffix is sorted from scratch.
+2. The spans of those are sorted: every block sends each of its own once, a suffix that starts at an anchor
+   with the text before it. All that arrive for an anchor are put in order anew, eight bytes at a time; where
+   neighbours part, their common prefix is known; stretches that are settled are left alone. No
+   Burrows-Wheeler transform is built or merged, and the order in which blocks send is not used: a merge of
+   the order of every suffix would pass over all bytes about a hundred times.
 3. Common prefixes of the suffixes and of the preceding texts give, for every offset, the intervals of
    equal strings; those that hold an earlier block mark the others.
 4. Blocks put the marks on their texts, with what repeats inside the block itself.
