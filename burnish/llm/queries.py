@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burnish.llm import bpe, chat, context_tree, decontaminate, html_text, language_id, near_duplicates, pii, repeats, topk
+from burnish.llm import (
+    alignment,
+    bpe,
+    chat,
+    context_tree,
+    decontaminate,
+    html_text,
+    language_id,
+    near_duplicates,
+    negatives,
+    pii,
+    quality,
+    repeats,
+    topk,
+)
 from burnish.llm.common import bucket_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,3 +157,51 @@ def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the bytes of hundred-byte strings that occur earlier."""
     return repeats.deduplicated(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers over all documents, cut into groups with the same bytes, and their links' counts."""
+    paths = vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model")
+    return alignment.alignments(table(spark, sf_dir, "documents"), *paths)
+
+
+@query()
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learned from the labels of two thirds of them."""
+    held_out = bucket_of(F.col("doc_id"), 3) == 1
+    measures = quality.measured(table(spark, sf_dir, "documents"))
+    model = quality.learn(measures, table(spark, sf_dir, "labels"), ~held_out)
+    found = quality.scored(measures, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "weakest")
+
+
+@query(
+    """
+    WITH v AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+      FROM embeddings
+      WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL
+        AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+    ), scored AS (
+      SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score
+      FROM v a JOIN v c ON a.vec_id % 50 = 0 AND c.vec_id <> a.vec_id
+    ), positives AS (
+      SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+    ), ranked AS (
+      SELECT anchor_id, positive_id,
+        row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+        vec_id AS negative_id, positive_score, score AS negative_score
+      FROM positives JOIN scored USING (anchor_id)
+      WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+    )
+    SELECT * FROM ranked WHERE rank <= 3
+    """
+)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for the best positives of every fiftieth vector, some labels shifted."""
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0)

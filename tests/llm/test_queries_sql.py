@@ -34,8 +34,11 @@ COLUMNS = {
     "op7_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
     "op8_context_tree": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
     "op10_language": ["doc_id", "held_out", "lang_pred", "score"],
+    "op11_alignment": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
+    "op12_quality": ["doc_id", "held_out", "score", "predicted"],
+    "op13_hard_negatives": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
 }
-KINDS = {"rank": "int", "held_out": "boolean", "kept": "boolean", "score": "double", "base_score": "double"}
+KINDS = {"rank": "int", "held_out": "boolean", "kept": "boolean", "score": "double", "base_score": "double", "predicted": "int"}
 TEXTS = ("url", "text", "lang_pred", "spans")
 
 
