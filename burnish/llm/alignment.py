@@ -1,10 +1,12 @@
 """Alignment of two tokenizers: which tokens of one end where tokens of the other end.
 
 Every text is encoded whole by both tokenizers: space and text by a byte-level BPE (side A), text by a piece
-model that puts the space there itself (side B). Token bytes tell where tokens start and end. A place at which a
+model that puts the space there itself (side B). Where side A's merges are known to be the ranks of its ids, the
+library that encodes by ranks does that part; its ids are the same. Token bytes tell where tokens start and end. A place at which a
 space-marked token of both sides starts is an anchor: it is checked to be a shared end of the tokens before it,
 and it cuts the two token sequences into windows, about one per word. A window is a pair of id tuples; few of them
-are distinct, so each distinct window of a chunk of texts is aligned once and the rest are looked up.
+are distinct, so windows of a chunk of texts are numbered by their ids, each distinct one is aligned once, and the
+rest are looked up by number.
 
 Inside a window, byte offsets where both sides have a token end cut the tokens into groups. The last tokens of a
 group's two sides end together: they are the group's link. (No token of either vocabulary is without bytes, so no
@@ -23,10 +25,13 @@ repeat as given and count as often; other columns are ignored, whatever their na
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +39,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from burnish.llm.bpe import byte_letters
-from burnish.llm.common import bounded_batches, only, result, texts
+from burnish.llm.bpe import Vocabulary, byte_letters
+from burnish.llm.common import bounded_batches, mixed, only, result, texts
 from burnish.session import settle
 
 CHUNK_BYTES = 4 << 20  # of the texts whose windows share a table, about
 STRETCH = 1 << 19  # letters from which on a text is encoded in stretches
 
-# Fixed value of the piece format: the sign that stands for a space.
+# Fixed values of the vocabulary files' formats: the sign that stands for a space, the pattern of words.
 SPACE_SIGN = "▁"
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Between these a space starts a token on both sides, whatever stands around: encoding on both sides of it is
 # encoding the whole.
 _BORDER = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
@@ -53,10 +59,12 @@ class Side:
     """Bytes of every token of one side, their number, and whether the token starts with a space."""
 
     spelt: list[bytes]
+    names: list[str] = field(init=False)
     sizes: np.ndarray = field(init=False)
     spaced: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
+        self.names = [str(i) for i in range(len(self.spelt))]
         self.sizes = np.asarray([len(t) for t in self.spelt], np.int64)
         self.spaced = np.asarray([t[:1] == b" " for t in self.spelt])
 
@@ -69,6 +77,7 @@ class Tokenizers:
             self.spec_a = file.read()
         with open(path_b, "rb") as file:
             self.spec_b = file.read()
+        self.ranked = _ranked(path_a, json.loads(self.spec_a))
         self._opened = None
 
     def __getstate__(self) -> dict:
@@ -80,6 +89,20 @@ class Tokenizers:
         return self._opened
 
 
+def _ranked(path: str, spec: dict) -> bool:
+    """Whether encoding by ids as ranks gives the same ids: plain byte-level words, merges in the order of the ids
+    they make, and every token the encoding of its own bytes, so that no other pair of tokens ever makes it."""
+    byte_level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    cut = spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or {k: cut.get(k, True) for k in byte_level} != byte_level:
+        return False
+    words = Vocabulary(path)
+    made = sorted(words.rank.items())
+    return len(words.reached) == len(words.ids) - len(set(words.special) & set(words.ids)) and made == [
+        (first, rank) for rank, (first, _) in enumerate(made)
+    ]
+
+
 class Opened:
     """Both tokenizers, ready to encode, and the bytes of their tokens."""
 
@@ -110,6 +133,13 @@ class Opened:
             raise ValueError("a token without bytes")
         # A piece that holds a space behind another letter would run over a border.
         self.cuts = not any(SPACE_SIGN in p.lstrip(SPACE_SIGN) for p in pieces)
+        self.by_rank = None
+        if files.ranked:
+            import tiktoken
+
+            special = {t["content"] for t in json.loads(files.spec_a)["added_tokens"]}
+            ranks = {spelt[i]: i for name, i in names.items() if name not in special}
+            self.by_rank = tiktoken.Encoding("a", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
     def stretches(self, text: str) -> list[str]:
         """The text cut at spaces that tokens of neither side run over; a space is left out at each cut."""
@@ -125,59 +155,106 @@ class Opened:
         """Ids on both sides of every text; none where the bytes differ from space and text."""
         cut = [self.stretches(text) if text else [] for text in batch]
         flat = [s for own in cut for s in own]
-        done_a = [e.ids for e in self.a.encode_batch_fast([" " + s for s in flat], add_special_tokens=False)]
+        spaced = [" " + s for s in flat]
+        if self.by_rank:
+            done_a = [self.by_rank.encode_ordinary(s) for s in spaced]
+        else:
+            done_a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
         done_b = self.b.encode(flat, num_threads=1) if flat else []
         all_a, all_b, at = [], [], 0
+        spell_a, spell_b = self.side_a.spelt.__getitem__, self.side_b.spelt.__getitem__
         for text, own in zip(batch, cut, strict=True):
             ids_a = done_a[at] if len(own) == 1 else [i for ids in done_a[at : at + len(own)] for i in ids]
             ids_b = done_b[at] if len(own) == 1 else [i for ids in done_b[at : at + len(own)] for i in ids]
             at += len(own)
             want = b" " + text.encode()
-            if not text or any(
-                b"".join([side.spelt[i] for i in ids]) != want for side, ids in ((self.side_a, ids_a), (self.side_b, ids_b))
-            ):
+            if not text or b"".join(map(spell_b, ids_b)) != want or b"".join(map(spell_a, ids_a)) != want:
                 ids_a, ids_b = [], []
             all_a.append(ids_a)
             all_b.append(ids_b)
         return all_a, all_b
 
 
-def window_cuts(ids_a: np.ndarray, ids_b: np.ndarray, side_a: Side, side_b: Side) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the tokens that begin a window, on both sides; the first tokens of both begin one."""
-    starts = []
+def window_cuts(
+    ids_a: np.ndarray, ids_b: np.ndarray, side_a: Side, side_b: Side, firsts_a: np.ndarray, firsts_b: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the tokens that begin a window, on both sides, in texts that lie one behind the other.
+
+    ``firsts_a`` and ``firsts_b`` are the places of the texts' first tokens, which begin windows too.
+    """
+    starts, marked = [], []
     for ids, side in ((ids_a, side_a), (ids_b, side_b)):
         sizes = side.sizes[ids]
         starts.append(np.cumsum(sizes) - sizes)
-    marked = [s[side.spaced[ids]] for s, ids, side in ((starts[0], ids_a, side_a), (starts[1], ids_b, side_b))]
+        marked.append(side.spaced[ids])
+    at_byte = np.zeros((2, int(max(starts[0][-1], starts[1][-1])) + 1), bool)
+    for row in range(2):
+        at_byte[row, starts[row][marked[row]]] = True
     # A start of a token is the end of the one before: what both sides have is a shared end.
-    anchors = np.intersect1d(*marked, assume_unique=True)
-    if not len(anchors) or anchors[0]:
-        anchors = np.concatenate([[0], anchors])
-    return np.searchsorted(starts[0], anchors), np.searchsorted(starts[1], anchors)
-
-
-def aligned(a: tuple[int, ...], b: tuple[int, ...], side_a: Side, side_b: Side) -> tuple[str, list[int]]:
-    """A window's groups as text, and its links, one number per pair of ids; both sides have the same bytes."""
-    sizes_a, sizes_b = side_a.sizes, side_b.sizes
-    groups, links = [], []
-    i = j = first_a = first_b = 0
-    end_a, end_b = int(sizes_a[a[0]]), int(sizes_b[b[0]])
-    while True:
-        if end_a < end_b:
-            i += 1
-            end_a += int(sizes_a[a[i]])
-        elif end_b < end_a:
-            j += 1
-            end_b += int(sizes_b[b[j]])
-        else:
-            groups.append(",".join(map(str, a[first_a : i + 1])) + "|" + ",".join(map(str, b[first_b : j + 1])))
-            links.append(a[i] << 32 | b[j])
-            i, j = i + 1, j + 1
-            if i == len(a) or j == len(b):
-                return ";".join(groups), links
-            first_a, first_b = i, j
-            end_a += int(sizes_a[a[i]])
-            end_b += int(sizes_b[b[j]])
+    cuts = []
+    for row, firsts in ((0, firsts_a), (1, firsts_b)):
+        begins = marked[row] & at_byte[1 - row, starts[row]]
+        begins[firsts] = True
+        cuts.append(np.flatnonzero(begins))
+    return cuts[0], cuts[1]
+
+
+def window_numbers(sides: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each window among the distinct ones, and for each of those a window that is one.
+
+    ``sides``: ids and window starts of both sides. Windows are told apart by 64-bit sums over ids and places, then
+    compared id by id with the one they are taken for.
+    """
+    sums = np.zeros(len(sides[0][1]), np.uint64)
+    places = []
+    for salt, (ids, cuts) in enumerate(sides):
+        sizes = np.diff(cuts, append=len(ids))
+        place = np.arange(len(ids)) - np.repeat(cuts, sizes)
+        with np.errstate(over="ignore"):
+            sums += np.add.reduceat(mixed(ids.astype(np.uint64) + (place.astype(np.uint64) * 2 + np.uint64(salt) << np.uint64(32))), cuts)
+        places.append((sizes, place))
+    _, first, number = np.unique(sums, return_index=True, return_inverse=True)
+    taken = first[number]
+    for (ids, cuts), (sizes, place) in zip(sides, places, strict=True):
+        if (sizes != sizes[taken]).any() or (ids != ids[np.repeat(cuts[taken], sizes) + place]).any():
+            known: dict[tuple, int] = {}  # two windows with one sum
+            keys = zip(*([tuple(w) for w in np.split(ids, cuts[1:])] for ids, cuts in sides), strict=True)
+            number = np.asarray([known.setdefault(key, len(known)) for key in keys])
+            return number, np.unique(number, return_index=True)[1]
+    return number, first
+
+
+def aligned(sides: list[tuple[np.ndarray, np.ndarray]], some: np.ndarray, bytes_of: list[Side]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Groups of some windows as text, one text a window; their links, one number per pair of ids; links a window."""
+    flat, window, ends = [], [], []
+    for (ids, cuts), side in zip(sides, bytes_of, strict=True):
+        sizes = np.diff(cuts, append=len(ids))[some]
+        last = np.cumsum(sizes)
+        own = ids[np.repeat(cuts[some] - last + sizes, sizes) + np.arange(int(sizes.sum()))].astype(np.int64)
+        flat.append(own)
+        window.append(np.repeat(np.arange(len(some)), sizes))
+        ends.append(np.cumsum(side.sizes[own]))
+    # Both sides spell the same bytes, window by window: places where tokens of both end close a group.
+    at_byte = np.zeros((2, int(ends[0][-1]) + 1), bool)
+    for row in range(2):
+        at_byte[row, ends[row]] = True
+    closes = [at_byte[1 - row, ends[row]] for row in range(2)]
+    group = [np.cumsum(c) - c for c in closes]
+    links = flat[0][closes[0]] << 32 | flat[1][closes[1]]
+    n_links = np.bincount(window[0][closes[0]], minlength=len(some))
+    # A group's tokens of side A, then those of side B, each followed by its sign.
+    members = [np.bincount(g, minlength=len(links)) for g in group]
+    before_a, before_b = np.cumsum(members[1]) - members[1], np.cumsum(members[0])
+    places = [np.arange(len(flat[0])) + before_a[group[0]], np.arange(len(flat[1])) + before_b[group[1]]]
+    ids, sign = np.empty(len(flat[0]) + len(flat[1]), np.int64), np.zeros(len(flat[0]) + len(flat[1]), np.int8)
+    for own, place in zip(flat, places, strict=True):
+        ids[place] = own
+    ends_window = np.append(window[1][1:] != window[1][:-1], True)
+    sign[places[0][closes[0]]] = 1
+    sign[places[1]] = np.where(ends_window, 3, np.where(closes[1], 2, 0))
+    names = max(bytes_of, key=lambda side: len(side.names)).names
+    spelt = chain.from_iterable(zip(map(names.__getitem__, ids.tolist()), map(",|;\n".__getitem__, sign.tolist()), strict=True))
+    return "".join(spelt).split("\n")[:-1], links, n_links
 
 
 class Chunk:
@@ -185,52 +262,46 @@ class Chunk:
 
     def __init__(self, opened: Opened) -> None:
         self.opened = opened
-        self.numbers: dict[tuple[tuple[int, ...], tuple[int, ...]], int] = {}
-        self.groups: list[str] = []
-        self.links: list[list[int]] = []
-        self.docs: list[tuple[object, int, int, np.ndarray]] = []  # id, tokens of both sides, windows
+        self.doc_ids: list = []
+        self.ids: tuple[list[np.ndarray], list[np.ndarray]] = [], []  # of both sides, per document
         self.size = 0
 
     def add(self, doc_ids: list, batch: list[str]) -> None:
-        side_a, side_b, numbers = self.opened.side_a, self.opened.side_b, self.numbers
-        for doc, text, a, b in zip(doc_ids, batch, *self.opened.encoded(batch), strict=True):
-            self.size += len(text)
-            if not a:
-                self.docs.append((doc, 0, 0, np.zeros(0, np.int32)))
-                continue
-            cuts_a, cuts_b = window_cuts(np.asarray(a, np.int64), np.asarray(b, np.int64), side_a, side_b)
-            ends_a, ends_b = [*cuts_a[1:].tolist(), len(a)], [*cuts_b[1:].tolist(), len(b)]
-            own, at_a, at_b = [], 0, 0
-            for end_a, end_b in zip(ends_a, ends_b, strict=True):
-                key = tuple(a[at_a:end_a]), tuple(b[at_b:end_b])
-                number = numbers.get(key)
-                if number is None:
-                    number = numbers[key] = len(numbers)
-                    groups, links = aligned(*key, side_a, side_b)
-                    self.groups.append(groups)
-                    self.links.append(links)
-                own.append(number)
-                at_a, at_b = end_a, end_b
-            self.docs.append((doc, len(a), len(b), np.asarray(own, np.int32)))
+        self.doc_ids += doc_ids
+        self.size += sum(map(len, batch))
+        for own, found in zip(self.ids, self.opened.encoded(batch), strict=True):
+            own += [np.frombuffer(array("i", ids), np.int32) for ids in found]
+
+    def windows(self) -> tuple[list[np.ndarray], list[str], np.ndarray, np.ndarray]:
+        """Each document's windows by number; of each number the groups, all links in order, links a number."""
+        opened = self.opened
+        ids_a, ids_b = (np.concatenate(own) for own in self.ids)
+        if not len(ids_a):
+            return [np.zeros(0, np.int32)] * len(self.doc_ids), [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ends_a, ends_b = (np.cumsum([len(ids) for ids in own]) for own in self.ids)
+        filled = np.diff(ends_a, prepend=0) > 0
+        firsts = [np.concatenate([[0], ends[filled][:-1]]) for ends in (ends_a, ends_b)]
+        cuts = window_cuts(ids_a, ids_b, opened.side_a, opened.side_b, *firsts)
+        sides = [(ids_a, cuts[0]), (ids_b, cuts[1])]
+        number, some = window_numbers(sides)
+        per_doc = np.split(number.astype(np.int32), np.searchsorted(cuts[0], ends_a[:-1]))
+        return per_doc, *aligned(sides, some, [opened.side_a, opened.side_b])
 
     def rows(self, chunk: int, id_type: pa.DataType) -> pa.RecordBatch:
         """One row per document; the first holds the chunk's pairs, their counts, and the windows' links."""
-        sizes = np.asarray([len(own) for own in self.links], np.int64)
-        flat = np.asarray([pair for own in self.links for pair in own], np.int64)
-        pairs, at = np.unique(flat, return_inverse=True)
-        seen = np.zeros(len(sizes), np.int64)
-        for _, _, _, own in self.docs:
-            seen += np.bincount(own, minlength=len(sizes))
+        per_doc, groups, links, sizes = self.windows()
+        pairs, at = np.unique(links, return_inverse=True)
+        seen = np.bincount(np.concatenate(per_doc), minlength=len(sizes))
         counts = np.bincount(at, np.repeat(seen, sizes), len(pairs)).astype(np.int64)
-        others = [None] * (len(self.docs) - 1)
+        others = [None] * (len(self.doc_ids) - 1)
         columns = {
-            "chunk": pa.array([chunk] * len(self.docs), pa.int64()),
-            "doc_id": pa.array([d[0] for d in self.docs], id_type),
-            "n_a": pa.array([d[1] for d in self.docs], pa.int64()),
-            "n_b": pa.array([d[2] for d in self.docs], pa.int64()),
-            "n_groups": pa.array([int(sizes[d[3]].sum()) for d in self.docs], pa.int64()),
-            "groups_sha256": pa.array([_digest([self.groups[w] for w in d[3].tolist()]) for d in self.docs], pa.string()),
-            "windows": pa.array([d[3].tobytes() for d in self.docs], pa.binary()),
+            "chunk": pa.array([chunk] * len(self.doc_ids), pa.int64()),
+            "doc_id": pa.array(self.doc_ids, id_type),
+            "n_a": pa.array([len(ids) for ids in self.ids[0]], pa.int64()),
+            "n_b": pa.array([len(ids) for ids in self.ids[1]], pa.int64()),
+            "n_groups": pa.array([int(sizes[own].sum()) for own in per_doc], pa.int64()),
+            "groups_sha256": pa.array([_digest(map(groups.__getitem__, own.tolist())) for own in per_doc], pa.string()),
+            "windows": pa.array([own.tobytes() for own in per_doc], pa.binary()),
             "pairs": pa.array([pairs, *others], pa.list_(pa.int64())),
             "counts": pa.array([counts, *others], pa.list_(pa.int64())),
             "sizes": pa.array([sizes.astype(np.int32).tobytes(), *others], pa.binary()),
@@ -239,8 +310,9 @@ class Chunk:
         return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def _digest(groups: list[str]) -> str:
-    return hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else ""
+def _digest(groups: Iterator[str]) -> str:
+    joined = ";".join(groups)
+    return hashlib.sha256(joined.encode()).hexdigest() if joined else ""
 
 
 def windowed(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -265,12 +337,12 @@ def windowed(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id",
                 while end < len(ids) and (end == at or size + len(all_texts[end]) <= CHUNK_BYTES // 8):
                     size += len(all_texts[end])
                     end += 1
-                if chunk.docs and chunk.size + size > CHUNK_BYTES:
+                if chunk.doc_ids and chunk.size + size > CHUNK_BYTES:
                     yield chunk.rows(number, id_type)
                     number, chunk = number + 1, Chunk(opened)
                 chunk.add(ids[at:end], all_texts[at:end])
                 at = end
-        if chunk.docs:
+        if chunk.doc_ids:
             yield chunk.rows(number, id_type)
 
     more = "n_a long, n_b long, n_groups long, groups_sha256 string, windows binary"

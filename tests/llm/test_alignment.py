@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from burnish.llm import alignment
-from burnish.llm.alignment import Chunk, Tokenizers, aligned, alignments, linked_pairs, window_cuts, windowed
+from burnish.llm.alignment import Chunk, Tokenizers, alignments, linked_pairs, window_cuts, windowed
 from burnish.llm.queries import QUERIES, vocabulary_path
 
 PATHS = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -65,28 +65,58 @@ ODD = [
 def test_odd_texts(opened):
     chunk = Chunk(opened)
     chunk.add(list(range(len(ODD))), ODD)
-    for (_, n_a, n_b, own), text in zip(chunk.docs, ODD, strict=True):
+    per_doc, groups_of, links, sizes = chunk.windows()
+    for ids_a, ids_b, own, text in zip(*chunk.ids, per_doc, ODD, strict=True):
         a, b, groups, _ = plain(opened, text)
-        assert (n_a, n_b, ";".join(chunk.groups[w] for w in own)) == (len(a), len(b), groups), text
-    assert [n for _, n, _, _ in chunk.docs][4] == 0  # the sign itself turns into a space
+        assert (ids_a.tolist(), ids_b.tolist(), ";".join(groups_of[w] for w in own)) == (a, b, groups), text
+    assert not len(chunk.ids[0][4])  # the sign itself turns into a space
+
+
+def test_encoding_by_ranks_is_that_of_the_file(paths, opened):
+    assert opened.by_rank  # merges are in the order of ids, every token is its own encoding
+    draw = random.Random(8)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for _ in range(300):
+        text = "".join(draw.choices(every[:0x3000], k=draw.randrange(30)) + draw.choices(" \n'aZ1.", k=20) + draw.choices(every, k=5))
+        assert opened.by_rank.encode_ordinary(text) == opened.a.encode(text, add_special_tokens=False).ids
+    plain_file = Tokenizers(*paths)
+    plain_file.ranked = False
+    assert plain_file.opened().encoded(ODD) == opened.encoded(ODD)
 
 
 def test_anchors_are_shared_ends(opened):
     text = "The quick (brown) fox's naïve re-run 12 34  of  unbelievable things"
     a, b, _, _ = plain(opened, text)
-    cuts = window_cuts(np.asarray(a), np.asarray(b), opened.side_a, opened.side_b)
+    cuts = window_cuts(np.asarray(a), np.asarray(b), opened.side_a, opened.side_b, [0], [0])
     ends = [np.cumsum(side.sizes[ids]) for ids, side in ((a, opened.side_a), (b, opened.side_b))]
     assert len(cuts[0]) > 5
     for i, j in zip(*(c[1:] for c in cuts), strict=True):
         assert ends[0][i - 1] == ends[1][j - 1]
 
 
-def test_a_window_is_aligned_once(opened, monkeypatch):
-    seen = []
-    monkeypatch.setattr(alignment, "aligned", lambda a, b, *sides: seen.append((a, b)) or aligned(a, b, *sides))
+def test_a_window_is_aligned_once(opened):
     chunk = Chunk(opened)
-    chunk.add([0, 1], ["the cat sat on the mat and the cat ran"] * 2)
-    assert len(seen) == len(set(seen)) < sum(len(d[3]) for d in chunk.docs)
+    chunk.add([0, 1, 2], ["the cat sät on the mat and the cat run-on", "", "the cat"])
+    per_doc, groups, links, sizes = chunk.windows()
+    assert len(set(groups)) == len(groups) == len(sizes) < len(per_doc[0])
+    assert sorted(set(per_doc[0].tolist())) == list(range(len(groups))) and not len(per_doc[1])
+    assert per_doc[2].tolist() == per_doc[0][:2].tolist()
+    # A group's link is the last id of either side.
+    last = [tuple(int(part.split(",")[-1]) for part in g.split("|")) for own in groups for g in own.split(";")]
+    assert last == [(x >> 32, x & 0xFFFFFFFF) for x in links.tolist()]
+    assert sizes.tolist() == [own.count(";") + 1 for own in groups]
+
+
+def test_equal_sums_are_told_apart(monkeypatch):
+    monkeypatch.setattr(alignment, "mixed", lambda x: x * np.uint64(0) + np.uint64(1))
+    ids = np.asarray([5, 6, 5, 6, 7, 8, 5, 7], np.int32)
+    sides = [(ids, np.asarray([0, 2, 4, 6])), (ids[:4], np.asarray([0, 1, 2, 3]))]
+    number, some = alignment.window_numbers(sides)
+    assert number.tolist() == [0, 1, 2, 3]  # equal on one side only
+    assert some.tolist() == [0, 1, 2, 3]
+    sides[1] = (np.asarray([1, 1, 1, 2], np.int32), sides[1][1])
+    number, some = alignment.window_numbers(sides)
+    assert number.tolist() == [0, 0, 1, 2] and some.tolist() == [0, 2, 3]
 
 
 def test_stretches_encode_as_the_whole(opened, monkeypatch):
