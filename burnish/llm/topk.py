@@ -13,8 +13,8 @@ bounded size, so that no task holds a whole side.
 
 Defined results: vectors that are null or hold a null, NaN or infinite component take no part, nor do rows
 without an id. A vector is never its own candidate: candidates with the query's id are left out. Of vectors
-with different lengths the shorter one counts as zero beyond its end. Ties go to the smaller id. Other
-columns are ignored, whatever their names.
+with different lengths the shorter one counts as zero beyond its end. Ties go to the smaller id. ``ValueError``
+where components or scores could leave 64-bit integers. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from burnish.llm.common import only, shipped
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 512, 4096  # vectors of one block, about
+MOST = 2.0**62  # of a score
 ENOUGH = 8  # possible members for each result from which on they are rescored
 
 
@@ -98,7 +99,13 @@ def nearest(
     rows = only(vectors, vec_id=vec_id, embedding=embedding)
     rows = rows.select(F.col("vec_id").cast("long"), quantised(F.col("embedding"), scale).alias("v"))
     rows = rows.where("vec_id is not null and v is not null").withColumn("q", F.coalesce(is_query, F.lit(False)))
-    sizes = rows.agg(F.count("*").alias("n"), F.sum(F.col("q").cast("int")).alias("q"), F.max(F.size("v")).alias("w")).first()
+    square = F.aggregate("v", F.lit(0.0), lambda total, x: total + x.cast("double") * x)
+    sizes = rows.agg(
+        F.count("*").alias("n"), F.sum(F.col("q").cast("int")).alias("q"), F.max(F.size("v")).alias("w"), F.max(square).alias("most")
+    ).first()
+    # Components that leave the integers' range end at its border, far beyond this.
+    if (sizes["most"] or 0.0) > MOST:
+        raise ValueError(f"a vector of norm {sizes['most'] ** 0.5 / scale:g}: scores leave 64-bit integers")
     n, queries, width = sizes["n"], sizes["q"] or 0, sizes["w"] or 0
     query_blocks, blocks = max(1, -(-queries // QUERY_BLOCK)), max(1, -(-n // CANDIDATE_BLOCK))
     draw = F.xxhash64("vec_id")

@@ -46,6 +46,13 @@ def test_fewer_candidates_than_asked_and_none(spark):
     assert nearest(vectors.where("vec_id = 1"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("component", [1e30, -1e30, 4e7])
+def test_scores_beyond_long_raise(spark, component):
+    rows = [(0, [component] * 4), (1, [1.0] * 4)]
+    with pytest.raises(ValueError):
+        nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0)
+
+
 def test_stops_early_and_stays_exact():
     draw = np.random.default_rng(1)
     vectors = draw.integers(-40, 40, (500, 16))
