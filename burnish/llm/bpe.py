@@ -35,9 +35,12 @@ WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]
 NO_SPACE = regex.compile(r"[\x1c-\x1f]")
 PIECES = regex.compile(rf"[^{SPACE}]+")
 
-# Pieces, words and token pairs whose results one Python worker keeps (the first two in each of two generations).
-KEPT_PIECES = 150_000
+# What one Python worker keeps: results of pieces and of words (bytes of each of two generations, about; none of a
+# longer text), and verdicts on token pairs.
+KEPT_BYTES = 32 << 20
+KEPT_LETTERS = 64
 KEPT_PAIRS = 1_000_000
+_ENTRY_BYTES = 300  # of a result, besides its letters
 _END = "\x00"
 _NEVER = 1 << 60
 
@@ -95,10 +98,11 @@ class Vocabulary:
 
 
 class Kept:
-    """Results seen lately, in two generations: memory stays bounded, frequent texts stay in."""
+    """Results of short texts seen lately, in two generations of bounded size: frequent texts stay in."""
 
-    def __init__(self, most: int) -> None:
+    def __init__(self, most: int = KEPT_BYTES) -> None:
         self.most = most
+        self.size = 0
         self.young: dict[str, tuple[str, str, int]] = {}
         self.old: dict[str, tuple[str, str, int]] = {}
 
@@ -106,9 +110,12 @@ class Kept:
         got = self.young.get(text)
         if got is None:
             got = self.old.get(text) or make(text)
-            if len(self.young) >= self.most:
-                self.old, self.young = self.young, {}
+            if len(text) > KEPT_LETTERS:
+                return got
+            if self.size >= self.most:
+                self.old, self.young, self.size = self.young, {}, 0
             self.young[text] = got
+            self.size += _ENTRY_BYTES + len(text) + len(got[0]) + len(got[1])
         return got
 
 
@@ -129,7 +136,7 @@ class Encoder:
         self.automaton.make_automaton()
         self.numbers = {i: str(i) for i in self.names}
         self.pairs: dict[int, bool] = {}
-        self.pieces_kept, self.words_kept = Kept(KEPT_PIECES), Kept(KEPT_PIECES)
+        self.pieces_kept, self.words_kept = Kept(), Kept()
 
     def word(self, word: str) -> tuple[str, str, int]:
         """Ids, token texts and number of tokens of one word of the pattern."""

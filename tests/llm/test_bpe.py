@@ -1,10 +1,12 @@
 import hashlib
 import random
+import subprocess
+import sys
 
 import pytest
 from tokenizers import Tokenizer
 
-from burnish.llm.bpe import Encoder, Vocabulary, encoded, encoded_digests
+from burnish.llm.bpe import Encoder, Kept, Vocabulary, encoded, encoded_digests
 from burnish.llm.queries import vocabulary_path
 
 
@@ -68,3 +70,28 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert {(r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows if r["doc_id"] in (2, 3, 5)} == {(0, empty, empty)}
     assert len([r for r in rows if r["doc_id"] == 1]) == 2
     assert encoded_digests(no_docs, vocabulary_path()).count() == 0
+
+
+def test_what_a_worker_keeps_is_bounded_in_bytes(encoder):
+    kept = Kept(100_000)
+    for n in range(3000):
+        text = "ä" * (n % 200) + str(n)
+        assert kept.get(text, lambda t: (t, t * 2, 1)) == (text, text * 2, 1)
+        assert kept.get(text, lambda t: (t, t * 2, 1)) == (text, text * 2, 1)
+    for generation in (kept.young, kept.old):
+        assert sum(300 + 4 * len(t) for t in generation) < 110_000 and max(map(len, generation)) <= 64
+
+
+def test_many_long_pieces_do_not_pile_up():
+    code = """
+import random, resource
+from burnish.llm.bpe import Encoder, Vocabulary
+from burnish.llm.queries import vocabulary_path
+encoder, draw = Encoder(Vocabulary(vocabulary_path())), random.Random(1)
+base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for n in range(1500):
+    encoder.encode("".join(draw.choices("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/", k=20_000)))
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(run.stdout) < 450, run.stdout
