@@ -14,7 +14,8 @@ the vocabulary or the model, and a frequent word or gram has one row per block,
 
 Defined results: a null text is empty: one token (its end), probability 1 of no bytes. Documents with a null
 id are learned from or held out like any other, by the empty id. If nothing is learned, every bit has
-probability 1/2. Rows repeat as given; other columns are ignored, whatever their names.
+probability 1/2. ``ValueError`` for a depth that is not 1, 2 or 3. Rows repeat as given; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -99,6 +100,8 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
     ``held_out`` is a condition on ``doc_id``; documents that meet it are not learned from. ``score`` and
     ``base_score`` are log10 probabilities of the whole text; ``bits_per_byte`` is the code length.
     """
+    if not 1 <= depth <= DEPTH:
+        raise ValueError(f"depth {depth}: a byte and its context are packed in 32 bits, so 1 to {DEPTH}")
     bounded_batches(docs.sparkSession)
     parts = blocks_for(docs)
     rows = only(docs, doc_id=doc_id, text=text)

@@ -94,6 +94,13 @@ def test_nothing_learned_and_nothing_asked(spark):
     assert scored(docs.where("false"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("depth", [0, 4, 9])
+def test_a_depth_that_cannot_be_packed_raises(spark, depth):
+    docs = spark.createDataFrame([(1, "ab")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        scored(docs, F.lit(False), depth=depth)
+
+
 def test_log_gamma():
     x = np.asarray([0.5, 1, 1.5, 7.9, 8, 100.5, 1e9])
     assert np.allclose(log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-9, atol=1e-9)
