@@ -12,7 +12,8 @@ stretch.
 Defined results: turns go by number, null first, then by speaker and text, so that equal turns have an
 order; repeated rows are turns of their own. A null or blank role is the speaker ``unknown``. A null text is
 empty. Rows without a conversation id form one conversation. System turns alone give no rows, for nobody
-speaks. ``<|`` inside a text becomes ``< |``, so that no text can end its turn. Other columns are ignored,
+speaks. ``<|`` inside a text or a speaker's name becomes ``< |``, and line breaks inside a name a blank, so that
+neither can end its turn or open another; who speaks is told by the role as it is. Other columns are ignored,
 whatever their names.
 """
 
@@ -27,6 +28,7 @@ SYSTEM, ASSISTANT, UNKNOWN = "system", "assistant", "unknown"
 STRETCH = 256  # turn numbers of one window
 # Fixed values of the chat format.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
+BREAKS = r"[\n\x0B\f\r\x{85}\x{2028}\x{2029}]+"
 
 
 def rotated(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -46,10 +48,11 @@ def rotated(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role
     voices = rows.where(F.col("speaker") != SYSTEM).select("conv_id", F.col("speaker").alias("perspective")).distinct()
     same = rows["conv_id"].eqNullSafe(voices["conv_id"])
     own = F.col("speaker") == F.col("perspective")
+    named = F.regexp_replace(F.replace("speaker", F.lit("<|"), F.lit("< |")), BREAKS, " ")
     head = (
         F.when(own, f"{OPEN}{ASSISTANT}\n")
         .when(F.col("speaker") == SYSTEM, f"{OPEN}{SYSTEM}\n")
-        .otherwise(F.concat(F.lit(f"{OPEN}user name="), "speaker", F.lit("\n")))
+        .otherwise(F.concat(F.lit(f"{OPEN}user name="), named, F.lit("\n")))
     )
     seen = rows.join(voices, same).drop(voices["conv_id"]).withColumn("head", head)
     seen = seen.withColumn("length", F.length("head") + F.col("size") + len(CLOSE))
@@ -78,7 +81,7 @@ def rotated(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role
         (F.col("turns_before") + F.col("place")).alias("position"),
         "turn",
         F.when(own, ASSISTANT).when(F.col("speaker") == SYSTEM, SYSTEM).otherwise("user").alias("role"),
-        F.when(~own & (F.col("speaker") != SYSTEM), F.col("speaker")).alias("name"),
+        F.when(~own & (F.col("speaker") != SYSTEM), named).alias("name"),
         F.concat("head", "said", F.lit(CLOSE)).alias("segment"),
         start.alias("char_start"),
         end.alias("char_end"),
@@ -97,8 +100,9 @@ WITH said AS (
   SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> '{SYSTEM}'
 ), seen AS (
   SELECT s.*, v.perspective, s.speaker = v.perspective AS learned,
+         regexp_replace(replace(s.speaker, '<|', '< |'), '{BREAKS}', ' ', 'g') AS named,
          CASE WHEN s.speaker = v.perspective THEN '{OPEN}{ASSISTANT}' WHEN s.speaker = '{SYSTEM}' THEN '{OPEN}{SYSTEM}'
-              ELSE '{OPEN}user name=' || s.speaker END || chr(10) AS head
+              ELSE '{OPEN}user name=' || regexp_replace(replace(s.speaker, '<|', '< |'), '{BREAKS}', ' ', 'g') END || chr(10) AS head
   FROM said s JOIN voices v ON s.conv_id IS NOT DISTINCT FROM v.conv_id
 ), cut AS (
   SELECT *, head || said || '{CLOSE.strip()}' || chr(10) AS segment FROM seen
@@ -109,7 +113,7 @@ WITH said AS (
 )
 SELECT conv_id, perspective, position, turn,
        CASE WHEN learned THEN '{ASSISTANT}' WHEN speaker = '{SYSTEM}' THEN '{SYSTEM}' ELSE 'user' END AS role,
-       CASE WHEN NOT learned AND speaker <> '{SYSTEM}' THEN speaker END AS name,
+       CASE WHEN NOT learned AND speaker <> '{SYSTEM}' THEN named END AS name,
        segment, char_end::BIGINT - length(segment) AS char_start, char_end::BIGINT AS char_end, learned,
        char_end::BIGINT - length(segment) + CASE WHEN learned THEN length(head) ELSE 0 END AS mask_start,
        CASE WHEN learned THEN char_end::BIGINT - 1 ELSE char_end::BIGINT - length(segment) END AS mask_end
