@@ -3,9 +3,12 @@
 The test items are the index, every training passage is a query. A term's impact on an item is its BM25
 weight there as a share of what the whole item would score, so that a score says how much of the item the
 passage covers, and one threshold suits all items. Items are indexed in blocks, with the greatest impact of
-each term per block. Block-max WAND, for a batch of passages at a time: a block whose maxima cannot reach
-the threshold together is skipped, and in the others postings are scored exactly. Nothing above the threshold
-is lost.
+each term per block. The skipping of block-max WAND is done for a batch of passages at a time, in arrays: a block
+whose maxima cannot reach the threshold together is skipped, and in the others postings are scored exactly. No
+cursors move from pivot to pivot. Nothing above the threshold is lost.
+
+How many items there are, their mean length and the items that have a word are counted once over all items. Many
+items lie in several indexes; each takes these totals, so that a score does not depend on what shares an index.
 
 A hit is confirmed if the passage holds most of the item's question and most of its answer, each as a share
 of its distinct five-word shingles. The answer is the item's last sentence, the question all before; an item of one sentence
@@ -36,7 +39,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from burnish.llm.common import Words, bounded_batches, mixed, only, slices, utf8
+from burnish.llm.common import Words, bounded_batches, mixed, only, result, slices, utf8
+from burnish.session import settle
 
 SHINGLE, OVERLAP = 5, 0.8
 COVERED = 0.6  # least BM25 share of an item that a passage must cover
@@ -96,10 +100,20 @@ class Postings:
         return owner, self.starts[terms][owner] + within
 
 
+@dataclass
+class Totals:
+    """Statistics of all items: how many have words, their mean length, and the items that have each term (sorted)."""
+
+    items: int
+    length: float
+    terms: np.ndarray
+    holding: np.ndarray
+
+
 class Index:
-    """Inverted index of test items with impacts and block maxima."""
+    """Inverted index of test items with impacts and block maxima; without ``totals`` these items are all there are."""
 
-    def __init__(self, ids: list, items: list[str]) -> None:
+    def __init__(self, ids: list, items: list[str], totals: Totals | None = None) -> None:
         split = [halves(t) for t in items]
         words = word_hashes(items)
         some = np.unique(words.text)
@@ -117,9 +131,11 @@ class Index:
         self.terms, term = np.unique(words.hashes, return_inverse=True)
         pair, tf = np.unique(term * max(n, 1) + item, return_counts=True)
         term, item = pair // max(n, 1), pair % max(n, 1)
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / max(lengths.mean() if n else 1, 1)))
+        if totals is None:
+            totals = Totals(n, float(lengths.mean()) if n else 0.0, self.terms, np.bincount(term, minlength=len(self.terms)))
+        df = totals.holding[np.searchsorted(totals.terms, self.terms)]
+        idf = np.log1p((totals.items - df + 0.5) / (df + 0.5))
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / max(totals.length, 1)))
         weight /= np.bincount(item, weight, n)[item] if n else 1
         starts = np.searchsorted(term, np.arange(len(self.terms) + 1))
         self.postings = Postings(starts, item, weight)
@@ -242,17 +258,38 @@ class Index:
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text", most: int = INDEX_BYTES) -> list[Index]:
-    """Indexes of all test items: one for every ``most`` bytes of their text, about. Each takes a pass over the documents."""
+def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text", most: int | None = None) -> Iterator[Index]:
+    """Indexes of all test items: one for every ``most`` bytes of their text, about. Each takes a pass over the documents.
+
+    Spark counts the totals over all items. The driver holds one index at a time, with the counts of its own terms.
+    """
+    bounded_batches(items.sparkSession)
     rows = only(items, item_id=item_id, text=text).where("text is not null")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = word_hashes(batch.column(1).to_pylist())
+            own = np.split(words.hashes.view(np.int64), np.searchsorted(words.text, np.arange(1, len(batch))))
+            terms = pa.array([np.unique(w) for w in own], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([len(w) for w in own], pa.int64()), terms], names=["item_id", "text", "words", "terms"]
+            )
+
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // most))
+    parts = max(1, -(-size // (most or INDEX_BYTES)))
+    counted = rows.mapInArrow(count, result(rows, ["item_id", "text"], "words long, terms array<long>"))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
-    out = []
+    counted = settle(counted.where("words > 0").withColumn("part", part), "items")
+    n, words = counted.agg(F.count("*"), F.sum("words")).first()
+    spread = counted.select("part", F.explode("terms").alias("term"))
+    holding = settle(spread.groupBy("term").agg(F.count("*").alias("n")), "terms")
     for i in range(parts):
-        got = rows.where(part == i).collect()
-        out.append(Index([r["item_id"] for r in got], [r["text"] for r in got]))
-    return out
+        own = spread.where(F.col("part") == i).select("term").distinct().join(holding, "term").toArrow()
+        terms = own["term"].to_numpy().view(np.uint64)
+        order = np.argsort(terms)
+        totals = Totals(n, (words or 0) / max(n, 1), terms[order], own["n"].to_numpy()[order])
+        got = counted.where(F.col("part") == i).select("item_id", "text").collect()
+        yield Index([r["item_id"] for r in got], [r["text"] for r in got], totals)
 
 
 def contaminated(

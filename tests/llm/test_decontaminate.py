@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 from math import isclose, log1p
@@ -8,7 +9,7 @@ import pytest
 
 from burnish.llm import decontaminate
 from burnish.llm.common import Words, utf8
-from burnish.llm.decontaminate import B, K1, Index, contaminated, flagged, halves
+from burnish.llm.decontaminate import B, Index, K1, contaminated, flagged, halves, indexes
 
 from .conftest import long_text
 
@@ -129,3 +130,24 @@ def test_long_texts_edges_and_several_indexes(spark, most, monkeypatch):
     assert contaminated(docs.where("false"), items).count() == 0
     assert contaminated(docs, items.where("false")).count() == 0
     assert flagged(docs, items.where("false")).where("hits = 0").count() == 9
+
+
+def test_scores_do_not_depend_on_what_shares_an_index(spark):
+    """Items with many words in common, near the threshold: one index, several, and one per item say the same."""
+    draw = random.Random(5)
+    common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(400)]
+    texts = [" ".join(draw.choices(common, k=9) + draw.sample(rare, 5)) + ". " + " ".join(draw.choices(common, k=4)) + "." for _ in range(30)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(i, " ".join(w for w in t.split() if draw.random() < 0.8)) for i, t in enumerate(texts)], "doc_id long, text string"
+    )
+    found = []
+    for most in (1 << 20, 700, 60):
+        own = list(indexes(items, most=most))
+        assert (len(own) > 1) == (most < 1 << 20) and sum(len(i.ids) for i in own) == 30
+        batch = utf8(pa.array([r["text"] for r in docs.collect()]))
+        found.append(sorted((f[0], i.ids[f[1]], round(f[2], 9)) for i in own for f in i.search(*batch, 0.5, 0.0)))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 20
+    # One index of all items by itself has the same totals.
+    alone = Index(list(range(30)), texts)
+    assert sorted((f[0], alone.ids[f[1]], round(f[2], 9)) for f in alone.search(*batch, 0.5, 0.0)) == found[0]
