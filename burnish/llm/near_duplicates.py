@@ -5,7 +5,8 @@ truncated minima: register i is floor(1 - log_b x), where x is the least of the
 distributed values of hash function i, cut off at both ends. Registers merge by maximum and two sets
 agree in one with a probability close to their similarity.
 
-1. Documents with the same set are one class. From here on only the least document of a class counts.
+1. Documents with the same set are one class, told by its set. From here on one row of a class counts, and the text
+   that row had, whatever other texts its id may have.
 2. The registers are cut into bands. Classes that agree in all registers of a band share a bucket.
    Buckets chain classes into candidate groups.
 3. Within a group all pairs that can be similar are looked at, without writing them out: the joint
@@ -23,9 +24,9 @@ by more than MARGIN about once in 10**9 pairs.
 
 Defined results: texts that are null or have no words have an empty set and are linked with nothing, not even
 with each other. Texts with fewer words than a shingle are one shingle. Words are what stands between ASCII
-white space, with A-Z as a-z. An id is a document: repeated rows repeat in the result; rows with the same id
-and different texts stand for their own texts, but only one of these texts is compared. A null id is linked with
-nothing. Other columns are ignored, whatever their names.
+white space, with A-Z as a-z. Repeated rows repeat in the result; rows with the same id and different texts are
+compared each for its own text, and each gets the least id that text reaches. A null id is linked with nothing.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -160,6 +161,9 @@ def confirmed(sets: list[np.ndarray], sketches: np.ndarray, side: np.ndarray, pe
     return links
 
 
+_SKETCH = ["n_shingles", "set_a", "set_b", "bands"]
+
+
 def sketched(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, two hashes of the whole set, and the hashes of the bands."""
     bounded_batches(docs.sparkSession)
@@ -245,21 +249,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     Documents are linked if their sets of ``k``-word shingles have 100 * common >= ``percent`` * united.
     """
     rows = only(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), "text")
-    sketches = settle(sketched(rows, k), "sketches")
+    # The hash of the text tells the texts of one id apart; rows are numbered as they are written.
+    rows = rows.select(F.struct("doc_id", F.xxhash64("text").alias("content")).alias("whose"), "text")
+    sketches = sketched(rows, k, doc_id="whose").select("doc_id.*", *(c for c in _SKETCH)).withColumn("row", F.monotonically_increasing_id())
+    sketches = settle(sketches, "sketches")
     whole = ("set_a", "set_b", "n_shingles")
     classes = sketches.where("n_shingles > 0 and doc_id is not null").groupBy(*whole)
-    classes = settle(classes.agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")), "classes")
+    least = [F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.min_by("content", "doc_id").alias("content")]
+    classes = settle(classes.agg(*least, F.any_value("bands").alias("bands")), "classes")
     chained = settle(groups(classes.select("node", "bands")), "chained")
-    # Texts are shuffled once, by id, whatever the number of candidates: the plan is the same at every size.
-    members = rows.join(chained.hint("merge"), rows["doc_id"] == chained["node"]).select("node", "root", "text")
-    counts = classes.select(F.col("node").alias("of"), "n_shingles")
-    members = members.join(counts, members["node"] == counts["of"]).drop("of")
+    wanted = classes.select(F.col("node").alias("of"), "doc_id", "content", "n_shingles")
+    wanted = settle(chained.join(wanted, chained["node"] == wanted["of"]).drop("of"), "wanted")
+    # Texts are shuffled once, by id and hash, whatever the number of candidates: the plan is the same at every size.
+    same = (F.col("whose.doc_id") == F.col("doc_id")) & (F.col("whose.content") == F.col("content"))
+    members = rows.join(wanted.hint("merge"), same).select("node", "root", "n_shingles", "text")
     members = settle(members.dropDuplicates(["node"]), "members")
-    found = components(links_within(members, k, percent), "links")
-    named = classes.select(*(F.col(c).alias(f"{c}_") for c in whole), "node").join(
-        found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left"
-    )
-    named = settle(named.select(*(f"{c}_" for c in whole), F.coalesce("root", "node").alias("component_id")), "named")
+    found = settle(components(links_within(members, k, percent), "links"), "joined")
+    own = classes.select(F.col("node").alias("of"), "doc_id")
+    found = settle(found.join(own, found["node"] == own["of"]).select("node", "root", "doc_id"), "reached")
+    named = settle(found.groupBy(F.col("root").alias("of")).agg(F.min("doc_id").alias("component_id")), "components")
+    found = found.join(named, found["root"] == named["of"]).select(F.col("node").alias("of"), "component_id")
+    named = classes.select(*(F.col(c).alias(f"{c}_") for c in whole), F.col("doc_id").alias("least"), "node")
+    named = named.join(found, named["node"] == found["of"], "left")
+    named = settle(named.select(*(f"{c}_" for c in whole), F.coalesce("component_id", "least").alias("component_id")), "named")
     same = [sketches[c] == named[f"{c}_"] for c in whole]
     placed = sketches.drop("bands").join(named, same, "left")
     component = F.coalesce("component_id", "doc_id")

@@ -92,3 +92,13 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert len(rows) == 9 and sum(r["doc_id"] == 1 and r["kept"] for r in rows) == 2
     assert all(r["kept"] for r in rows)
     assert near_duplicates(no_docs).count() == 0
+
+
+def test_two_texts_under_one_id_keep_both_their_links(spark):
+    draw = random.Random(3)
+    a, b = (" ".join(f"w{draw.randrange(10**6)}" for _ in range(60)) for _ in range(2))
+    rows = [(1, a), (1, b), (2, a + " tail"), (3, b + " tail"), (9, a), (7, "quite other words here"), (7, b + " more")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        found = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs, 3, 85).collect())
+        assert found == [(1, 58, 1, True), (1, 58, 1, True), (2, 59, 1, False), (3, 59, 1, False), (7, 2, 7, True), (7, 59, 1, False), (9, 58, 1, False)]
