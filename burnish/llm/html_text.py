@@ -6,7 +6,7 @@ comments) or not text (scripts, styles, head) stay out of the tree. A class or i
 made of such words and words of place and kind only (``site-footer``, not ``related-work``), leaves an element
 out only if its text bears it out. Headings stay. In an article, blocks that are mostly links go, and
 adverts by class; outside, all go. An element with most of the page's plain text stays, unless the page has
-an article with text beside it. For every remaining
+an article with text beside it; so does a form that holds the article. For every remaining
 element the density is its characters per tag, adjusted by the share of its text and tags that are links,
 against the same share of the whole body. The element whose children (blocks, not in-line elements) have
 the greatest sum of densities is the main text. On the path from there to the body, a parent takes its
@@ -35,10 +35,13 @@ from burnish.llm.common import bounded_batches, only, result
 
 # Fixed values of HTML: elements without end, raw text, in-line, and what an element's start closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math select".split())
+RAW = frozenset(
+    "script style textarea title xmp iframe noembed noframes noscript template svg select annotation annotation-xml".split()
+)
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr".split()
+    "span strike strong sub sup time tt u var wbr math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded "
+    "mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 CLOSES = {
     "li": ("li", ("ul", "ol", "menu")),
@@ -51,8 +54,8 @@ CLOSES = {
     "tfoot": ("thead tbody tfoot tr td th", ("table",)),
 }
 # Furniture by element, role, and word of a class or id; what may stand beside such a word; words that are never a topic.
-FURNITURE = frozenset("nav footer aside form dialog menu button object audio video canvas".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+FURNITURE = frozenset("nav footer aside dialog menu button object audio video canvas".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu "
     "breadcrumb breadcrumbs sidebar widget footer masthead topbar cookie cookies consent gdpr notice notices popup modal "
@@ -66,43 +69,52 @@ BESIDE = frozenset(
 )
 ADVERTS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo".split())
 NAMELESS = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())  # never furniture by class or id
-WORD, ADVERT = 1, 2  # what a class or id says
+WORD, ADVERT, FORM = 1, 2, 3  # what a class or id says, or that the element is a form
 
 _TOKEN = re.compile(
     r"""<!--(?:.*?(?:-->|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>|</?[a-zA-Z!?][^>]*+(?:>|\Z)""",
     re.DOTALL,
 )
-_NAMED = re.compile(r"""(?:^|\s)(class|id|role|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+# One attribute after the other, each with its value, so that nothing inside a value is taken for a name.
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_ASKED = re.compile("class|id|role|hidden", re.IGNORECASE)
 _PARTS = re.compile(r"[-_:]+|(?<=[a-z])(?=[A-Z])")
 _SIZE = re.compile(r"[0-9]+(?:x[0-9]+)?")
 _FAR = re.compile(r"&#(?:[xX]0*+[0-9a-fA-F]{8,}|0*+[0-9]{8,});?")  # references beyond any character
 
 
-def is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
+def attributes_of(source: str) -> dict[str, str]:
+    """Attributes of a tag; of a repeated one the first."""
+    found: dict[str, str] = {}
+    if source and _ASKED.search(source):
+        for m in _ATTRIBUTE.finditer(source):
+            value = m[2] or ""
+            found.setdefault(m[1].lower(), value[1:-1] if value[:1] in ('"', "'") else value)
+    return found
+
+
+def is_furniture(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     """Whether an element names itself as something beside the main text."""
     if tag in FURNITURE or tag == "header" and not in_article:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
-    for m in _NAMED.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "role" and value in ROLES:
-            return True
-    return False
+    hidden = "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true"
+    return hidden or attributes.get("role", "").strip().lower() in ROLES
 
 
-def named(tag: str, attributes: str) -> int:
-    """Whether a class or id is a furniture word or a compound of one: ``WORD``, ``ADVERT`` for an advert's class, or 0."""
+def named(tag: str, attributes: dict[str, str]) -> int:
+    """Whether a class or id is a furniture word or a compound of one: ``WORD``, ``ADVERT`` for an advert's class, or 0.
+
+    ``FORM`` for a form.
+    """
+    if tag == "form" or attributes.get("role", "").strip().lower() == "form":
+        return FORM
     found = 0
     if not attributes or tag in NAMELESS:
         return found
-    for m in _NAMED.finditer(attributes):
-        kind = m[1].lower()
-        if kind not in ("class", "id"):
-            continue
-        for name in (m[2] or "").strip("\"'").split():
+    for kind in ("class", "id"):
+        for name in attributes.get(kind, "").split():
             parts = [p.lower() for p in _PARTS.split(name) if p and not _SIZE.fullmatch(p)]
             if not WORDS.isdisjoint(parts) and all(p in WORDS or p in BESIDE for p in parts):
                 found = max(found, ADVERT if kind == "class" and not ADVERTS.isdisjoint(parts) else WORD)
@@ -136,7 +148,7 @@ class Page:
                     self._end(tag)
                 elif tag in RAW:
                     close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(source, at)
-                    if not m[3].endswith("/") or tag not in ("svg", "math", "template"):
+                    if not m[3].endswith("/") or tag not in ("svg", "template", "annotation", "annotation-xml"):
                         at = close.end() if close else size
                 else:
                     self._start(tag, m[3])
@@ -151,7 +163,7 @@ class Page:
         self.events.append(text)
         self.chars[self.stack[-1]] += len("".join(text.split()))
 
-    def _start(self, tag: str, attributes: str) -> None:
+    def _start(self, tag: str, source: str) -> None:
         if tag in ("html", "body"):
             return
         if tag == "head":
@@ -161,7 +173,7 @@ class Page:
             while self.hidden:  # furniture left open ends where the article starts
                 self._pop()
         if tag in ("article", "main") and not self.hidden and not self.articles and self.suspects:
-            open_ones = [depth for depth, node in enumerate(self.stack) if node in self.suspects]
+            open_ones = [d for d, node in enumerate(self.stack) if self.suspects.get(node, (FORM, False))[0] != FORM]
             while open_ones and len(self.stack) > open_ones[0]:
                 self._pop()
         if tag not in INLINE:
@@ -170,9 +182,10 @@ class Page:
                 self._close(names.split(), borders)
             self._close(["p"], ("table", "button", "object"))
         if tag in VOID:
-            if not self.hidden:
+            if not self.hidden and tag != "wbr":
                 self.events.append(" " if tag in INLINE else None)
             return
+        attributes = attributes_of(source)
         hides = not self.hidden and is_furniture(tag, attributes, self.articles > 0)
         self._push(tag, hides)
         if not self.hidden and (says := named(tag, attributes)):
@@ -253,13 +266,25 @@ class Page:
         alive = self._alive(set())
         chars, _, links, _ = self._sums(alive)
         plain = [a - b for a, b in zip(chars, links, strict=True)]
-        article = any(alive[i] and plain[i] and t in ("article", "main") for i, t in enumerate(self.tags))
+        articles = [i for i, t in enumerate(self.tags) if alive[i] and plain[i] and t in ("article", "main")]
+        article = bool(articles)
+        holding = {up for i in articles for up in self._above(i)}
         for i, (says, inside) in self.suspects.items():
             small = 2 * plain[i] <= plain[0]
+            if says == FORM:
+                # A form around the page, or around its article, is no form to fill in.
+                if i not in holding and (small or article and not inside):
+                    self.dropped.append(i)
+                continue
             linked = 2 * links[i] > chars[i]
             if (linked and self.tags[i] not in INLINE or small and says == ADVERT) if inside else (linked or small or article):
                 self.dropped.append(i)
 
+    def _above(self, node: int) -> Iterator[int]:
+        while node:
+            node = self.parents[node]
+            yield node
+
     def main(self) -> int:
         """The element that holds the main text."""
         n = len(self.tags)
