@@ -17,6 +17,9 @@ FORMATS = ("yyyy-M-d", "M/d/yyyy", "M/d/yy", "d-M-yyyy", "d/M/yyyy")
 INFERRED = (
     "M-d-yyyy",
     "yyyy/M/d",
+    "yyyy.M.d",
+    "M.d.yyyy",
+    "d.M.yyyy",
     "yyyyMMdd",
     "MMM d, yyyy",
     "MMMM d, yyyy",
@@ -85,7 +88,7 @@ def _rearrange(formats: Sequence[str], pivot: int) -> tuple[str, str]:
                 lambda m: {"M": lambda: group("month", _MONTH), "d": lambda: group("day", _DAY)}.get(
                     m.group(), lambda: group("year", year)
                 )(),
-                {"yyyyMMdd": "yyyyMd"}.get(fmt, fmt),
+                {"yyyyMMdd": "yyyyMd"}.get(fmt, fmt).replace(".", "[.]"),
             )
             if fmt == "yyyyMMdd":
                 body = f"(?=[^|]{{8}}$){body}"
@@ -101,7 +104,7 @@ def parse_date(c: Column | str, formats: Sequence[str] = DAY_FIRST, pivot: int =
     is null for what is no date; a formatter would throw and catch at each miss.
     """
     s = strip(c)
-    numeric = [f for f in formats if re.fullmatch(r"(yyyy|yy|M|d)([-/])(M|d)\2(yyyy|yy|M|d)|yyyyMMdd", f)]
+    numeric = [f for f in formats if re.fullmatch(r"(yyyy|yy|M|d)([-/.])(M|d)\2(yyyy|yy|M|d)|yyyyMMdd", f)]
     worded = [f for f in formats if "MMM" in f]
     if len(numeric) + len(worded) < len(formats):
         raise ValueError(f"unknown date format among {formats}")
@@ -132,5 +135,21 @@ def ambiguous_date(c: Column | str) -> Column:
     return F.coalesce(s.rlike(rf"^(?!0?(\d+)-0?\1-){number}-{number}-\d{{4}}$"), F.lit(False))
 
 
+def dashed_order(c: Column | str) -> Column:
+    """What an ``aa-bb-yyyy`` tells of the order of its numbers.
+
+    ``day`` or ``month`` if only that can stand first, ``both`` if it reads either way, ``same`` if either way is one
+    date; null for all other texts.
+    """
+    s = strip(c)
+    first, second = (F.split_part(s, F.lit("-"), F.lit(n)).try_cast("int") for n in (1, 2))
+    told = (
+        F.when((first > 12) & first.between(1, 31) & second.between(1, 12), "day")
+        .when((second > 12) & second.between(1, 31) & first.between(1, 12), "month")
+        .when(first.between(1, 12) & second.between(1, 12), F.when(first == second, "same").otherwise("both"))
+    )
+    return F.when(s.rlike(r"^\d{1,2}-\d{1,2}-\d{4}$"), told)
+
+
 def month_start(c: Column | str) -> Column:
     return F.trunc(col(c), "MM")

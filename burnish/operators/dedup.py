@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burnish.functions.missing import is_blank
-from burnish.operators.ordering import first_per, fresh, names, order_key, quoted
+from burnish.operators.ordering import Plain, first_per, fresh, order_key
 
 
 def drop_exact_duplicates(
@@ -21,17 +21,18 @@ def drop_exact_duplicates(
     Duplicates collapse before the shuffle, so a value held by a third of all
     rows costs one row per map task.
     """
-    order = names(order)
-    on = names(on) or [c for c in df.columns if c not in order]
+    plain = Plain.of(df)
+    df, order = plain.table, plain.names(order)
+    on = plain.names(on) or [c for c in df.columns if c not in order]
     if not order:
-        return df.dropDuplicates(on)
+        return plain.back(df.dropDuplicates(on))
     rest = [c for c in df.columns if c not in on and c not in order]
     if rest:
-        return first_per(df, on, order)
+        return plain.back(first_per(df, on, order))
     (first,) = fresh(df, "first")
-    kept = df.groupBy(*map(quoted, on)).agg(F.min(order_key(order)).alias(first))
+    kept = df.groupBy(*on).agg(F.min(order_key(order)).alias(first))
     back = {c: F.col(first) if len(order) == 1 else F.col(first).getField(c) for c in order}
-    return kept.select(*[back.get(c, quoted(c)).alias(c) for c in df.columns])
+    return plain.back(kept.select(*[back.get(c, F.col(c)).alias(c) for c in df.columns]))
 
 
 def drop_key_duplicates(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str]) -> DataFrame:
@@ -40,10 +41,11 @@ def drop_key_duplicates(df: DataFrame, key: str | Sequence[str], order: str | Se
     Rows whose key is blank identify nothing and all stay: each gets a key of its
     own, so missing keys cannot pile up in one task.
     """
-    key, order = names(key), names(order)
+    plain = Plain.of(df)
+    df, key, order = plain.table, plain.names(key), plain.names(order)
     kinds = dict(df.dtypes)
-    blank = [is_blank(quoted(c)) if kinds[c] == "string" else quoted(c).isNull() for c in key]
+    blank = [is_blank(F.col(c)) if kinds[c] == "string" else F.col(c).isNull() for c in key]
     keyless = reduce(lambda a, b: a | b, blank)
     (own,) = fresh(df, "own")
     salted = df.withColumn(own, F.when(keyless, F.monotonically_increasing_id()))
-    return first_per(salted, [*key, own], order).drop(own)
+    return plain.back(first_per(salted, [*key, own], order).drop(own))

@@ -22,14 +22,15 @@ be stored before they are graded.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burnish.functions.text import normalized
-from burnish.operators.ordering import first_per, names
+from burnish.operators.ordering import Plain, first_per, names
 from burnish.operators.profile import row_digest
 from burnish.session import settle
 
@@ -189,14 +190,118 @@ def grade(
         F.lit(column_score(hand.headers, truth.headers)).alias("column_score"),
         bounded(_ratio("n_correct", "n_cells")).alias("cell_score"),
     )
+    return scored.select("row_score", "column_score", "cell_score", _reward(weights).alias("reward"))
+
+
+@dataclass(frozen=True)
+class Sheets:
+    """Tables of many tasks as one: ``task``, ``cells`` (texts by column), ``place`` (order of the rows, or null).
+
+    ``headers`` holds each task's header texts; a task that is not among them could not be read.
+    """
+
+    rows: DataFrame
+    headers: Mapping[str, Sequence[str]]
+
+    @classmethod
+    def of(cls, tables: Mapping[str, DataFrame], order: str | Sequence[str] | None = None) -> Sheets:
+        """From frames, each with its cells as texts; ``order`` columns, of the same types in all that have them, are set aside."""
+        aside, parts, headers = names(order), [], {}
+        for task, df in tables.items():
+            if not df.columns:
+                continue
+            plain = Plain.of(df)
+            cells = [f"c{i}" for i, h in enumerate(df.columns) if h not in aside]
+            own = plain.names([c for c in aside if c in df.columns])
+            place = F.struct(*own) if own else F.lit(None)
+            headers[task] = [h for h in df.columns if h not in aside]
+            parts.append(
+                plain.table.select(
+                    F.lit(task).alias("task"), F.array(*[F.col(c).cast("string") for c in cells]).alias("cells"), place.alias("place")
+                )
+            )
+        if not parts:
+            raise ValueError("no table that could be read")
+        return cls(reduce(DataFrame.unionByName, parts), headers)
+
+    def sorted_places(self, task: str) -> list[int]:
+        """Columns in the order of their headers; a repeated one stands once, with its last values."""
+        last = {h: i for i, h in enumerate(self.headers[task])}
+        return [last[h] for h in sorted(last)]
+
+    def places(self, task: str, headers: Iterable[str]) -> list[int]:
+        """Columns of the given headers, -1 for one that is absent."""
+        last = {h: i for i, h in enumerate(self.headers[task])}
+        return [last.get(h, -1) for h in headers]
+
+
+def _picked(places: str) -> Column:
+    """Cells at the places, in the form in which they are compared; an absent one is empty."""
+    cell = lambda i: F.when(i >= 0, F.get("cells", i))
+    return F.transform(places, lambda i: normalized(cell(i)))
+
+
+def grade_sheets(submitted: Sheets, expected: Sheets, tasks: Sequence[str], weights: Sequence[float] = WEIGHTS) -> DataFrame:
+    """Rows (task, row_score, column_score, cell_score, reward): ``grade`` for every task, in one keyed job.
+
+    However many tasks there are, all rows meet in one aggregation by task and digest, and all cells in one join by
+    task and key. What differs from task to task, the places of its columns, is a row of a small table. The expected
+    rows, one per task and key, are settled before the join, so that Spark splits a hot key.
+    """
+    spark = submitted.rows.sparkSession
+    plan, lowest = [], []
+    for task in tasks:
+        if not (submitted.headers.get(task) and expected.headers.get(task)):
+            lowest.append(task)
+            continue
+        e, s = expected.headers[task], submitted.headers[task]
+        compared = list(dict.fromkeys(e))
+        plan.append((
+            task, column_score(s, e), expected.sorted_places(task), submitted.sorted_places(task),
+            expected.places(task, compared), submitted.places(task, compared),
+            expected.places(task, e[:1]), submitted.places(task, s[:1]),
+        ))
+    kinds = "task string, column_score double, e_sorted array<int>, s_sorted array<int>, e_cells array<int>, s_cells array<int>"
+    plans = spark.createDataFrame(plan, f"{kinds}, e_key array<int>, s_key array<int>")
+
+    def side(sheets: Sheets, of: str) -> DataFrame:
+        where = plans.select(F.col("task").alias("of"), *(F.col(f"{of}_{c}").alias(f"at_{c}") for c in ("sorted", "cells", "key")))
+        rows = sheets.rows.join(where, F.col("task") == F.col("of"))
+        key = F.get(_picked("at_key"), F.lit(0))
+        return rows.select("task", "place", _picked("at_sorted").alias("row"), _picked("at_cells").alias("compared"), key.alias("key"))
+
+    truth, given = side(expected, "e"), side(submitted, "s")
+
+    def digests(rows: DataFrame, of: str) -> DataFrame:
+        lengths = F.transform("row", lambda c: F.octet_length(c).cast("string"))
+        digest = F.md5(F.concat_ws(",", F.size("row").cast("string"), lengths, "row"))
+        return rows.select("task", digest.alias("digest"), F.lit(int(of == "e")).alias("e"), F.lit(int(of == "s")).alias("s"))
+
+    per_row = digests(truth, "e").unionByName(digests(given, "s")).groupBy("task", "digest").agg(F.sum("e").alias("e"), F.sum("s").alias("s"))
+    rows = per_row.groupBy("task").agg(
+        F.count_if((F.col("e") > 0) & (F.col("s") > 0)).alias("n_matched"), F.sum("e").alias("n_expected"), F.sum("s").alias("n_submitted")
+    )
+    # The last row of a key by its place, else the greatest one.
+    last = truth.groupBy("task", "key").agg(F.max(F.struct("place", "compared")).alias("last"))
+    last = settle(last.select(F.col("task").alias("of"), F.col("key").alias("of_key"), F.col("last.compared").alias("wanted")), "expected")
+    pairs = given.join(last, (F.col("task") == F.col("of")) & (F.col("key") == F.col("of_key")))
+    right = F.size(F.filter(F.zip_with("wanted", "compared", lambda a, b: a == b), lambda x: x)).cast("bigint")
+    cells = pairs.groupBy("task").agg(F.sum(right).alias("n_correct"), F.sum(F.size("wanted").cast("bigint")).alias("n_cells"))
+    counts = ("n_matched", "n_expected", "n_submitted", "n_correct", "n_cells")
+    parts = rows.unionByName(cells, allowMissingColumns=True).groupBy("task").agg(*[F.max(c).alias(c) for c in counts])
+    own = plans.select(F.col("task").alias("of"), "column_score").join(parts, F.col("of") == F.col("task"), "left")
+    own = own.select(F.col("of").alias("task"), "column_score", *(F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in counts))
+    scored = own.select("*", _row_score().alias("row_score"), bounded(_ratio("n_correct", "n_cells")).alias("cell_score"))
+    scored = scored.select("task", "row_score", "column_score", "cell_score", _reward(weights).alias("reward"))
+    if not lowest:
+        return scored
+    bottom = spark.createDataFrame([(t, LOWEST, LOWEST, LOWEST, LOWEST) for t in lowest], scored.schema)
+    return scored.unionByName(bottom)
+
+
+def _reward(weights: Sequence[float]) -> Column:
+    """Weighted total of the three scores; the lowest if either side has no rows."""
     row, column, cell = weights
     total = row * F.col("row_score") + column * F.col("column_score") + cell * F.col("cell_score")
     both = (F.col("n_expected") > 0) & (F.col("n_submitted") > 0)
-    reward = F.when(both, bounded(total)).otherwise(F.lit(LOWEST))
-    return scored.select("row_score", "column_score", "cell_score", reward.alias("reward"))
-
-
-def grade_all(graded: Iterable[tuple[str, str, DataFrame]]) -> DataFrame:
-    """(task, level, one-row grade) -> one table, planned and run as one job."""
-    rows = [g.select(F.lit(t).alias("task"), F.lit(v).alias("level"), "*") for t, v, g in graded]
-    return reduce(DataFrame.unionByName, rows)
+    return F.when(both, bounded(total)).otherwise(F.lit(LOWEST))

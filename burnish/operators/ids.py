@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burnish.functions.missing import is_blank, padded_id
-from burnish.operators.ordering import Patch, apply_patches, fresh, names, quoted, with_position, with_row_ids
+from burnish.operators.ordering import Patch, Plain, apply_patches, fresh, quoted, with_position, with_row_ids
 
 
 def continued_ids(df: DataFrame, column: str, order: Sequence[str], row: str, prefix: str, width: int) -> Patch:
@@ -38,13 +38,17 @@ def continue_ids(
     The number of an id is its first run of digits. ``order`` sorts only: rows
     that tie in it follow each other in the order they were settled in.
     """
-    rows, row = with_row_ids(df, "ids")
-    return apply_patches(rows, row, [continued_ids(rows, column, names(order), row, prefix, width)])
+    plain = Plain.of(df)
+    rows, row = with_row_ids(plain.table, "ids")
+    patch = continued_ids(rows, plain.name(column), plain.names(order), row, prefix, width)
+    return plain.back(apply_patches(rows, row, [patch]))
 
 
 def positional_ids(
     df: DataFrame, column: str, order: str | Sequence[str], prefix: str = "P", width: int = 3
 ) -> DataFrame:
     """A blank id becomes the 1-based place of its row in the table."""
-    rows, row = with_row_ids(df, "ids")
-    return apply_patches(rows, row, [place_ids(rows, column, names(order), row, prefix, width)])
+    plain = Plain.of(df)
+    rows, row = with_row_ids(plain.table, "ids")
+    patch = place_ids(rows, plain.name(column), plain.names(order), row, prefix, width)
+    return plain.back(apply_patches(rows, row, [patch]))

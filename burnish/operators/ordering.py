@@ -15,12 +15,16 @@ value take part in a join. Names of helper columns keep clear of the user's.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from burnish.session import settle
 
@@ -51,6 +55,33 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
     return out
 
 
+@dataclass(frozen=True)
+class Plain:
+    """A table with its columns named by place: headers may differ in case only, repeat, or hold dots."""
+
+    table: DataFrame
+    headers: list[str]
+
+    @classmethod
+    def of(cls, df: DataFrame) -> Plain:
+        return cls(df.toDF(*(f"c{i}" for i in range(len(df.columns)))), df.columns)
+
+    def name(self, header: str) -> str:
+        """The plain name of a header: the one written so, else the only one that is alike up to case."""
+        alike = [i for i, h in enumerate(self.headers) if h.lower() == header.lower()]
+        exact = [i for i in alike if self.headers[i] == header]
+        if not exact and len(alike) != 1:
+            raise ValueError(f"{'no' if not alike else 'more than one'} column {header!r} among {self.headers}")
+        return f"c{(exact or alike)[0]}"
+
+    def names(self, headers: str | Sequence[str] | None) -> list[str]:
+        return [self.name(h) for h in names(headers)]
+
+    def back(self, df: DataFrame, *more: str) -> DataFrame:
+        """A result with the plain columns in their order, under its headers again; ``more`` are new columns behind them."""
+        return df.toDF(*self.headers, *more)
+
+
 @dataclass(frozen=True)
 class Ranged:
     """A settled table in ranges of an order: ``slot`` numbers its rows, ``range`` its ranges."""
@@ -73,14 +104,16 @@ def with_position(df: DataFrame, order: str | Sequence[str], position: str = "po
 
     One range shuffle of the columns handed in, so hand in few.
     """
-    ranged = in_ranges(df, names(order))
+    plain = Plain.of(df)
+    ranged = in_ranges(plain.table, plain.names(order))
     n, start, of = fresh(ranged.table, "n", "start", "of")
     before = Window.orderBy(of).rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.table.groupBy(F.col(ranged.range).alias(of)).agg(F.count(F.lit(1)).alias(n))
     starts = starts.select(of, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
     row = F.col(ranged.slot).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     placed = ranged.table.join(F.broadcast(starts), F.col(ranged.range) == F.col(of))
-    return placed.select(*map(quoted, df.columns), (F.col(start) + row + 1).alias(position))
+    placed = placed.select(*plain.table.columns, (F.col(start) + row + 1).alias("place"))
+    return plain.back(placed, position)
 
 
 def carry_forward(
@@ -92,35 +125,67 @@ def carry_forward(
 ) -> DataFrame:
     """Add the last non-null ``value`` up to and including each row, per group.
 
-    A group may span many ranges, so a third of all rows in one group is as
-    well spread as any other. Windows run inside one range; the value a range
-    inherits comes from the one-row-per-range table.
+    A group may span many ranges, so a third of all rows in one group is as well
+    spread as any other. Values are carried along each range as it lies, sorted, in
+    the task that sorts it; what a range inherits comes from the one-row-per-range
+    table. So the rows are shuffled once.
     """
-    group = names(group)
-    ranged = in_ranges(df, [*group, *names(order)])
-    slot, of, seen = F.col(ranged.slot), F.col(ranged.range), quoted(value)
-    mark, last, inherited, at, whose = fresh(ranged.table, "group", "last", "inherited", "at", "whose")
-    placed = ranged.table.withColumn(mark, F.struct(*map(quoted, group)) if group else F.lit(0))
-
-    valid = F.when(seen.isNotNull(), slot)
-    ends = placed.groupBy(of.alias(at)).agg(
-        F.max_by(mark, slot).alias(whose),
-        F.max_by(F.struct(F.col(mark).alias("g"), seen.alias("v")), valid).alias(last),
-    )
-    # Groups lie next to each other, so a range hands on the last value of its
-    # last group only, and a range that is all one group passes on what it got.
-    handed = F.when(F.col(f"{last}.g").eqNullSafe(F.col(whose)), F.col(f"{last}.v"))
+    plain = Plain.of(df)
+    group, order, seen = plain.names(group), plain.names(order), plain.name(value)
+    table = plain.table
+    places, at_value = [table.columns.index(c) for c in group], table.columns.index(seen)
+    slot, place, found, mark, inherited, at, whose = fresh(table, "slot", "range", "found", "group", "inherited", "at", "whose")
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flags(found: pa.Array) -> np.ndarray:
+            return found.fill_null(False).to_numpy(zero_copy_only=False)
+
+        def alike(a: pa.Array, b: pa.Array) -> np.ndarray:
+            same = flags(pc.equal(a, b)) | flags(a.is_null()) & flags(b.is_null())
+            return same | flags(pc.is_nan(a)) & flags(pc.is_nan(b)) if pa.types.is_floating(a.type) else same
+
+        before, last = None, None  # the group columns and the carried value of the last row so far
+        for batch in batches:
+            n = len(batch)
+            if not n:
+                continue
+            columns, values = [batch.column(i) for i in places], batch.column(at_value)
+            row = np.arange(n)
+            begins = np.zeros(n, bool)
+            begins[0] = before is None
+            for j, column in enumerate(columns):
+                begins[1:] |= ~alike(column.slice(1), column.slice(0, n - 1))
+                if before is not None:
+                    begins[0] |= not alike(column.slice(0, 1), before[j])[0]
+            first = np.maximum.accumulate(np.where(begins, row, -1))
+            seen_at = np.maximum.accumulate(np.where(flags(values.is_valid()), row, -1))
+            # The group's last value so far; in a group that goes on from the batch before, else what that had.
+            source = np.where(seen_at >= np.maximum(first, 0), seen_at, np.where(first < 0, n, -1))
+            if last is None:
+                last = pa.nulls(1, values.type)
+            known = pa.concat_arrays([values, last]).take(pa.array(np.maximum(source, 0), mask=source < 0))
+            before, last = [c.slice(n - 1, 1) for c in columns], known.slice(n - 1, 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, known], names=[*batch.schema.names, found])
+
+    by = [F.col(c) for c in [*group, *order]]
+    shape = StructType([*table.schema.fields, StructField(found, table.schema[seen].dataType)])
+    sorted_in_ranges = table.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(carry, shape)
+    placed = settle(sorted_in_ranges.withColumn(slot, F.monotonically_increasing_id()), "ranges")
+    placed = placed.withColumn(place, F.shiftright(slot, _ROW_BITS))
+    placed = placed.withColumn(mark, F.struct(*map(F.col, group)) if group else F.lit(0))
+
+    # Groups lie next to each other, so a range hands on what its last row has, and a range that is all one
+    # group without a value passes on what it got.
+    ends = placed.groupBy(F.col(place).alias(at)).agg(F.max_by(mark, slot).alias(whose), F.max_by(found, slot).alias(found))
     in_group = Window.partitionBy(whose).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
     handed_on = ends.select(
         F.lead(at).over(Window.orderBy(at)).alias(at),
         whose,
-        F.last(handed, ignorenulls=True).over(in_group).alias(inherited),
+        F.last(found, ignorenulls=True).over(in_group).alias(inherited),
     ).where(F.col(at).isNotNull() & F.col(inherited).isNotNull())
-    same = (of == F.col(at)) & F.col(mark).eqNullSafe(F.col(whose))
+    same = (F.col(place) == F.col(at)) & F.col(mark).eqNullSafe(F.col(whose))
     joined = placed.join(F.broadcast(handed_on), same, "left")
-    running = Window.partitionBy(ranged.range, mark).orderBy(ranged.slot).rowsBetween(Window.unboundedPreceding, 0)
-    found = F.coalesce(F.last(seen, ignorenulls=True).over(running), F.col(inherited))
-    return joined.withColumn(mark + "_found", found).select(*map(quoted, df.columns), F.col(mark + "_found").alias(carried))
+    return plain.back(joined.select(*table.columns, F.coalesce(found, inherited)), carried)
 
 
 def with_row_ids(df: DataFrame, name: str) -> tuple[DataFrame, str]:

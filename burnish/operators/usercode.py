@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from typing import TYPE_CHECKING
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from burnish.operators.ordering import Plain, names
+
+if TYPE_CHECKING:
+    import pyspark.pandas as ps
+
 
 def apply_code(df: DataFrame, code: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Code written against DataFrames: Spark plans it with the rest."""
@@ -21,8 +28,8 @@ def apply_pandas(
 
     That is the contract: the result of a row may depend on that row only. A call
     sees one batch, whose size is Spark's choice, so code that looks across rows
-    (dedup, medians, ids) gives other answers for other sizes. Such code is written
-    against DataFrames and goes to ``apply_code``, or is one of the table jobs.
+    (dedup, medians, ids) gives other answers for other sizes. Such code goes to
+    ``apply_table_code``, or to ``apply_grouped`` if it looks across the rows of a group.
     """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -30,3 +37,43 @@ def apply_pandas(
             yield code(batch)
 
     return df.mapInPandas(each, schema or df.schema)
+
+
+def apply_table_code(df: DataFrame, code: Callable[[ps.DataFrame], ps.DataFrame]) -> DataFrame:
+    """Pandas code for the whole table: ``drop_duplicates``, ``fillna(median())``, ``groupby`` and their like.
+
+    The code gets a pandas-on-Spark frame, whose methods are Spark jobs, so it sees all rows at once however many there
+    are, and what it gives does not depend on batches or partitions. Rows have no order but the one the code sorts by:
+    ``drop_duplicates(keep="first")`` is meant for code that sorts, or does not care which copy stays.
+    """
+    import pyspark.pandas as ps
+
+    given = code(df.pandas_api())
+    if isinstance(given, ps.Series):
+        given = given.to_frame()
+    return given.to_spark()
+
+
+def apply_grouped(
+    df: DataFrame,
+    code: Callable[[pd.DataFrame], pd.DataFrame],
+    key: str | Sequence[str],
+    schema: StructType | str | None = None,
+    most_rows: int = 1_000_000,
+) -> DataFrame:
+    """Pandas code that looks across the rows of one ``key``, a group at a time.
+
+    A group is held by one task, so a group of more than ``most_rows`` raises ``ValueError`` before any code runs; code
+    for larger ones goes to ``apply_table_code``. Rows of a group come in no certain order. A null key is a group.
+    """
+    plain = Plain.of(df)
+    keys = plain.names(key)
+    largest = plain.table.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest > most_rows:
+        raise ValueError(f"a group of {names(key)} has {largest} rows, more than {most_rows}")
+    headers = df.columns
+
+    def each(rows: pd.DataFrame) -> pd.DataFrame:
+        return code(rows.set_axis(headers, axis=1))
+
+    return plain.table.groupBy(*keys).applyInPandas(each, schema or df.schema)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,9 +14,9 @@ from burnish.functions.missing import is_blank
 from burnish.functions.numbers import clean_amount, clamp_negative, coerce_number, fixed_scale
 from burnish.functions.text import in_vocabulary
 from burnish.operators.dedup import drop_exact_duplicates, drop_key_duplicates
-from burnish.operators.fills import carried_months, drop_missing, fill_median
+from burnish.operators.fills import carried_months, drop_missing, fill_medians
 from burnish.operators.ids import continued_ids, place_ids
-from burnish.operators.ordering import apply_patches, fresh, names, quoted, with_row_ids
+from burnish.operators.ordering import Plain, apply_patches, fresh, names, with_row_ids
 from burnish.operators.vocabulary import canonicalize, repair_domains
 from burnish.session import settle
 
@@ -80,6 +80,22 @@ class CleaningSpec:
     undated: Undated | None = None
     ids: Ids | None = None
 
+    def by_place(self, plain: Plain) -> CleaningSpec:
+        """The same steps for columns named by place; a rule holds for every column of its header."""
+        rules = {plain.name(h): steps for h, steps in self.rules.items()}
+        rules |= {f"c{i}": self.rules[h] for i, h in enumerate(plain.headers) if h in self.rules}
+        return replace(
+            self,
+            rules=rules,
+            key=plain.names(self.key),
+            required=plain.names(self.required),
+            vocabularies={plain.name(h): known for h, known in self.vocabularies.items()},
+            domains=plain.names(self.domains),
+            medians=plain.names(self.medians),
+            undated=self.undated and replace(self.undated, column=plain.name(self.undated.column), group=plain.names(self.undated.group)),
+            ids=self.ids and replace(self.ids, column=plain.name(self.ids.column)),
+        )
+
 
 def apply_rules(df: DataFrame, rules: Mapping[str, Sequence[Rule]]) -> DataFrame:
     """All column rules in one projection; runs on streams as well.
@@ -93,10 +109,18 @@ def apply_rules(df: DataFrame, rules: Mapping[str, Sequence[Rule]]) -> DataFrame
 
 
 def clean_table(df: DataFrame, spec: CleaningSpec, order: str | Sequence[str] | None = None) -> DataFrame:
-    """Run the whole job. ``order`` names the columns that give the row order."""
+    """Run the whole job. ``order`` names the columns that give the row order.
+
+    All steps work on columns named by place, so headers may differ in case only, repeat, or hold dots.
+    """
     order = names(order)
     if not order and (spec.key or spec.undated or spec.ids):
         raise ValueError("keep-first, carried dates and running ids need order columns")
+    plain = Plain.of(df)
+    return plain.back(_cleaned(plain.table, spec.by_place(plain), plain.names(order)))
+
+
+def _cleaned(df: DataFrame, spec: CleaningSpec, order: list[str]) -> DataFrame:
     if spec.exact_duplicates:
         df = drop_exact_duplicates(df, order)
     if spec.key:
@@ -105,13 +129,13 @@ def clean_table(df: DataFrame, spec: CleaningSpec, order: str | Sequence[str] |
         df = drop_missing(df, spec.required)
     blank = dict(zip(spec.medians, fresh(df, *(f"blank{i}" for i in range(len(spec.medians)))), strict=True))
     if blank:
-        df = df.withColumns({flag: is_blank(quoted(c).cast("string")) for c, flag in blank.items()})
+        df = df.withColumns({flag: is_blank(F.col(c).cast("string")) for c, flag in blank.items()})
     df = apply_rules(df, spec.rules)
     if blank:
         df = settle(df, "ruled")
-    for column, flag in blank.items():
-        cells = [F.when(~F.col(flag), quoted(c)).alias(c) if c == column else quoted(c) for c in df.columns]
-        df = fill_median(df.select(*cells), column).drop(flag)
+        cells = {c: F.when(~F.col(flag), F.col(c)).alias(c) for c, flag in blank.items()}
+        kept = [c for c in df.columns if c not in blank.values()]
+        df = fill_medians(df.select(*[cells.get(c, F.col(c)) for c in kept]), spec.medians)
     for column, (vocabulary, spelling) in spec.vocabularies.items():
         df = canonicalize(df, column, vocabulary, spelling)
     for column in spec.domains:

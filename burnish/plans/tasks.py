@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from burnish.functions.dates import DAY_FIRST
 from burnish.functions.emails import fix_email
 from burnish.functions.text import lower_strip, strip, title_case
-from burnish.operators.grade import grade, grade_all
+from burnish.operators.grade import Sheets, grade, grade_sheets
 from burnish.plans import words as W
 from burnish.plans.spec import CleaningSpec, Ids, Undated, amount, clean_table, count, dates, words
-from burnish.sources.catalog import TASKS, Task, available_tasks
-from burnish.sources.tables import ORDER, read_table, read_table_or_empty
+from burnish.session import settle
+from burnish.sources.catalog import TASKS, Task, available_tasks, existing
+from burnish.sources.tables import ORDER, read_sheets, read_table, read_table_or_empty, unreadable
 
 # Spellings in the stock table that title case does not give.
 STOCK_CATEGORIES = ["Electronics", "Accessories", "Storage"]
@@ -109,9 +113,12 @@ def clean_task(spark: SparkSession, folder: str, task: Task, spec: CleaningSpec)
 
 
 def grade_file(spark: SparkSession, submitted: str | None, expected: str, **options: object) -> DataFrame:
-    """Grade two files; one that is missing or cannot be read scores lowest."""
-    given = None if not submitted else read_table_or_empty(spark, submitted)
-    return grade(given, read_table_or_empty(spark, expected, ordered=True), ORDER, **options)
+    """Grade two files; one that is missing, cannot be read or breaks off scores lowest.
+
+    Both are read once, and kept under the shared folder for the grader.
+    """
+    given = None if not submitted else read_table_or_empty(spark, submitted, stored=True)
+    return grade(given, read_table_or_empty(spark, expected, stored=True, ordered=True), ORDER, **options)
 
 
 def grade_suite(
@@ -119,15 +126,42 @@ def grade_suite(
 ) -> DataFrame:
     """Rows (task, level, row_score, column_score, cell_score, reward) for every task in ``folder``.
 
-    The messy tables are graded as they are, or after the spec of their task.
+    The messy tables are graded as they are, or after the spec of their task. All tasks are graded by one keyed job;
+    unless they are cleaned, their files are read by one scan, too.
     """
-    specs = task_specs()
-    graded = []
-    for task in available_tasks(spark, folder, tasks):
-        truth = read_table_or_empty(spark, f"{folder}/{task.clean_file}", ordered=True)
-        if clean:
-            given = clean_task(spark, folder, task, specs[task.name]).drop(ORDER)
-        else:
-            given = read_table_or_empty(spark, f"{folder}/{task.messy_file}")
-        graded.append((task.name, task.level, grade(given, truth, ORDER)))
-    return grade_all(graded)
+    listed = available_tasks(spark, folder, tasks)
+    there = existing(spark, folder, [f for t in listed for f in (t.messy_file, t.clean_file)])
+    truth = _sheets(spark, {t.name: f"{folder}/{t.clean_file}" for t in listed if t.clean_file in there})
+    if clean:
+        specs = task_specs()
+        given = Sheets.of({t.name: clean_task(spark, folder, t, specs[t.name]).drop(ORDER) for t in listed if t.messy_file in there})
+    else:
+        given = _sheets(spark, {t.name: f"{folder}/{t.messy_file}" for t in listed if t.messy_file in there})
+    return with_levels(grade_sheets(given, truth, [t.name for t in listed]), listed)
+
+
+def with_levels(grades: DataFrame, tasks: Sequence[Task]) -> DataFrame:
+    """Grades with the level of their task behind its name."""
+    levels = F.create_map(*[F.lit(x) for t in tasks for x in (t.name, t.level)])[F.col("task")]
+    return grades.select("task", levels.alias("level"), *[c for c in grades.columns if c != "task"])
+
+
+def _sheets(spark: SparkSession, paths: dict[str, str]) -> Sheets:
+    """Tables read at once and kept; where one of them cannot be read to its end, each is read for itself."""
+    if not paths:
+        return Sheets(spark.createDataFrame([], "task string, cells array<string>, place string"), {})
+    try:
+        sheets = read_sheets(spark, paths)
+        return Sheets(settle(sheets.rows, "sheets"), sheets.headers)
+    except (PySparkException, Py4JJavaError, ValueError) as error:
+        if not isinstance(error, ValueError) and not unreadable(error):
+            raise
+    tables = {task: _read_or_empty(spark, path) for task, path in paths.items()}
+    return Sheets.of(tables, ORDER) if any(t.columns for t in tables.values()) else _sheets(spark, {})
+
+
+def _read_or_empty(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return read_table_or_empty(spark, path, stored=True, ordered=True)
+    except ValueError:  # its files have different headers
+        return spark.createDataFrame([], "")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burnish.functions.chance import pick
@@ -12,17 +14,22 @@ from burnish.functions.emails import email_domain, fix_email, valid_email
 from burnish.functions.missing import blank_to_null, fill_number, fill_text
 from burnish.functions.numbers import clamp_negative, clean_amount, coerce_number, fixed_scale
 from burnish.functions.text import in_vocabulary, lower_strip, strip, title_case
+from burnish.operators.dateorder import date_order_votes, normalize_dates_voted
 from burnish.operators.dedup import drop_exact_duplicates, drop_key_duplicates
 from burnish.operators.fills import drop_missing as drop_missing_rows
 from burnish.operators.fills import fill_median as fill_with_median
-from burnish.operators.fills import fill_undated
+from burnish.operators.fills import fill_medians, fill_undated
 from burnish.operators.ids import continue_ids, positional_ids
-from burnish.operators.usercode import apply_code, apply_pandas
+from burnish.operators.usercode import apply_code, apply_grouped, apply_pandas, apply_table_code
 from burnish.operators.vocabulary import canonicalize as canonicalize_column
-from burnish.operators.vocabulary import most_common_domain, repair_domains
-from burnish.plans.spec import CleaningSpec, amount, clean_table, dates, words
+from burnish.operators.vocabulary import canonicalize_typos, most_common_domain, repair_domains
+from burnish.plans.spec import CleaningSpec, Ids, Undated, amount, clean_table, dates, words
 from burnish.queries import messy as M
 from burnish.queries.registry import query, table
+from burnish.session import settle
+
+if TYPE_CHECKING:
+    import pyspark.pandas as ps
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -111,6 +118,26 @@ def fill_median_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_with_median(gaps, "price")
 
 
+_WIDE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey"]
+
+
+def _gap_sql(c: str) -> str:
+    return f"case when {M.pick_sql(7, 'l_partkey', M.SEED, f'gap {c}')} = 0 then null else {c} end::double"
+
+
+@query(
+    f"""with g as (select l_orderkey, l_linenumber, {", ".join(f"{_gap_sql(c)} as {c}" for c in _WIDE)} from lineitem),
+        m as (select {", ".join(f"median({c}) as {c}" for c in _WIDE)} from g)
+    select l_orderkey, l_linenumber, {", ".join(f"round(coalesce(g.{c}, m.{c}), 6) as {c}" for c in _WIDE)} from g, m"""
+)
+def fill_medians_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five columns with gaps of their own, all medians found together."""
+    lines = table(spark, sf_dir, "lineitem")
+    gaps = {c: F.when(pick(7, "l_partkey", M.SEED, f"gap {c}") != 0, F.col(c).cast("double")).alias(c) for c in _WIDE}
+    filled = fill_medians(lines.select("l_orderkey", "l_linenumber", *gaps.values()), _WIDE)
+    return filled.select("l_orderkey", "l_linenumber", *[F.round(c, 6).alias(c) for c in _WIDE])
+
+
 @query(
     f"""select order_id, customer_id, priority from ({M.ORDERS_MESSY})
     where not {M.blank_test_sql("customer_id")} and not {M.blank_test_sql("priority")}"""
@@ -164,6 +191,49 @@ def canonicalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonicalize_column(M.parts_messy(spark, sf_dir), "kind", vocabulary, "p_type").select("k", "kind")
 
 
+def _slip_sql(c: str) -> str:
+    """One character left out, put in twice or replaced, in one row of two."""
+    at = f"(2 + {M.pick_sql(97, 'k', M.SEED, 'slip at')} % (length({c}) - 2))::int"
+    return f"""case {M.pick_sql(6, "k", M.SEED, "slip")} when 0 then left({c}, {at} - 1) || substr({c}, {at} + 1)
+        when 1 then left({c}, {at}) || substr({c}, {at}) when 2 then left({c}, {at} - 1) || '_' || substr({c}, {at} + 1)
+        else {c} end"""
+
+
+def _slipped(c: str) -> Column:
+    n, word = pick(6, "k", M.SEED, "slip"), F.col(c)
+    at = (2 + pick(97, "k", M.SEED, "slip at") % (F.length(word) - 2)).cast("int")
+    return (
+        F.when(n == 0, F.concat(F.left(word, at - 1), F.substr(word, at + 1)))
+        .when(n == 1, F.concat(F.left(word, at), F.substr(word, at)))
+        .when(n == 2, F.concat(F.left(word, at - 1), F.lit("_"), F.substr(word, at + 1)))
+        .otherwise(word)
+    )
+
+
+@query(
+    f"""with r as (select k, {_slip_sql("brand")} as brand, {_slip_sql("kind")} as kind
+            from (select p_partkey as k, p_brand as brand, p_type as kind from part)),
+        w as (select distinct p_brand as spelling, lower(p_brand) as word from part
+            union select distinct p_type, lower(p_type) from part),
+        v as (select distinct lower(brand) as value from r union select distinct lower(kind) from r),
+        met as (select value, spelling, levenshtein(value, word) as edits from v join w on levenshtein(value, word) <= 1),
+        fixes as (select value, min(spelling) as spelling from met as m
+            where edits = (select min(edits) from met as o where o.value = m.value) group by value having count(*) = 1)
+    select r.k, coalesce(b.spelling, r.brand) as brand, coalesce(t.spelling, r.kind) as kind
+    from r left join fixes as b on b.value = lower(r.brand) left join fixes as t on t.value = lower(r.kind)""",
+    name="canonicalize_typos",
+)
+def typos_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Misspelt brands, many of which could be several, and misspelt types, of one vocabulary."""
+    parts = table(spark, sf_dir, "part")
+    rows = parts.select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"))
+    rows = settle(rows.select("k", _slipped("brand").alias("brand"), _slipped("kind").alias("kind")), "slipped")
+    words = parts.select(F.explode(F.array("p_brand", "p_type")).alias("word"))
+    for column in ("brand", "kind"):
+        rows = canonicalize_typos(rows, column, words, "word")
+    return rows
+
+
 # --- dates --------------------------------------------------------------------
 
 
@@ -184,6 +254,43 @@ def date_normalize_month_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", normalize_date("order_date", MONTH_FIRST).alias("order_date"))
 
 
+_ORDERS_BY_HAND = f"select k, o_custkey as hand, order_date from ({M.ORDERS_MESSY}) join orders on o_orderkey = k"
+
+
+def _dashed_sql(n: int) -> str:
+    text = M.strip_sql("order_date")
+    return rf"case when regexp_full_match({text}, '\d{{1,2}}-\d{{1,2}}-\d{{4}}') then split_part({text}, '-', {n})::int end"
+
+
+_VOTES = f"""select hand, count(*) filter (a between 13 and 31 and b between 1 and 12) as n_day_first,
+        count(*) filter (b between 13 and 31 and a between 1 and 12) as n_month_first,
+        count(*) filter (a between 1 and 12 and b between 1 and 12 and a <> b) as n_ambiguous,
+        case when n_month_first > n_day_first then 'month first' else 'day first' end as date_order
+    from (select hand, {_dashed_sql(1)} as a, {_dashed_sql(2)} as b from ({_ORDERS_BY_HAND})) group by hand"""
+
+
+def _orders_by_hand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messy dates; who wrote one is the customer of the order."""
+    owners = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("hand"))
+    rows = M.orders_messy(spark, sf_dir)
+    return rows.join(owners, F.col("k") == F.col("key")).select("k", "hand", "order_date")
+
+
+@query(_VOTES, name="date_order_votes")
+def votes_by_hand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return date_order_votes(_orders_by_hand(spark, sf_dir), "order_date", "hand")
+
+
+@query(
+    f"""select k, r.hand, coalesce(case when date_order = 'month first' then {M.date_sql("order_date", False)}
+            else {M.date_sql("order_date", True)} end::varchar, {M.strip_sql("order_date")}) as order_date
+    from ({_ORDERS_BY_HAND}) as r join ({_VOTES}) as v on v.hand = r.hand"""
+)
+def date_order_voted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ambiguous dates read as the unambiguous ones of the same hand say."""
+    return normalize_dates_voted(_orders_by_hand(spark, sf_dir), "order_date", "hand")
+
+
 def _undated_sql(window: str) -> str:
     return f"""with d as (select k, o_custkey as owner, order_date, {M.date_sql("order_date")} as day
             from ({M.ORDERS_MESSY}) join orders on o_orderkey = k),
@@ -434,3 +541,90 @@ def user_code_pandas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def blank_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = M.customers_messy(spark, sf_dir)
     return rows.select("k", blank_to_null("balance", ["NA"]).alias("balance"))
+
+
+@query(f"select distinct c_mktsegment as segment, coalesce(balance, (select min(balance) from ({_GAPS}))) as balance "
+       f"from customer join ({_GAPS}) on k = c_custkey")
+def user_code_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pandas code that looks across all rows."""
+
+    def code(rows: ps.DataFrame) -> ps.DataFrame:
+        rows["balance"] = rows["balance"].fillna(rows["balance"].min())
+        return rows[["segment", "balance"]].drop_duplicates()
+
+    segments = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("segment"))
+    return apply_table_code(_balances_with_gaps(spark, sf_dir).join(segments, "k"), code)
+
+
+@query(
+    f"""select l_orderkey, l_linenumber, l_partkey, round(coalesce(price, median(price) over (partition by l_partkey)), 6) as price
+    from (select *, case when {M.pick_sql(5, "l_orderkey", M.SEED, "no price")} <> 0 then l_extendedprice end as price from lineitem)"""
+)
+def user_code_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pandas code that looks across the lines of one part."""
+
+    def code(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.assign(price=rows["price"].fillna(rows["price"].median()).round(6))
+
+    price = F.when(pick(5, "l_orderkey", M.SEED, "no price") != 0, F.col("l_extendedprice")).alias("price")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", price)
+    return apply_grouped(lines, code, "l_partkey")
+
+
+_HEADED = f"""select 2 * k as o, case when k % 5 = 2 then '' else 'C' || (k // 2)::varchar end as id, name as nm, email as mail,
+        segment as city, balance, case when k % 7 = 3 then 'invalid' else (date '2024-01-01' + (k % 400)::int)::varchar end as day
+    from ({M.CUSTOMERS_MESSY})"""
+
+
+def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers under headers that differ in case only or hold a dot, some of them twice."""
+    k = F.col("k")
+    rows = M.customers_messy(spark, sf_dir).select(
+        (2 * k).alias("o"),
+        F.when(k % 5 == 2, "").otherwise(F.concat(F.lit("C"), F.floor(k / 2).cast("string"))),
+        "name",
+        "email",
+        "segment",
+        "balance",
+        F.when(k % 7 == 3, "invalid").otherwise(F.date_add(F.lit("2024-01-01").cast("date"), (k % 400).cast("int")).cast("string")),
+    )
+    copies = rows.where(F.col("o") % 20 == 0).withColumn("o", F.col("o") + 1)
+    return rows.unionByName(copies).toDF("_o", "id", "Name", "name", "addr.city", "Addr.City", "ID")
+
+
+@query(
+    rf"""with t as ({_HEADED}), u as (select * from t union all select o + 1, * exclude (o) from t where o % 20 = 0),
+        d as (select min(o) as o, * exclude (o) from u group by all),
+        kept as (select * from (select *, row_number() over (partition by case when id = '' then o::varchar else id end order by o) as n from d)
+            where n = 1 and not {M.blank_test_sql("city")}),
+        m as (select *, case when {M.blank_test_sql("balance")} then null else {M.amount_sql("balance")} end as v,
+            lower({M.strip_sql("mail")}) as e, row_number() over (order by o) as place,
+            last_value(try_cast(day as date) ignore nulls) over (order by o rows between unbounded preceding and current row) as seen
+            from kept),
+        top as (select split_part(e, '@', 2) as domain from m where regexp_full_match(e, '[\w.\-]+@[\w.\-]+\.\w+')
+            group by 1 order by count(*) desc, 1 limit 1)
+    select case when id = '' then {_pad_sql("place")} else id end as id, {M.title_sql("nm")} as name,
+        case when contains(e, '@') and not contains(split_part(e, '@', 2), '.') then split_part(e, '@', 1) || '@' || domain
+            when not contains(e, '@') and ends_with(e, domain) and length(e) > length(domain)
+                then left(e, length(e) - length(domain)) || '@' || domain else e end as email,
+        upper({M.strip_sql("city")}) as city,
+        coalesce(v, (select median(round(v, 2)) from m))::decimal(38, 2)::varchar as balance,
+        case when day = 'invalid' and seen is not null then date_trunc('month', seen)::date::varchar else day end as day
+    from m, top"""
+)
+def clean_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every step of a spec on headers that Spark cannot tell apart."""
+    words_of = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("a.word"))
+    spec = CleaningSpec(
+        {"Name": [title_case], "Addr.City": [amount(2)], "ID": [dates()]},
+        exact_duplicates=True,
+        key="id",
+        required=["addr.city"],
+        vocabularies={"addr.city": (words_of, "a.word")},
+        domains=["name"],
+        medians=["Addr.City"],
+        undated=Undated("ID"),
+        ids=Ids("id"),
+    )
+    cleaned = clean_table(_headed(spark, sf_dir), spec, "_o")
+    return cleaned.drop("_o").toDF("id", "name", "email", "city", "balance", "day")

@@ -18,7 +18,7 @@ from burnish.queries.registry import query, table
 from burnish.session import scratch_path
 from burnish.sources.catalog import TASKS, task_catalog
 from burnish.sources.episodes import episode_lines, episodes, parse_lines, read_log, write_log
-from burnish.sources.tables import read_table, write_table
+from burnish.sources.tables import ORDER, read_table, write_table
 
 
 @query(
@@ -45,6 +45,17 @@ def csv_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, path)
 
 
+@query(
+    f"select {', '.join(f'nullif({c}::varchar, \'\') as {c}' for c in _DOCUMENT)}, row_number() over (order by doc_id, text) as place from documents"
+)
+def csv_one_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts in one file: written by many tasks, and read by many, line breaks and order kept."""
+    path = f"{scratch_path(spark, 'documents')}/all.csv"
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_id"), *[F.col(c).cast("string").alias(c) for c in _DOCUMENT])
+    write_table(docs.withColumn("_text", F.col("text")), path, order=["_id", "_text"], one_file=True)
+    return with_position(read_table(spark, path, ordered=True, split=True), ORDER, "place").drop(ORDER)
+
+
 @query(
     f"""select nullif(customer_id, '') as id, {M.strip_sql("nullif(name, '')")} as name,
         lower({M.strip_sql("nullif(email, '')")}) as email, lower({M.strip_sql("nullif(segment, '')")}) as city

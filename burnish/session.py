@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,10 +20,23 @@ OWN_DIR = "burnish.scratch.dir"
 # its own default is far higher.
 _METHOD_LIMIT = ("spark.sql.codegen.hugeMethodLimit", "8000")
 
+_SHIPPED: set[str] = set()
+
 # Paths written since each open ``scratch`` began, innermost last.
 _OPEN: list[list[str]] = []
 
 
+def shipped(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, which need not find it where the driver does."""
+    package = Path(__file__).resolve().parent
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED and package.is_dir():
+        folder = tempfile.mkdtemp(prefix="burnish-code-")  # the driver serves the file; executors fetch it
+        context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
+        _SHIPPED.add(context.applicationId)
+    return spark
+
+
 def tuned(spark: SparkSession) -> SparkSession:
     """Session settings that suit wide projections with many rules."""
     spark.conf.set(*_METHOD_LIMIT)
@@ -78,7 +94,11 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     For jobs that read their input several times and need the same rows each
     time, whatever executor is lost in between. Unlike a checkpoint the files
     are columnar: a later pass reads only the columns and row groups it needs.
+    Columns whose names differ in case only are written by place.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    headers = df.columns
+    plain = df if len({h.lower() for h in headers}) == len(headers) else df.toDF(*(f"c{i}" for i in range(len(headers))))
+    plain.write.parquet(path)
+    read = df.sparkSession.read.schema(plain.schema).parquet(path)
+    return read if plain is df else read.toDF(*headers)

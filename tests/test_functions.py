@@ -105,7 +105,7 @@ def test_every_day_survives_every_format(spark):
 
 def test_unknown_format_is_refused():
     with pytest.raises(ValueError):
-        parse_date("v", ["yyyy.M.d"])
+        parse_date("v", ["yyyy M d"])
 
 
 def test_date_shapes_and_ambiguity(spark):
@@ -182,3 +182,10 @@ def test_missing(spark):
         (True, None, "Unknown"), (True, "  ", "  "), (True, None, "Unknown"), (False, None, "NA"), (False, "x", "x"),
     ]
     assert mapped(spark, [7, 1234], "int", padded_id(F.col("v"), "P", 3)) == ["P007", "P1234"]
+
+
+def test_dates_with_dots(spark):
+    texts = {"2024.01.05": "2024-01-05", "2024.1.5": "2024-01-05", "05.01.2024": "2024-05-01", "25.01.2024": "2024-01-25", "2024.13.01": "2024.13.01", "1.2.24": "1.2.24", "2024-01.05": "2024-01.05", "2024x01x05": "2024x01x05"}
+    rows = spark.createDataFrame([(t,) for t in texts], "v string")
+    found = rows.select("v", normalize_date("v").alias("d")).collect()
+    assert {r.v: r.d for r in found} == texts

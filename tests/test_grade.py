@@ -1,11 +1,14 @@
 """The grader: edge cases by hand, and the task tables."""
 
+import gzip
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from burnish.operators.grade import column_score, grade
+from burnish.operators.grade import Sheets, column_score, grade, grade_sheets
 from burnish.plans.tasks import clean_task, grade_file, grade_suite, task_specs
-from burnish.sources.catalog import available_tasks, task_catalog
+from burnish.sources.catalog import Task, available_tasks, task_catalog
 from burnish.sources.tables import ORDER, read_table
 
 HEADERS = ["id", "name", "city", "note"]
@@ -127,3 +130,70 @@ def test_catalog(spark, task_folder):
     listed = task_catalog(spark, task_folder).collect()
     assert [(r.task, r.level) for r in listed][:3] == [("easy", "easy"), ("medium", "medium"), ("hard", "hard")]
     assert len(listed) == 8
+
+
+def random_pair(dice, n):
+    """Two small tables with headers and keys that partly agree."""
+    headers = dice.sample(["id", "Name", "name", "city", "x.y", "note", "id"], dice.randint(2, 5))
+    cell = lambda: dice.choice(["", None, " a", "A ", "b", "\tB", "é", "12"])
+    truth = [[dice.choice(["1", "2", "3 ", "", None, str(r)])] + [cell() for _ in headers[1:]] for r in range(n)]
+    given = [[c if dice.random() < 0.8 else cell() for c in row] for row in truth if dice.random() < 0.9]
+    given += [truth[0]] * dice.randint(0, 2) if truth else []
+    names = [h if dice.random() < 0.8 else dice.choice([h.upper(), "zz", h]) for h in headers]
+    if dice.random() < 0.3:
+        given, names = [row[:-1] for row in given], names[:-1]
+    return (names, given), (headers, truth)
+
+
+def test_many_tasks_by_one_job_as_each_for_itself(spark):
+    dice = random.Random(9)
+    given, truth, want = {}, {}, {}
+    for t in range(12):
+        sides = random_pair(dice, 0 if t == 3 else dice.randint(1, 9))
+        frames = []
+        for headers, rows in sides:
+            kinds = "_n int, " + ", ".join(f"c{i} string" for i in range(len(headers)))
+            frames.append(spark.createDataFrame([(n, *row) for n, row in enumerate(rows)], kinds).toDF("_n", *headers))
+        given[f"t{t}"], truth[f"t{t}"] = frames
+        want[f"t{t}"] = tuple(grade(frames[0], frames[1], "_n").first())
+    given["lost"] = spark.createDataFrame([], "")
+    truth["lost"] = truth["t1"]
+    want["lost"] = (0.01,) * 4
+    found = grade_sheets(Sheets.of(given, "_n"), Sheets.of(truth, "_n"), list(want)).collect()
+    assert {r[0]: pytest.approx(tuple(r)[1:]) for r in found} == want
+
+
+def test_the_plan_does_not_grow_with_the_tasks(spark, tmp_path):
+    sizes = []
+    for n in (8, 60):
+        tasks = [Task(f"{n}_{i}", "easy", "") for i in range(n)]
+        for i, task in enumerate(tasks):
+            head = ",".join(["id", "b", f"c{i % 5}", "d"][: 3 + i % 2])
+            (tmp_path / task.clean_file).write_text(f"{head}\n1,x,y\n2,x,{i}\n")
+            (tmp_path / task.messy_file).write_text(f"{head}\n1,X ,y\n" + ("2,x,z\n" if i % 3 else ""))
+        plans = []
+        found = grade_suite(spark, str(tmp_path), tasks)
+        plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+        rows = {r.task: r for r in found.collect()}
+        assert len(rows) == n
+        for i in (0, 1, 5):
+            one = grade_file(spark, f"{tmp_path}/{tasks[i].messy_file}", f"{tmp_path}/{tasks[i].clean_file}").first()
+            assert tuple(rows[f"{n}_{i}"])[2:] == pytest.approx(tuple(one))
+        sizes.append(len(plans[0].splitlines()))
+    assert sizes[0] == sizes[1]
+
+
+def test_a_broken_file_costs_its_own_task_only(spark, tmp_path):
+    tasks = [Task(name, "easy", "") for name in ("good", "bad", "mixed")]
+    for task in tasks:
+        (tmp_path / task.clean_file).write_text("id,b\n1,x\n")
+        (tmp_path / task.messy_file).write_text("id,b\n1,x\n")
+    (tmp_path / "bad_messy.csv").unlink()
+    (tmp_path / "bad_messy.csv").mkdir()
+    (tmp_path / "bad_messy.csv" / "a.gz").write_bytes(gzip.compress(random.Random(1).randbytes(90_000))[:50_000])
+    (tmp_path / "mixed_messy.csv").unlink()
+    (tmp_path / "mixed_messy.csv").mkdir()
+    for name, head in (("a.csv", "id,b"), ("b.csv", "id,c")):
+        (tmp_path / "mixed_messy.csv" / name).write_text(f"{head}\n1,x\n")
+    rows = {r.task: r.reward for r in grade_suite(spark, str(tmp_path), tasks).collect()}
+    assert rows == {"good": 0.99, "bad": 0.01, "mixed": 0.01}

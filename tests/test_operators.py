@@ -2,20 +2,26 @@
 
 import random
 import statistics
+import uuid
+from dataclasses import replace
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from burnish.functions.text import title_case
+from burnish.operators import fills, ordering
+from burnish.operators.dateorder import DAY, MONTH, date_order_votes, normalize_dates_voted
 from burnish.operators.dedup import drop_exact_duplicates, drop_key_duplicates
-from burnish.operators.fills import drop_missing, fill_median, fill_undated, median
+from burnish.operators.fills import drop_missing, fill_median, fill_medians, fill_undated, median, medians
 from burnish.operators.ids import continue_ids, positional_ids
 from burnish.operators.ordering import carry_forward, with_position
 from burnish.operators.profile import duplicate_checks, profile
 from burnish.operators.report import outcome, summary, summary_by_level
-from burnish.operators.usercode import apply_code, apply_pandas
-from burnish.operators.vocabulary import canonicalize, most_common_domain, repair_domains
+from burnish.operators.usercode import apply_code, apply_grouped, apply_pandas, apply_table_code
+from burnish.operators.vocabulary import canonicalize, canonicalize_typos, most_common_domain, repair_domains
 from burnish.plans.spec import CleaningSpec, amount, clean_table
+from burnish.session import settle
 
 
 @pytest.fixture(scope="module")
@@ -177,6 +183,226 @@ def test_names_of_helper_columns_keep_clear(spark):
     assert {r["column"] for r in profile(df, "a.b").collect()} >= {"a.b", "_place"}
 
 
+HEADERS = ["n", "id", "ID", "Name", "name", "addr.city", "Addr.City", "name"]
+
+
+def headed(spark, rows):
+    return frame(spark, rows, ", ".join(f"c{i} {'int' if i == 0 else 'string'}" for i in range(len(HEADERS)))).toDF(*HEADERS)
+
+
+def test_headers_that_differ_in_case_only(spark):
+    rows = [
+        (1, "a", "2024-03-05", "x", "1", "Oslo", "ann@b.org", "p"),
+        (2, "", "nothing", "x", "3", None, "bob@b", "p"),
+        (3, "a", "2024-05-06", "y", "", "Rome", "eveb.org", "q"),
+        (4, "P9", "none", "x", "8", "rome", "ann@b.org", "q"),
+    ]
+    df = headed(spark, [*rows, (5, *rows[0][1:])])
+
+    def column(found, place):
+        assert found.columns == HEADERS
+        return [r[place] for r in sorted(found.collect(), key=lambda r: r[0])]
+
+    assert column(drop_exact_duplicates(df, "n"), 0) == [1, 2, 3, 4]
+    assert sorted(column(drop_exact_duplicates(df, "n", on=["Name"]), 0)) == [1, 3]
+    assert column(drop_key_duplicates(df, "id", "n"), 0) == [1, 2, 4]
+    assert column(drop_missing(df, ["addr.city", "id"]), 0) == [1, 3, 4, 5]
+    assert column(fill_median(df, "name"), 4) == ["1", "3", "2", "8", "1"]
+    assert median(df, "name") == 2.0
+    assert column(repair_domains(df, "Addr.City"), 6) == ["ann@b.org", "bob@b.org", "eve@b.org", "ann@b.org", "ann@b.org"]
+    assert most_common_domain(df, "Addr.City").first().domain == "b.org"
+    assert column(continue_ids(df, "id", "n"), 1) == ["a", "P010", "a", "P9", "a"]
+    assert column(positional_ids(df, "id", "n"), 1) == ["a", "P002", "a", "P9", "a"]
+    assert column(fill_undated(df, "ID", "n"), 2) == ["2024-03-05", "2024-03-01", "2024-05-06", "2024-05-01", "2024-03-05"]
+    words = spark.createDataFrame([("OSLO",), ("ROME",)], "w string").toDF("a.b")
+    assert column(canonicalize(df, "addr.city", words, "a.b"), 5) == ["OSLO", None, "ROME", "ROME", "OSLO"]
+    assert with_position(df, "n", "place").columns == [*HEADERS, "place"]
+    assert carry_forward(df, "addr.city", "n", "seen", "Name").columns == [*HEADERS, "seen"]
+    # A name in other casing is found where only one column can be meant.
+    assert column(drop_missing(df, "ADDR.CITY".lower()), 0) == [1, 3, 4, 5]
+    assert drop_missing(frame(spark, [("a",), (None,)], "K string"), "k").count() == 1
+    for unknown in ("other", "NAME"):
+        with pytest.raises(ValueError):
+            drop_missing(df, unknown)
+
+
+def test_a_repeated_header_keeps_its_rule_in_every_place(spark):
+    df = headed(spark, [(1, "a", "b", "c", " d ", "e", "f", " g ")])
+    cleaned = clean_table(df, CleaningSpec({"name": [title_case], "n": []}), "n")
+    assert cleaned.columns == HEADERS and tuple(cleaned.first()) == (1, "a", "b", "c", "D", "e", "f", "G")
+
+
+def jobs_of(spark, run):
+    """Number of jobs that a call starts."""
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        run()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_medians_of_many_columns_take_as_many_jobs_as_of_one(spark):
+    dice = random.Random(3)
+    rows = [[None if dice.random() < 0.1 else round(dice.uniform(-9, 9) * 10**c, 2) for c in range(5)] for _ in range(3001)]
+    df = frame(spark, rows, ", ".join(f"v{c} double" for c in range(5))).select(*(F.col(f"v{c}") for c in range(5)))
+    names = [f"v{c}" for c in range(5)]
+    want = [statistics.median([r[c] for r in rows if r[c] is not None]) for c in range(5)]
+    assert medians(df, names) == pytest.approx(want)
+    assert medians(df, []) == [] and medians(df.where("false"), names) == [None] * 5
+    one, all_of = (jobs_of(spark, lambda some=some: medians(df, some)) for some in (names[:1], names))
+    assert one == all_of
+    assert sorted(map(repr, fill_medians(df, names[:2]).collect())) == sorted(map(repr, fill_median(fill_median(df, "v0"), "v1").collect()))
+
+
+@pytest.mark.parametrize("few", [1, 50])
+def test_medians_by_several_looks(spark, few, monkeypatch):
+    """Brackets are narrowed until a task may sort what is in them; a sketch that is off is found out."""
+    monkeypatch.setattr(fills, "_FEW", few)
+    monkeypatch.setattr(fills, "_QUANTILES", 4)
+    dice = random.Random(few)
+    values = [dice.choice([dice.gauss(0, 1), 0.25, float(dice.randrange(4))]) for _ in range(4001)]
+    df = frame(spark, [(v, -v, 7.0) for v in values], "a double, b double, c double")
+    assert medians(df, ["a", "b", "c"]) == pytest.approx([statistics.median(values), -statistics.median(values), 7.0])
+    narrowed = fills._Search.narrowed
+
+    def off(self, below, inside, grid):
+        return replace(narrowed(self, below, inside, grid), low=grid[-1], high=grid[-1], inside=0)
+
+    monkeypatch.setattr(fills._Search, "narrowed", off)
+    assert medians(df, ["a", "c"]) == pytest.approx([statistics.median(values), 7.0])
+
+
+def test_dates_are_carried_with_one_shuffle_of_the_rows(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(ordering, "settle", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or settle(df, name))
+    df = spark.range(1000).selectExpr("id as n", "id % 7 as g", "if(id % 5 = 0, id, null) as v")
+    found = carry_forward(df, "v", "n", "c", "g")
+    assert plans[0].count("Exchange") == 1 and "rangepartitioning" in plans[0]
+    # What is left is a table with one row per range; the rows themselves are not shuffled again.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    rows = [line for line in plan.splitlines() if "Window" in line]
+    assert "Sort" not in plan.split("BroadcastExchange")[0] and rows
+    want, last = {}, {}
+    for n in range(1000):
+        last[n % 7] = n if n % 5 == 0 else last.get(n % 7)
+        want[n] = last[n % 7]
+    assert {r.n: r.c for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("kind", ["double", "string", "date", "struct<a:int,b:string>", "decimal(9,2)"])
+def test_carried_values_and_groups_of_any_type(spark, kind):
+    cell = {"double": "if(id = 9, double('nan'), id / 4)", "string": "string(id)", "date": "date_add(date'2024-01-01', int(id))"}
+    value = cell.get(kind, "named_struct('a', int(id), 'b', 'x')" if kind.startswith("struct") else "cast(id as decimal(9,2))")
+    df = spark.range(40).selectExpr("id as n", f"cast(if(id % 4 = 1, {value}, null) as {kind}) as v", "if(id < 7, double('nan'), if(id < 20, null, 1.5)) as g")
+    found = carry_forward(df.repartition(3), "v", "n", "c", "g").orderBy("n").collect()
+    group, last = None, None
+    for r in found:
+        own = "nan" if r.n < 7 else None if r.n < 20 else 1.5
+        last = r.v if r.v is not None else (last if own == group and r.n else None)
+        group = own
+        assert repr(r.c) == repr(last), r
+
+
+def test_typos(spark):
+    words = frame(spark, [(w,) for w in ("Marketing", "Finance", "Financed", "IT", "Sales", "SALES ", "Straße", None, "")], "w string")
+    given = {
+        "marketing": "Marketing", "Markting": "Marketing", "MARKETTING": "Marketing", " marketimg ": "Marketing", "finance": "Finance",
+        "financd": "financd", "Financee": "Financee", "inance": "Finance", "salse": "salse", "sale": "SALES", "it": "IT", "i": "i",
+        "ITT": "ITT", "strase": "Straße", "Markeeeting": "Markeeeting", "": "", None: None,
+    }
+    df = frame(spark, [(c, n) for n, c in enumerate(given)], "c string, n int")
+    found = {r.n: r.c for r in canonicalize_typos(df, "c", words, "w").collect()}
+    assert found == dict(enumerate(given.values()))
+    two = {r.c for r in canonicalize_typos(frame(spark, [("markeeeting",), ("salse",), ("fnanc",)], "c string"), "c", words, "w", distance=2).collect()}
+    assert two == {"Marketing", "SALES", "Finance"}
+    with pytest.raises(ValueError):
+        canonicalize_typos(df, "c", words, "w", distance=0)
+
+
+def edits_between(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("distance", [1, 2])
+def test_typos_against_all_pairs(spark, distance):
+    dice = random.Random(distance)
+    words = sorted({"".join(dice.choices("abc", k=dice.randrange(3, 8))) for _ in range(60)})
+    values = sorted({"".join(dice.choices("abcd", k=dice.randrange(2, 9))) for _ in range(200)})
+    df = frame(spark, [(v, v) for v in values], "v string, c string")
+    found = {r.v: r.c for r in canonicalize_typos(df, "c", frame(spark, [(w,) for w in words], "w string"), "w", distance).collect()}
+    for v in values:
+        near = sorted((edits_between(v, w), w) for w in words if min(len(v), len(w)) >= 4 and edits_between(v, w) <= distance)
+        best = [w for e, w in near if e == near[0][0]]
+        assert found[v] == (v if v in words or len(best) != 1 else best[0]), v
+
+
+def test_date_order_by_votes(spark):
+    rows = [("a", "25-03-2024"), ("a", "03-04-2024"), ("a", " 13-1-2024 "), ("a", "1-13-2024"), ("b", "03-25-2024"), ("b", "03-04-2024")]
+    rows += [("c", "03-04-2024"), ("c", "5-5-2024"), (None, "12-31-2024"), (None, "01-02-2024"), ("d", None), ("d", "x"), ("d", "45-01-2024")]
+    df = frame(spark, rows, "g string, d string").toDF("G.g", "d")
+    got = {r["G.g"]: tuple(r)[1:] for r in date_order_votes(df, "d", "G.g").collect()}
+    assert got == {"a": (2, 1, 1, DAY), "b": (0, 1, 1, MONTH), "c": (0, 0, 1, DAY), None: (0, 1, 1, MONTH), "d": (0, 0, 0, DAY)}
+    assert date_order_votes(df.where("`G.g` = 'c'"), "d", "G.g", MONTH).first().date_order == MONTH
+    read = normalize_dates_voted(df, "d", "G.g")
+    assert read.columns == df.columns
+    found = sorted(map(tuple, read.collect()), key=str)
+    want = [("a", "2024-03-25"), ("a", "2024-04-03"), ("a", "2024-01-13"), ("a", "2024-01-13"), ("b", "2024-03-25"), ("b", "2024-03-04")]
+    want += [("c", "2024-04-03"), ("c", "2024-05-05"), (None, "2024-12-31"), (None, "2024-01-02"), ("d", None), ("d", "x"), ("d", "45-01-2024")]
+    assert found == sorted(want, key=str)
+    whole = normalize_dates_voted(df.where("`G.g` in ('b', 'c')"), "d")
+    assert sorted(r.d for r in whole.collect()) == ["2024-03-04", "2024-03-04", "2024-03-25", "2024-05-05"]
+    with pytest.raises(ValueError):
+        date_order_votes(df, "d", default="year first")
+
+
+SNIPPETS = {
+    "duplicates": lambda t: t.drop_duplicates(),
+    "median": lambda t: t.assign(v=t["v"].fillna(t["v"].median())),
+    "by group": lambda t: t.groupby("g", as_index=False)["v"].max(),
+    "column": lambda t: t["g"].drop_duplicates(),
+}
+
+
+@pytest.mark.parametrize("name", sorted(SNIPPETS))
+def test_code_for_whole_tables_does_not_depend_on_batches(spark, name):
+    rows = [(i % 13, float(i % 7) if i % 3 else None) for i in range(401)]
+    df, code = frame(spark, rows, "g int, v double"), SNIPPETS[name]
+    results = []
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in ("7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            results.append(sorted(map(repr, apply_table_code(df, code).collect())))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = code(pd.DataFrame(rows, columns=["g", "v"]))
+    assert results[0] == results[1] and len(results[0]) == len(want)
+
+
+def test_code_for_groups(spark):
+    rows = [(i % 5 if i % 11 else None, float(i) if i % 4 else None, i) for i in range(200)]
+    df = frame(spark, rows, "a int, b double, c int").toDF("Key", "key", "n")
+    code = lambda t: t.assign(key=t["key"].fillna(t["key"].median())).sort_values("n").drop_duplicates("Key")
+    results = []
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in ("3", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            results.append(sorted(map(repr, apply_grouped(df, code, "Key").collect())))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert results[0] == results[1] and len(results[0]) == 6
+    with pytest.raises(ValueError):
+        apply_grouped(df, code, "Key", most_rows=20)
+
+
 def test_domains(spark):
     rows = [("a@x.com",), ("b@x.com",), ("c@y.com",), ("d@z",), ("ex.com",), (None,)]
     df = frame(spark, rows, "e string")

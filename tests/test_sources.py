@@ -1,6 +1,8 @@
 """Tables, logs, synthetic pairs and whole jobs."""
 
+import gzip
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,10 +12,11 @@ from burnish.operators.grade import grade
 from burnish.operators.profile import profile
 from burnish.plans.spec import CleaningSpec, amount, apply_rules, clean_table, dates
 from burnish.plans.synth import COPY, DOMAINS, ROW, clean_rows, messy_rows, numbered, write_pairs
-from burnish.plans.tasks import task_specs
+from burnish.plans.tasks import grade_file, task_specs
+from burnish.session import settle
 from burnish.functions.text import title_case
 from burnish.sources.episodes import episodes, parse_lines, read_log
-from burnish.sources.tables import ORDER, read_table, read_table_or_empty, write_table
+from burnish.sources.tables import ORDER, cells_of, heads, read_table, read_table_or_empty, write_table
 
 
 def test_read_keeps_text_as_it_is(spark, tmp_path):
@@ -159,3 +162,102 @@ def test_an_end_without_start_takes_no_other_task(spark, tmp_path):
     assert [(r.task_id, r.env, r.reward, r.rewards) for r in got] == [("a1", "e", 0.5, [0.5]), (None, None, 0.6, [0.1, 0.6])]
     steps = parse_lines(read_log(spark, str(tmp_path))).where("kind = 'STEP'").collect()
     assert [s.step for s in steps] == [3_000_000_000]
+
+
+def odd_table(seed, sep, n=250):
+    """A text table with quotes of all kinds, line breaks in cells, rows too short and too long, and blank lines."""
+    dice = random.Random(seed)
+
+    def cell():
+        text, kind = "".join(dice.choices(["a", "b", " ", '"', ",", "\n", "\r\n", "é", "x y"], k=dice.randrange(12))), dice.random()
+        if kind < 0.6:
+            return '"' + text.replace('"', '""') + '"'
+        return 'Monitor 27"' if kind < 0.7 else 'say "hi" there' if kind < 0.75 else '"abc"def' if kind < 0.8 else text.strip('",\r\n ').replace(",", "").replace("\n", "").replace("\r", "").replace('"', "")
+
+    lines = ['id,"te\nxt",num']
+    for i in range(n):
+        lines.append(",".join([str(i), cell(), cell(), *(["extra"] if dice.random() < 0.05 else [])]))
+        if dice.random() < 0.1:
+            lines.append("")
+    return (sep.join(lines) + sep * (seed % 2)).encode()
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Files are cut every few bytes."""
+    sizes = {"spark.sql.files.maxPartitionBytes": None, "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in sizes}
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield lambda size: spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("sep", ["\n", "\r\n"])
+@pytest.mark.parametrize("size", [120, 3000])
+def test_one_file_read_by_many_tasks(spark, tmp_path, small_splits, sep, size):
+    path = tmp_path / "t.csv"
+    path.write_bytes(odd_table(size, sep))
+    whole = [tuple(r) for r in read_table(spark, str(path), ordered=True, split=False).orderBy(ORDER).drop(ORDER).collect()]
+    small_splits(size)
+    assert spark.read.text(str(path)).rdd.getNumPartitions() > 1
+    split = read_table(spark, str(path), ordered=True)  # larger than a partition: split unasked
+    assert split.columns[1] == ("te\nxt") and [tuple(r) for r in split.orderBy(ORDER).drop(ORDER).collect()] == whole
+    assert "multiLine" not in split._jdf.queryExecution().executedPlan().toString()
+    if sep == "\n":
+        flagged = [sorted(map(str, read_table(spark, str(path), broken="b.b", split=s).collect())) for s in (False, True)]
+        assert flagged[0] == flagged[1]
+
+
+def test_a_record_over_many_splits(spark, tmp_path, small_splits):
+    long = "\n".join(f'line {i}, ""quoted""' for i in range(200))
+    path = tmp_path / "t.csv"
+    path.write_text(f'a,b\n1,"{long}"\n2,x\n3,"{long}"', encoding="utf-8")
+    (tmp_path / "e.csv").write_text("", encoding="utf-8")
+    want = [("1", long.replace('""', '"')), ("2", "x"), ("3", long.replace('""', '"'))]
+    small_splits(200)
+    assert [tuple(r) for r in read_table(spark, str(path), ordered=True).orderBy(ORDER).select("a", "b").collect()] == want
+    # A folder on demand, with an empty file in it; headers in other casing, by place.
+    assert sorted(tuple(r) for r in read_table(spark, str(tmp_path), split=True).collect()) == want
+    (tmp_path / "t.csv").write_text("a,A\n1,2\n" * 1 + "3,4\n" * 200)
+    both = read_table(spark, str(path))
+    assert both.columns == ["a", "A"] and both.count() == 201
+
+
+def test_heads_are_read_by_files(spark, tmp_path, monkeypatch):
+    rows = "1,2\n" * 300_000
+    for i in range(3):
+        (tmp_path / f"f{i}.csv").write_text(f'\n"a\nb",c{i // 2}\n{rows}')
+    got = heads(spark, str(tmp_path))
+    assert sorted(cells_of(h) for h in got.values()) == [["a\nb", "c0"], ["a\nb", "c0"], ["a\nb", "c1"]]
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") not in (None, str(1 << 40))
+
+
+def test_a_file_that_breaks_off_counts_as_empty(spark, tmp_path):
+    whole = "a,b\n" + "".join(f"{i},{random.Random(i).random()}\n" for i in range(40_000))
+    packed = gzip.compress(whole.encode())
+    for name, data in (("bad.csv.gz", packed[: len(packed) * 9 // 10]), ("good.csv.gz", packed)):
+        (tmp_path / name).write_bytes(data)
+    bad, good = (str(tmp_path / n) for n in ("bad.csv.gz", "good.csv.gz"))
+    assert read_table_or_empty(spark, bad, stored=True).columns == []
+    assert read_table_or_empty(spark, good, stored=True).count() == 40_000
+    scores = [tuple(grade_file(spark, given, good).first()) for given in (bad, good, None, str(tmp_path / "none.csv"))]
+    assert scores == [(0.01,) * 4, (0.99,) * 4, (0.01,) * 4, (0.01,) * 4]
+    with pytest.raises(Exception, match="(?i)divide"):  # what has other causes raises
+        settle(read_table(spark, good).selectExpr("a", "1 / (a - a) as x"), "t")
+
+
+def test_one_file_is_written(spark, tmp_path):
+    rows = [(i, f' v{i}, "q"\n', "" if i % 2 else "x") for i in range(200)]
+    df = spark.createDataFrame(rows, "_n int, v string, w string").repartition(6).toDF("_n", 'Head, "er"', "head, \"er\"")
+    path = tmp_path / "out" / "one.csv"
+    write_table(df, str(path), order="_n", one_file=True)
+    assert path.is_file() and sorted(p.name for p in path.parent.iterdir() if not p.name.endswith(".crc")) == ["one.csv"]
+    read = read_table(spark, str(path), ordered=True).orderBy(ORDER).drop(ORDER)
+    assert read.columns == df.columns[1:] and [(r[0], r[1] or "") for r in read.collect()] == [r[1:] for r in rows]
+    with pytest.raises(FileExistsError):
+        write_table(df, str(path), one_file=True)
+    write_table(df.limit(0), str(path), mode="overwrite", one_file=True)
+    assert read_table(spark, str(path)).columns == df.columns and path.read_text().count("\n") == 1
+    write_table(df, str(path), mode="ignore", one_file=True)
+    assert path.read_text().count("\n") == 1
