@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,26 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from burnish.session import shipped
+
 # Rows and bytes of one Arrow batch: keeps a Python worker small when texts are long.
 BATCH_ROWS = 512
 BATCH_BYTES = 8 << 20
 _SLOTS = 21  # bits of the first-try table of a gram lookup
 
 
-_SHIPPED: set[str] = set()
-
-
-def shipped(spark: SparkSession) -> SparkSession:
-    """Send this package to the Python workers, which need not find it where the driver does."""
-    package = Path(__file__).resolve().parents[1]
-    context = spark.sparkContext
-    if context.applicationId not in _SHIPPED and package.is_dir():
-        folder = tempfile.mkdtemp(prefix="burnish-code-")  # the driver serves the file; executors fetch it
-        context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
-        _SHIPPED.add(context.applicationId)
-    return spark
-
-
 def bounded_batches(spark: SparkSession) -> SparkSession:
     """Limit what one Arrow batch holds, so that very long texts do not add up; ship the code."""
     shipped(spark)
