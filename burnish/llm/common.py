@@ -16,6 +16,7 @@ from burnish.session import shipped
 # Rows and bytes of one Arrow batch: keeps a Python worker small when texts are long.
 BATCH_ROWS = 512
 BATCH_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20  # of the texts that one task holds
 _SLOTS = 21  # bits of the first-try table of a gram lookup
 
 
@@ -50,9 +51,11 @@ def bucket_of(id_column: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit(""))) % parts
 
 
-def blocks_for(df: DataFrame, least: int = 12) -> int:
-    """Number of blocks for a shuffle of whole texts: follows the session's shuffle partitions."""
-    return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def blocks_for(texts: DataFrame, least: int = 12) -> int:
+    """Number of blocks for a shuffle of whole texts: enough that one holds about ``BLOCK_BYTES``, however much there is,
+    and no fewer than the session's shuffle partitions."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(least, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
 
 
 def texts(column: pa.Array) -> list[str]:

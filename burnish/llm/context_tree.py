@@ -103,8 +103,8 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
     if not 1 <= depth <= DEPTH:
         raise ValueError(f"depth {depth}: a byte and its context are packed in 32 bits, so 1 to {DEPTH}")
     bounded_batches(docs.sparkSession)
-    parts = blocks_for(docs)
     rows = only(docs, doc_id=doc_id, text=text)
+    parts = blocks_for(rows)
     block = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
     dealt = rows.select(block.alias("block"), "doc_id", held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = dealt.repartition(parts, "block")

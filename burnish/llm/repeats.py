@@ -43,6 +43,7 @@ from burnish.llm.common import blocks_for, bounded_batches, mixed, only, slices,
 LENGTH = 100
 WINDOW = 64  # grams among which the least is chosen; a span holds as many strings at most
 CORE = 8  # neighbouring strings of one part of a frequent anchor
+PIECE_BYTES = 4096  # of a text, for ranges of ids with as many bytes each
 FREQUENT = 256  # spans of an anchor from which on it is split
 _CHUNK = 1 << 20
 _ALL, _ASK, _SPLIT, _MASK = range(4)
@@ -264,10 +265,13 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id",
     bounded_batches(docs.sparkSession)
     if length < WINDOW + 8:
         raise ValueError(f"strings of at least {WINDOW + 8} bytes")
-    parts = blocks_for(docs)
     rows = only(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    # Blocks are ranges of ids: a lower block's documents come first.
-    cuts = rows.select(F.col("doc_id").cast("double").alias("at")).approxQuantile("at", [i / parts for i in range(1, parts)], 0.5 / parts)
+    parts = blocks_for(rows)
+    # Blocks are ranges of ids: a lower block's documents come first. An id counts as often as its text has pieces, so
+    # that ranges hold about as many bytes, whatever the texts' lengths.
+    pieces = F.sequence(F.lit(0), F.floor(F.octet_length("text") / PIECE_BYTES).cast("int"))
+    weighed = rows.select(F.col("doc_id").cast("double").alias("at"), F.explode(pieces))
+    cuts = weighed.approxQuantile("at", [i / parts for i in range(1, parts)], 0.5 / parts)
     splits = [-math.inf, *sorted(set(cuts) or {0.0}), math.inf]
     ranges = Bucketizer(inputCol="at", outputCol="range", splits=splits, handleInvalid="keep")
     dealt = ranges.transform(rows.withColumn("at", F.coalesce(F.col("doc_id").cast("double"), F.lit(math.nan))))

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from burnish.llm import repeats
+from burnish.llm import common, repeats
 from burnish.llm.repeats import deduplicated, refined, repeated
 
 
@@ -84,3 +84,16 @@ def test_single_span_is_not_repeated():
 def test_odd_rows(spark, odd_docs, no_docs):
     assert deduplicated(odd_docs).count() == 9
     assert deduplicated(no_docs).count() == 0
+
+
+def test_blocks_hold_bytes_not_rows(spark, monkeypatch):
+    """More text gives more blocks, and a few long texts among many short ones do not share one."""
+    monkeypatch.setattr(common, "BLOCK_BYTES", 50_000)
+    monkeypatch.setattr(repeats, "PIECE_BYTES", 500)
+    draw = random.Random(6)
+    rows = [(i, "".join(draw.choices("abcdefgh ", k=60_000 if i % 50 == 0 else 40))) for i in range(600)]
+    rows += [(700 + i, rows[50 * i][1][:5000]) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert common.blocks_for(docs) > 12
+    found = sorted((r[0], *r[1:5]) for r in deduplicated(docs).collect())
+    assert found == brute(rows, 100)
