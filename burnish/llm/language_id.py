@@ -15,7 +15,8 @@ The score is the posterior of the best language among the learned ones, all equa
 
 Defined results: ``und`` and score 0 for a null or empty text, one without a letter, or if nothing was
 learned. Equal code lengths go to the language first in the alphabet. Documents with a null ``lang`` or
-text teach nothing. Rows repeat as given; other columns are ignored, whatever their names.
+text teach nothing. ``ValueError`` for more than ``LANGUAGES`` languages. Rows repeat as given; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from burnish.llm.common import Lookup, bounded_batches, grams, only, result, sli
 UNDETERMINED = "und"
 ORDER = 3
 SAMPLE_BYTES = 6 << 20  # text a language is learned from, about
+LANGUAGES = 1000  # learned together, at most
 PASSAGE_BYTES = 4 << 10  # of a passage; fewer for small samples, so that a sample has a thousand at least
 _CHUNK = 1 << 20
 
@@ -131,7 +133,9 @@ def learn(
     """
     bounded_batches(docs.sparkSession)
     own = only(docs, text=text, lang=lang, doc_id=doc_id).where("text is not null and lang is not null")
-    sizes = {r[0]: r[1] or 0 for r in own.groupBy("lang").agg(F.sum(F.octet_length("text"))).collect()}
+    sizes = {r[0]: r[1] or 0 for r in own.groupBy("lang").agg(F.sum(F.octet_length("text"))).limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages: the trees of all are broadcast together")
     large = {name: sample_bytes / size for name, size in sizes.items() if size > sample_bytes}
     step = max(order + 1, min(PASSAGE_BYTES, sample_bytes >> 10))
     drawn = F.lit(None).cast("array<int>")

@@ -3,7 +3,9 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
+from burnish.llm import language_id
 from burnish.llm.common import bucket_of, grams, utf8
 from burnish.llm.language_id import Trees, drawn_grams, identified, learn
 
@@ -101,3 +103,11 @@ def test_odd_rows(spark, odd_docs, no_docs):
     nothing = identified(odd_docs, learn(no_docs)).collect()
     assert {r["lang_pred"] for r in nothing} == {"und"}
     assert identified(no_docs, learn(no_docs)).count() == 0
+
+
+def test_more_languages_than_can_be_broadcast_raise(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGES", 5)
+    docs = spark.range(30).selectExpr("id as doc_id", "concat('text ', id) as text", "string(id % 6) as lang")
+    with pytest.raises(ValueError):
+        learn(docs)
+    assert learn(docs.where("lang <> '5'")).languages == list("01234")
