@@ -28,17 +28,18 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
 
 
-def _whole(docs: DataFrame) -> DataFrame:
-    """Each document as one column, handed through by an operator, beside its text."""
-    plain = _plain(docs)
-    return plain.select(F.struct(*plain.columns).alias("row"), F.col(f"c{docs.columns.index('text')}").alias("text"))
+def _whole(docs: DataFrame, but_text: bool = False) -> DataFrame:
+    """Each document as one column, handed through by an operator, beside its text; without it where a new one comes."""
+    plain, text = _plain(docs), f"c{docs.columns.index('text')}"
+    handed = [c for c in plain.columns if c != text or not but_text]
+    return plain.select(F.struct(*handed).alias("row"), F.col(text).alias("text"))
 
 
 def _columns(found: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
     """The columns of the documents from what an operator handed through."""
-    handed = (F.col("doc_id").getField(f"c{i}") for i in range(len(docs.columns)))
     places = {docs.columns.index(c): column for c, column in new.items() if c in docs.columns}
-    return found.select(*(places.get(i, column).alias(docs.columns[i]) for i, column in enumerate(handed)))
+    cells = [places[i] if i in places else F.col("doc_id").getField(f"c{i}") for i in range(len(docs.columns))]
+    return found.select(*(cell.alias(name) for cell, name in zip(cells, docs.columns, strict=True)))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +67,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind; ``n_chars`` follows the text."""
-    found = pii.redacted(_whole(docs), pii.learn(docs), doc_id="row")
+    found = pii.redacted(_whole(docs, but_text=True), pii.learn(docs), doc_id="row")
     size = F.length("redacted").cast("long")
     given = F.col("doc_id").getField(f"c{docs.columns.index('n_chars')}") if "n_chars" in docs.columns else size
     return _columns(found, docs, text=F.col("redacted"), n_chars=F.coalesce(size, given))
