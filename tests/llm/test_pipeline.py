@@ -49,6 +49,6 @@ def test_odd_rows(spark, sf_dir, odd_docs, no_docs):
 
 
 def test_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
-    assert len(QUERIES) == 10 and set(ORACLES) <= set(QUERIES)
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
+    assert len(QUERIES) == 13 and set(ORACLES) <= set(QUERIES)
     assert corpus_pipeline.ORACLE_SQL is None
