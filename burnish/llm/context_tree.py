@@ -8,8 +8,8 @@ product of the mixed predictions of its bits. Beside it stands a base score by s
 
 Whole texts are dealt into blocks once. Each block counts its distinct words and grams (a byte with its
 context). Totals per word and per gram are sums over blocks; the tree is worked out in parts, one per
-nearest context byte, joined at the root; then each block gets the totals of its own words and the
-predictions for its own grams, and scores its texts. So what is gathered grows with the input, no task holds
+two nearest context bytes; then each block gets the totals of its own words, the predictions for its own
+grams and the nodes of one byte of context (65,280 at most), with which it joins the parts and scores its texts. So what is gathered grows with the input, no task holds
 the vocabulary or the model, and a frequent word or gram has one row per block, not per text.
 
 Defined results: a null text is empty: one token (its end), probability 1 of no bytes. Documents with a null
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from burnish.llm.common import Lookup, blocks_for, bounded_batches, grams, only, result, slices, utf8
 
-DEPTH = 3  # bytes of context; a subtree below one byte has at most 2**24 grams
+DEPTH = 3  # bytes of context; a subtree below two bytes has at most 2**16 grams
 _CHUNK = 1 << 20
 _WORD, _GRAM, _ROOT, _TOTAL = range(4)
 _LOG2 = float(np.log(2))
@@ -57,12 +57,13 @@ def stopped(own: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return weighted, np.exp(own - _LOG2 - weighted)
 
 
-def subtree(keys: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Part of the tree below one nearest context byte.
+def subtree(keys: np.ndarray, counts: np.ndarray, top: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Part of the tree below the ``top`` nearest context bytes.
 
-    ``keys``: grams as numbers, first byte highest, all with the same last byte but one; ``counts``: how often
-    each was learned. Returns the mixed probability of each of a gram's eight bits from depth 1 on, the bit
-    nodes at depth 1, and for those zeros, ones and the weighted log probability.
+    ``keys``: grams as numbers, first byte highest, all with the same ``top`` bytes before the last; ``counts``:
+    how often each was learned. Returns the mixed probability of each of a gram's eight bits from depth ``top``
+    on, the nodes at that depth (nearest context byte above, bits before below), and for those zeros, ones and
+    the weighted log probability.
     """
     keys = keys.astype(np.uint64)
     symbol = keys & np.uint64(0xFF)
@@ -71,14 +72,14 @@ def subtree(keys: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarra
     bit = (symbol[:, None] >> (np.uint64(7) - shifts) & np.uint64(1)).astype(bool)
     weights = np.repeat(counts.astype(float), 8)
     levels = []
-    for d in range(1, depth + 1):
+    for d in range(top, depth + 1):
         context = keys >> np.uint64(8) & np.uint64((1 << 8 * d) - 1)
         nodes, at = np.unique((context[:, None] << np.uint64(8) | node_of).ravel(), return_inverse=True)
         ones = np.bincount(at, weights * bit.ravel(), len(nodes))
         levels.append((nodes, at, np.bincount(at, weights, len(nodes)) - ones, ones))
     mixed = below = None
-    for d in range(depth, 0, -1):
-        nodes, at, zeros, ones = levels[d - 1]
+    for d in range(depth, top - 1, -1):
+        nodes, at, zeros, ones = levels[d - top]
         own = estimated(zeros, ones)
         guess = ((np.where(bit.ravel(), ones[at], zeros[at]) + 0.5) / (zeros + ones + 1)[at]).reshape(bit.shape)
         if below is None:
@@ -91,7 +92,7 @@ def subtree(keys: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarra
             mixed = weight * guess + (1 - weight) * mixed
         below = nodes, weighted
     nodes, _, zeros, ones = levels[0]
-    return mixed, (nodes & np.uint64(0xFF)).astype(np.int64), np.stack([zeros, ones, weighted])
+    return mixed, (nodes & np.uint64(0xFFFF)).astype(np.uint16), np.stack([zeros, ones, weighted])
 
 
 def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
@@ -152,15 +153,17 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
     )
     totals = totals.where("blocks > 0")  # true of all: keeps the readers' columns, and so their shuffle, the same
 
+    top = min(depth, 2)
+
     def grow(part: pa.Table) -> pa.Table:
         keys = np.frombuffer(b"".join(part["key"].to_pylist()), ">u4").astype(np.uint32)
         order = np.argsort(keys)
         keys = keys[order]
-        mixed, nodes, stats = subtree(keys, part["total"].to_numpy()[order], depth)
+        mixed, nodes, stats = subtree(keys, part["total"].to_numpy()[order], top, depth)
         bits = mixed.astype("<f4").tobytes()
-        packed = keys.astype(">u4").tobytes()
+        packed, named = keys.astype(">u4").tobytes(), nodes.astype(">u2").tobytes()
         n, m = len(keys), len(nodes)
-        values = [packed[i : i + 4] for i in range(0, 4 * n, 4)] + [bytes([int(u)]) for u in nodes]
+        values = [packed[i : i + 4] for i in range(0, 4 * n, 4)] + [named[i : i + 2] for i in range(0, 2 * m, 2)]
         stats = np.concatenate([np.zeros((3, n)), stats], axis=1)
         return pa.table(
             {
@@ -171,7 +174,7 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
             }
         )
 
-    nearest = F.substring("key", 3, 1) if depth == 3 else F.lit(0)
+    nearest = F.substring("key", 4 - top, top)
     tree = totals.where(F.col("what") == _GRAM).select(nearest.alias("nearest"), "key", "total")
     tree = tree.groupBy("nearest").applyInArrow(grow, "kind int, key binary, x double, y double, z double, bits binary")
     none, every = F.lit(None), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("block")
@@ -273,22 +276,33 @@ def _word_counts(part: pa.Table, answers: pa.Table) -> dict[bytes, int]:
 
 
 def _bit_costs(roots: pa.Table, known: pa.Table, depth: int):
-    """Function from grams to the log10 probability of their last byte."""
-    zeros, ones, below = np.zeros(256), np.zeros(256), np.zeros(256)
-    at = np.asarray([k[0] for k in roots["key"].to_pylist()], np.int64)
-    for column, name in ((zeros, "x"), (ones, "y"), (below, "z")):
+    """Function from grams to the log10 probability of their last byte.
+
+    ``roots``: nodes with one byte of context, with what the parts below them hold; the nodes without context
+    are their sums.
+    """
+    at = np.frombuffer(b"".join(roots["key"].to_pylist()), ">u2").astype(np.int64)
+    zeros1, ones1, weighted1, weight1 = np.zeros((4, 1 << 16))
+    for column, name in ((zeros1, "x"), (ones1, "y"), (weighted1, "z")):
         column[at] = roots[name].to_numpy()
+    if depth > 1:
+        weighted1[at], weight1[at] = stopped(estimated(zeros1[at], ones1[at]), weighted1[at])
+    zeros, ones, below = (column.reshape(256, 256).sum(axis=0) for column in (zeros1, ones1, weighted1))
     _, weight = stopped(estimated(zeros, ones), below)
     keys = np.frombuffer(b"".join(known["key"].to_pylist()), ">u4").astype(np.uint32)
     order = np.argsort(keys)
     keys = keys[order]
     mixed = np.frombuffer(b"".join(known["bits"].to_pylist()), "<f4").reshape(-1, 8).astype(float)[order]
     symbol = (keys & np.uint32(0xFF)).astype(np.int64)
+    byte = (keys & np.uint32(0xFF00)).astype(np.int64)
     costs = np.zeros(len(keys))
     for k in range(8):
         node = (1 << k) | (symbol >> (8 - k))
         bit = (symbol >> (7 - k)) & 1
         guess = (np.where(bit, ones[node], zeros[node]) + 0.5) / (zeros[node] + ones[node] + 1)
-        costs += np.log10(weight[node] * guess + (1 - weight[node]) * mixed[:, k])
+        node1 = byte | node
+        guess1 = (np.where(bit, ones1[node1], zeros1[node1]) + 0.5) / (zeros1[node1] + ones1[node1] + 1)
+        mixed1 = weight1[node1] * guess1 + (1 - weight1[node1]) * mixed[:, k]
+        costs += np.log10(weight[node] * guess + (1 - weight[node]) * mixed1)
     lookup = Lookup(keys)
     return lambda wanted: costs[lookup(wanted)]
