@@ -6,8 +6,11 @@ learned: their place in the rendering is the mask.
 
 A rendering comes as one row per turn, in order, with its offsets in the whole: concatenated by
 ``position`` the segments are the rendered text. So no conversation, however long, meets in one row or
-one task. Positions and offsets come from windows over short stretches of turns, and from sums per
-stretch.
+one task. All turns are cut into ranges of their order, sorted, numbered and written; positions and offsets
+come from windows over short stretches of these numbers, and from sums per stretch. So a conversation whose
+turns have no number, or all the same, is cut like any other. Ranges go by the first ``PREFIX`` characters of a
+text, as the driver sees a sample of what they go by: only longer texts that share these, of one speaker
+and one turn number, always lie in the same range.
 
 Defined results: turns go by number, null first, then by speaker and text, so that equal turns have an
 order; repeated rows are turns of their own. A null or blank role is the speaker ``unknown``. A null text is
@@ -23,9 +26,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from burnish.llm.common import only
+from burnish.session import settle
 
 SYSTEM, ASSISTANT, UNKNOWN = "system", "assistant", "unknown"
-STRETCH = 256  # turn numbers of one window
+STRETCH_BITS = 8  # a window has two to that power of turns at most
+PREFIX = 256  # characters of a text by which ranges are cut
 # Fixed values of the chat format.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 BREAKS = r"[\n\x0B\f\r\x{85}\x{2028}\x{2029}]+"
@@ -44,9 +49,9 @@ def rotated(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role
     speaker = F.coalesce(F.nullif(F.trim("role"), F.lit("")), F.lit(UNKNOWN))
     said = F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |"))
     rows = rows.select("conv_id", "turn", speaker.alias("speaker"), said.alias("said"))
-    rows = rows.withColumn("stretch", F.floor(F.col("turn") / STRETCH)).withColumn("size", F.length("said"))
-    voices = rows.where(F.col("speaker") != SYSTEM).select("conv_id", F.col("speaker").alias("perspective")).distinct()
-    same = rows["conv_id"].eqNullSafe(voices["conv_id"])
+    rows = settle(_in_order(rows), "turns")
+    rows = rows.withColumn("stretch", F.shiftright("slot", STRETCH_BITS)).withColumn("size", F.length("said"))
+    voices = rows.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("of"), F.col("speaker").alias("perspective")).distinct()
     own = F.col("speaker") == F.col("perspective")
     named = F.regexp_replace(F.replace("speaker", F.lit("<|"), F.lit("< |")), BREAKS, " ")
     head = (
@@ -54,24 +59,24 @@ def rotated(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role
         .when(F.col("speaker") == SYSTEM, f"{OPEN}{SYSTEM}\n")
         .otherwise(F.concat(F.lit(f"{OPEN}user name="), named, F.lit("\n")))
     )
-    seen = rows.join(voices, same).drop(voices["conv_id"]).withColumn("head", head)
+    seen = rows.join(voices, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of").withColumn("head", head)
     seen = seen.withColumn("length", F.length("head") + F.col("size") + len(CLOSE))
 
     stretches = seen.groupBy("conv_id", "perspective", "stretch").agg(F.sum("length").alias("chars"), F.count("*").alias("turns"))
-    before = Window.partitionBy("conv_id", "perspective").orderBy(F.asc_nulls_first("stretch")).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("conv_id", "perspective").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     stretches = stretches.select(
         *(F.col(c).alias(f"{c}_") for c in ("conv_id", "perspective", "stretch")),
         F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("chars_before"),
         F.coalesce(F.sum("turns").over(before), F.lit(0)).alias("turns_before"),
     )
-    within = Window.partitionBy("conv_id", "perspective", "stretch").orderBy(F.asc_nulls_first("turn"), "speaker", "said")
+    within = Window.partitionBy("conv_id", "perspective", "stretch").orderBy("slot")
     seen = seen.withColumn("place", F.row_number().over(within))
     seen = seen.withColumn("chars", F.sum("length").over(within.rowsBetween(Window.unboundedPreceding, 0)))
     placed = seen.join(
         stretches,
         seen["conv_id"].eqNullSafe(stretches["conv_id_"])
         & (seen["perspective"] == stretches["perspective_"])
-        & seen["stretch"].eqNullSafe(stretches["stretch_"]),
+        & (seen["stretch"] == stretches["stretch_"]),
     )
     end = F.col("chars_before") + F.col("chars")
     start = end - F.col("length")
@@ -91,6 +96,23 @@ def rotated(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role
     )
 
 
+def _in_order(rows: DataFrame) -> DataFrame:
+    """The turns in ranges of conversation, number, speaker and text, numbered within each: ``slot``.
+
+    Turns alike in all four lie in any order, and in several ranges if they are many: behind a short text, which
+    ``PREFIX`` holds whole, ranges go by the place in the input.
+    """
+    long = F.length("said") > PREFIX
+    keys = {
+        "begins": F.substring("said", 1, PREFIX),
+        "long": long,
+        "place": F.when(~long, F.monotonically_increasing_id()),
+    }
+    by = ["conv_id", "turn", "speaker", *keys]
+    placed = rows.withColumns(keys).repartitionByRange(*by).sortWithinPartitions(*by, "said")
+    return placed.withColumn("slot", F.monotonically_increasing_id()).drop(*keys)
+
+
 ORACLE = f"""
 WITH said AS (
   SELECT conv_id, turn, coalesce(nullif(trim(role), ''), '{UNKNOWN}') AS speaker,

@@ -1,6 +1,9 @@
 import re
 
-from burnish.llm.chat import rotated
+import pytest
+from pyspark.sql import functions as F
+
+from burnish.llm.chat import _in_order, rotated
 
 
 def named(who):
@@ -39,6 +42,28 @@ def test_against_brute_force(spark):
     assert rotated(turns.where("false")).count() == 0
 
 
+@pytest.fixture
+def many_ranges(spark):
+    """Small ranges stay apart."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    yield spark
+    spark.conf.set(name, before)
+
+
+def test_turns_without_a_number_or_all_alike_are_cut(many_ranges):
+    rows = [(1, None, ["ann", "bob"][n % 2], f"text {n * 37 % 1000}") for n in range(1500)]  # repeats among them
+    rows += [(1, 7, "ann", "alike")] * 900
+    rows += [(2, 3, "bob", "a" * 256 + "b" * (n % 5)) for n in range(40)] + [(2, 3, "bob", "a" * 255 + "Z"), (2, 3, "bob", "a" * 255)]
+    turns = many_ranges.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert sorted(map(tuple, rotated(turns).collect()), key=str) == sorted(brute(rows), key=str)
+    ordered = _in_order(turns.selectExpr("conv_id", "turn", "role as speaker", "text as said"))
+    for alike in ("turn is null", "said = 'alike'"):
+        sizes = [r["count"] for r in ordered.where(alike).groupBy(F.shiftright("slot", 33)).count().collect()]
+        assert len(sizes) > 1 and max(sizes) < 900
+
+
 def test_mask_points_at_the_words(spark):
     rows = [(1, 0, "user", "question"), (1, 1, "assistant", "answer")]
     found = rotated(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
