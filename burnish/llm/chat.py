@@ -50,7 +50,6 @@ def rotated(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role
     said = F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |"))
     rows = rows.select("conv_id", "turn", speaker.alias("speaker"), said.alias("said"))
     rows = settle(_in_order(rows), "turns")
-    rows = rows.withColumn("stretch", F.shiftright("slot", STRETCH_BITS)).withColumn("size", F.length("said"))
     voices = rows.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("of"), F.col("speaker").alias("perspective")).distinct()
     own = F.col("speaker") == F.col("perspective")
     named = F.regexp_replace(F.replace("speaker", F.lit("<|"), F.lit("< |")), BREAKS, " ")
@@ -59,8 +58,11 @@ def rotated(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role
         .when(F.col("speaker") == SYSTEM, f"{OPEN}{SYSTEM}\n")
         .otherwise(F.concat(F.lit(f"{OPEN}user name="), named, F.lit("\n")))
     )
-    seen = rows.join(voices, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of").withColumn("head", head)
-    seen = seen.withColumn("length", F.length("head") + F.col("size") + len(CLOSE))
+    # Places take lengths alone; the texts come to them at the end.
+    lengths = rows.select("conv_id", "slot", "speaker", F.length("said").alias("size"))
+    seen = lengths.join(voices, F.col("conv_id").eqNullSafe(F.col("of")))
+    length = F.length(head) + F.col("size") + len(CLOSE)
+    seen = seen.select("conv_id", "perspective", "slot", F.shiftright("slot", STRETCH_BITS).alias("stretch"), length.alias("length"))
 
     stretches = seen.groupBy("conv_id", "perspective", "stretch").agg(F.sum("length").alias("chars"), F.count("*").alias("turns"))
     before = Window.partitionBy("conv_id", "perspective").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
@@ -78,20 +80,26 @@ def rotated(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role
         & (seen["perspective"] == stretches["perspective_"])
         & (seen["stretch"] == stretches["stretch_"]),
     )
-    end = F.col("chars_before") + F.col("chars")
-    start = end - F.col("length")
-    return placed.select(
-        "conv_id",
+    placed = placed.select(
+        F.col("slot").alias("at"),
         "perspective",
         (F.col("turns_before") + F.col("place")).alias("position"),
+        (F.col("chars_before") + F.col("chars") - F.col("length")).alias("start"),
+        (F.col("chars_before") + F.col("chars")).alias("end"),
+    )
+    start, end = F.col("start"), F.col("end")
+    return rows.join(placed, F.col("slot") == F.col("at")).select(
+        "conv_id",
+        "perspective",
+        "position",
         "turn",
         F.when(own, ASSISTANT).when(F.col("speaker") == SYSTEM, SYSTEM).otherwise("user").alias("role"),
         F.when(~own & (F.col("speaker") != SYSTEM), named).alias("name"),
-        F.concat("head", "said", F.lit(CLOSE)).alias("segment"),
+        F.concat(head, "said", F.lit(CLOSE)).alias("segment"),
         start.alias("char_start"),
         end.alias("char_end"),
         own.alias("learned"),
-        F.when(own, start + F.length("head")).otherwise(start).alias("mask_start"),
+        F.when(own, start + F.length(head)).otherwise(start).alias("mask_start"),
         F.when(own, end - 1).otherwise(start).alias("mask_end"),
     )
 
