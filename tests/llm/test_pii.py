@@ -139,3 +139,41 @@ def test_added_spans_are_those_of_a_plain_choice():
         assert sorted(forest.added(found)) == sorted(kept)
         added += len(kept)
     assert added > 20
+
+
+def proposals_of(rows):
+    found = [search(text or "", lessons=True) for _, text in rows]
+    every = [(row, label) for f in found for row, label in zip(f.rows, f.labels, strict=True) if label >= 0]
+    return [row for row, _ in every], [label for _, label in every]
+
+
+def test_sums_over_all_lessons_give_the_trees_of_a_plain_fit(spark, monkeypatch):
+    monkeypatch.setattr("burnish.llm.pii.CELLS", 100)  # several tasks
+    rows, labels = proposals_of(lessons())
+    lesson = [([float(x) for x in row], label, i) for i, (row, label) in enumerate(zip(rows, labels, strict=True))]
+    got = Forest().fit_all(spark.createDataFrame(lesson, "row array<double>, label int, drawn long").repartition(5))
+    plain = Forest().fit(np.asarray(rows, float), np.asarray(labels))
+    assert all(np.array_equal(a, b) for a, b in zip(got.edges, plain.edges, strict=True))
+    assert np.allclose(got.score(np.asarray(rows, float)), plain.score(np.asarray(rows, float)))
+    assert np.allclose(list(got.thresholds.values()), list(plain.thresholds.values())) and np.isfinite(got.thresholds[2])
+
+
+def test_all_proposals_are_lessons_however_many(spark, monkeypatch):
+    monkeypatch.setattr("burnish.llm.pii.EXAMPLES", 50)
+    monkeypatch.setattr(Forest, "fit", lambda *given: 1 / 0)
+    seen, whole = [], Forest.fit_all
+    monkeypatch.setattr(Forest, "fit_all", lambda self, df: seen.append(df.groupBy("label").count().collect()) or whole(self, df))
+    rows, number = lessons(), card(random.Random(9))
+    rows += [(1000, f"call +1 (366) 555-9807 {number} now"), (1001, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in found_spans(docs, learn(docs)).collect()}
+    assert found[1000] == f"card:23:{23 + len(number)},phone:5:22"
+    _, labels = proposals_of(rows)
+    assert dict(seen[0]) == {0: labels.count(0), 1: labels.count(1)}
+
+
+def test_all_lessons_of_one_kind_or_too_few(spark):
+    none = [0.0] * len(FEATURES)
+    for lesson in ([], [(none, 1, 0)], [(none, 1, i) for i in range(50)], [(none, i % 2, i) for i in range(8)]):
+        forest = Forest().fit_all(spark.createDataFrame(lesson, "row array<double>, label int, drawn long"))
+        assert not forest.trees and set(forest.thresholds.values()) == {np.inf}
