@@ -2,6 +2,7 @@
 
 import gzip
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from burnish.operators.grade import Sheets, column_score, grade, grade_sheets
 from burnish.plans.tasks import clean_task, grade_file, grade_suite, task_specs
 from burnish.sources.catalog import Task, available_tasks, task_catalog
-from burnish.sources.tables import ORDER, read_table
+from burnish.sources.tables import ORDER, read_sheets, read_table
 
 HEADERS = ["id", "name", "city", "note"]
 ROWS = [("1", "Ann", "Rome", ""), ("2", "Bob", "Oslo", "x"), ("3", "Cy", "Bonn", ""), ("4", "Di", "Kyiv", "y")]
@@ -197,3 +198,30 @@ def test_a_broken_file_costs_its_own_task_only(spark, tmp_path):
         (tmp_path / "mixed_messy.csv" / name).write_text(f"{head}\n1,x\n")
     rows = {r.task: r.reward for r in grade_suite(spark, str(tmp_path), tasks).collect()}
     assert rows == {"good": 0.99, "bad": 0.01, "mixed": 0.01}
+
+
+@pytest.fixture
+def no_free_broadcasts(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _planned(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_rows_of_a_task_are_not_brought_together_for_its_plan(spark, no_free_broadcasts):
+    tables = {t: spark.range(20).selectExpr("cast(id as string) as id", f"'{t}' as x") for t in ("a", "b")}
+    graded = grade_sheets(Sheets.of(tables), Sheets.of(tables), list(tables))
+    assert not re.search(r"SortMergeJoin \[task#\d+\], \[of#\d+\], Inner", _planned(graded))
+    assert {r.task: r.reward for r in graded.collect()} == {"a": 0.99, "b": 0.99}
+
+
+def test_rows_of_a_file_are_not_brought_together_for_its_task(spark, no_free_broadcasts, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.csv").write_text("k,v\n1,2\n3,4\n")
+    sheets = read_sheets(spark, {name: str(tmp_path / f"{name}.csv") for name in "ab"})
+    assert "SortMergeJoin" not in _planned(sheets.rows)
+    assert sorted((r.task, *r.cells) for r in sheets.rows.collect()) == [(t, *c) for t in "ab" for c in ("12", "34")]
