@@ -284,7 +284,7 @@ def read_sheets(spark: SparkSession, paths: Mapping[str, str]) -> Sheets:
     schema = StructType([StructField(f"c{i}", StringType()) for i in range(width)])
     table = with_file_order(spark.read.options(**_DIALECT, multiLine=True).schema(schema).csv(list(paths.values())))
     whose = spark.createDataFrame([(f, t) for f, t in task_of.items()], "of string, task string")
-    rows = table.join(whose, F.col(f"{ORDER}.file") == F.col("of"))
+    rows = table.join(F.broadcast(whose), F.col(f"{ORDER}.file") == F.col("of"))  # a row per file
     return Sheets(rows.select("task", F.array(*schema.names).alias("cells"), F.col(ORDER).alias("place")), headers)
 
 
