@@ -457,3 +457,25 @@ def test_reports(spark):
     assert tuple(summary(df).first()) == (3, pytest.approx(0.37), 3.0)
     assert [tuple(r) for r in summary_by_level(df).collect()] == [("easy", pytest.approx(0.405), 2), ("hard", 0.3, 1)]
     assert [r[0] for r in df.orderBy("episode").select(outcome("reward")).collect()] == ["SUCCESS", "FAILED", "PARTIAL"]
+
+
+def test_code_for_groups_is_handed_many_groups_at_once_and_sees_each_as_it_is(spark):
+    big = 2**60 + 1
+    rows = [(n % 50 if n % 50 else None, big + n if n % 7 else None, n % 2 == 0 if n % 50 != 3 else None, None if n % 50 == 5 else f"x{n % 3}") for n in range(400)]
+    df = frame(spark, rows, "k int, n long, b boolean, s string")
+
+    def code(rows):
+        kinds = ",".join(map(str, rows.dtypes))
+        return pd.DataFrame({"k": rows["k"], "n": rows["n"], "kinds": kinds, "s": rows["s"], "m": len(rows), "i": rows.index})
+
+    schema = "k int, n long, kinds string, s string, m long, i long"
+    plain = df.groupBy("k").applyInPandas(code, schema)
+    got = apply_grouped(df, code, "k", schema)
+    key = lambda r: tuple(map(repr, r))
+    assert sorted(map(key, got.select("k", "n", "kinds", "s", "m").collect())) == sorted(map(key, plain.select("k", "n", "kinds", "s", "m").collect()))
+    calls = got.groupBy("k", "i").count().where("count > 1").count()
+    assert calls == 0
+    tasks_of = got._jdf.queryExecution().sparkPlan().toString()
+    assert "FlatMapGroupsInPandas" in tasks_of and "_bucket" in tasks_of
+    assert apply_grouped(df.where("false"), code, "k", schema).count() == 0
+    assert apply_grouped(df, lambda rows: rows[:0], "s").count() == 0
