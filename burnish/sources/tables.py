@@ -34,7 +34,7 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
 def heads(spark: SparkSession, path: str | Sequence[str]) -> dict[str, str]:
     """The first record of every file, as it is written, by the file's full path; files without one are left out.
 
-    One task per file, which stops reading after that record.
+    One task per file, which stops reading after that record; lines go to it one by one, so that few are read ahead.
     """
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,7 +51,11 @@ def heads(spark: SparkSession, path: str | Sequence[str]) -> dict[str, str]:
                     return
 
     shipped(spark)
-    whole = {"spark.sql.files.maxPartitionBytes": str(1 << 40), "spark.sql.files.openCostInBytes": str(1 << 40)}
+    whole = {
+        "spark.sql.files.maxPartitionBytes": str(1 << 40),
+        "spark.sql.files.openCostInBytes": str(1 << 40),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1",
+    }
     before = {k: spark.conf.get(k) for k in whole}
     lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"))
     try:

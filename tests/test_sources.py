@@ -262,3 +262,22 @@ def test_one_file_is_written(spark, tmp_path):
     assert read_table(spark, str(path)).columns == df.columns and path.read_text().count("\n") == 1
     write_table(df, str(path), mode="ignore", one_file=True)
     assert path.read_text().count("\n") == 1
+
+
+def test_a_look_at_the_header_takes_few_lines_of_a_large_file(spark, tmp_path, monkeypatch):
+    (tmp_path / "t.csv").write_text('"a\nb",c\n' + "1,2\n" * 30_000)
+    frame = type(spark.range(1))
+    mapped = frame.mapInArrow
+
+    def watched(self, f, schema):
+        def few(batches):
+            for batch in batches:
+                assert batch.num_rows < 100
+                yield batch
+
+        return mapped(self, lambda batches: f(few(batches)), schema)
+
+    monkeypatch.setattr(frame, "mapInArrow", watched)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert list(heads(spark, str(tmp_path / "t.csv")).values()) == ['"a\nb",c']
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
