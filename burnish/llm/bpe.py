@@ -176,15 +176,18 @@ class Encoder:
         if not piece.isascii():
             piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
         piece = piece.lower()
-        done = [self.words_kept.get(word, self.word) for word in ([piece] if piece.isalpha() else self.words.findall(piece))]
+        get, seen = self.words_kept.get, self.words_kept.young.get
+        if piece.isalpha():
+            return seen(piece) or get(piece, self.word)
+        done = [seen(word) or get(word, self.word) for word in self.words.findall(piece)]
         if len(done) == 1:
             return done[0]
         return " ".join([d[0] for d in done]), " ".join([d[1] for d in done]), sum([d[2] for d in done])
 
     def plain(self, text: str, ids: list[str], names: list[str]) -> int:
         """Append the tokens of a text without special tokens; return their number."""
-        get, piece = self.pieces_kept.get, self.piece
-        done = [get(p, piece) for p in (PIECES.findall(text) if NO_SPACE.search(text) else text.split())]
+        get, seen, piece = self.pieces_kept.get, self.pieces_kept.young.get, self.piece
+        done = [seen(p) or get(p, piece) for p in (PIECES.findall(text) if NO_SPACE.search(text) else text.split())]
         ids += [d[0] for d in done]
         names += [d[1] for d in done]
         return sum([d[2] for d in done])
